@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing, quality_model, rules, simhash
+from . import langid, lmscore, packing, quality_model, rules, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.predictions(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -33,7 +37,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op6_quality_classifier, op8_quality_rules, op9_simhash, op10_packing)}
+    found: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op4_lm_scoring, op6_quality_classifier, op8_quality_rules, op9_simhash, op10_packing)}
     return found
 
 
