@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, lmscore, packing, quality_model, rules, simhash
+from . import langid, lmscore, packing, quality_model, rules, simhash, tokencount, trainorder
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,10 +20,19 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.predictions(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return tokencount.count_edited(docs, tokencount.sample_edits(docs["text"]))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_train_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trainorder.materialise(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(table(spark, sf_dir, "documents"))
 
@@ -37,7 +46,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op4_lm_scoring, op6_quality_classifier, op8_quality_rules, op9_simhash, op10_packing)}
+    found: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op4_lm_scoring, op5_token_counts, op6_quality_classifier, op7_train_order, op8_quality_rules, op9_simhash, op10_packing)}
     return found
 
 
