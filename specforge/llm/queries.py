@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, lmscore, packing, quality_model, rules, simhash, tokencount, trainorder
+from . import langid, linededup, lmscore, packing, quality_model, rules, simhash, tokencount, trainorder
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,31 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.deduplicate(docs)
+
+
+OP2_SQL = f"""
+WITH occ AS (
+  SELECT doc_id, pos, lines[pos + 1] AS line FROM (
+    SELECT doc_id, lines, unnest(range(len(lines))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))),
+d AS (
+  SELECT line, min(CAST(doc_id AS HUGEINT) * {linededup.PLACES} + pos) AS place, count(*) AS n, length(line) AS size
+  FROM occ WHERE length(line) >= {linededup.LEAST_CHARS} GROUP BY line),
+near AS (
+  SELECT DISTINCT b.line FROM d a JOIN d b ON a.place < b.place AND b.size BETWEEN a.size - {linededup.TAU} AND a.size + {linededup.TAU}
+  WHERE least(a.size, b.size) >= {linededup.NEAR_CHARS} AND levenshtein(a.line, b.line) <= {linededup.TAU}),
+marked AS (
+  SELECT o.doc_id, o.pos, o.line, n.line IS NOT NULL AS near,
+         n.line IS NOT NULL OR coalesce(d.place <> CAST(o.doc_id AS HUGEINT) * {linededup.PLACES} + o.pos, false) AS gone
+  FROM occ o LEFT JOIN d USING (line) LEFT JOIN near n ON n.line = o.line)
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text, count(*) AS n_lines,
+       count(*) FILTER (gone) AS n_removed, count(*) FILTER (near) AS n_near
+FROM marked GROUP BY doc_id
+"""
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.predictions(table(spark, sf_dir, "documents"))
 
@@ -46,9 +71,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op4_lm_scoring, op5_token_counts, op6_quality_classifier, op7_train_order, op8_quality_rules, op9_simhash, op10_packing)}
+    found: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op4_lm_scoring, op5_token_counts, op6_quality_classifier, op7_train_order, op8_quality_rules, op9_simhash, op10_packing)}
     return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": OP2_SQL}
