@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import let, staged
 
 TAU = 2
 LEAST_CHARS = 16
@@ -61,11 +61,6 @@ def letter_signature() -> Column:
     return sig
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with value computed once."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def within(a: Column, b: Column, tau: int) -> Column:
     """True if the edit distance of a and b, whose lengths differ by tau at most, is tau at most.
 
@@ -103,9 +98,9 @@ def within(a: Column, b: Column, tau: int) -> Column:
                     (d + F.when(j + tau <= m, down).otherwise(along)).alias("d"),
                 )
 
-            return _let(plus, done)
+            return let(plus, done)
 
-        return _let(diagonal, horizontal)
+        return let(diagonal, horizontal)
 
     start = F.struct(F.lit(full ^ ((1 << tau) - 1)).alias("vp"), F.lit(0).alias("vn"), F.least(m, F.lit(tau)).alias("d"))
     distance = F.aggregate(F.transform(F.sequence(F.lit(1), n), column), start, step, lambda s: s["d"])

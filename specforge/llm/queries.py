@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, linededup, lmscore, packing, quality_model, rules, simhash, tokencount, trainorder
+from . import decontam, langid, linededup, lmscore, packing, quality_model, rules, simhash, tokencount, trainorder
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,33 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "n_words", "similarity")
+
+
+OP3_SQL = f"""
+WITH w AS (
+  SELECT 'd' AS kind, doc_id AS id, list_filter(string_split_regex(lower(text), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+  UNION ALL SELECT 'i', item_id, list_filter(string_split_regex(lower(text), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') FROM benchmark),
+s AS (
+  SELECT kind, id, len(w) AS total, unnest(range(greatest(len(w) - {decontam.SHINGLE - 1}, 1))) AS pos, w FROM w WHERE len(w) > 0),
+h AS (SELECT kind, id, total, pos, array_to_string(w[pos + 1 : pos + {decontam.SHINGLE}], ' ') AS h FROM s),
+spot AS (
+  SELECT DISTINCT d.id AS doc_id, i.id AS item_id, i.total AS isize, least(i.total, d.total) AS size,
+         greatest(0, least(d.pos - i.pos, d.total - least(i.total, d.total))) AS start
+  FROM h d JOIN h i ON d.h = i.h WHERE d.kind = 'd' AND i.kind = 'i'),
+wh AS (
+  SELECT p.doc_id, p.item_id, p.start, p.size, d.h, count(*) AS n FROM spot p JOIN h d ON d.kind = 'd' AND d.id = p.doc_id
+  AND d.pos BETWEEN p.start AND p.start + greatest(p.size - {decontam.SHINGLE}, 0) GROUP BY ALL),
+ih AS (SELECT id AS item_id, h, count(*) AS n FROM h WHERE kind = 'i' GROUP BY ALL),
+num AS (SELECT wh.doc_id, wh.item_id, wh.start, wh.size, sum(least(wh.n, coalesce(ih.n, 0))) AS both_n, sum(wh.n) AS own FROM wh LEFT JOIN ih USING (item_id, h) GROUP BY ALL),
+sim AS (SELECT num.*, CAST(both_n AS DOUBLE) / CAST(own + t.n - both_n AS DOUBLE) AS similarity FROM num JOIN (SELECT item_id, sum(n) AS n FROM ih GROUP BY ALL) t USING (item_id)),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS rn FROM sim WHERE similarity >= {decontam.SIMILARITY})
+SELECT doc_id, item_id, CAST(start AS INT) AS start, CAST(size AS INT) AS n_words, similarity FROM best WHERE rn = 1
+"""
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.predictions(table(spark, sf_dir, "documents"))
 
@@ -71,9 +98,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op4_lm_scoring, op5_token_counts, op6_quality_classifier, op7_train_order, op8_quality_rules, op9_simhash, op10_packing)}
+    found: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_decontamination, op4_lm_scoring, op5_token_counts, op6_quality_classifier, op7_train_order, op8_quality_rules, op9_simhash, op10_packing)}
     return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op3_decontamination": OP3_SQL}
