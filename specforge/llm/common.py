@@ -56,3 +56,12 @@ def shuffle_parts(spark: SparkSession) -> int:
 def let(value: Column, body) -> Column:
     """body(value), with value computed once however often body uses it."""
     return F.get(F.transform(F.array(value), body), 0)
+
+
+#: Rows up to which a table of a few numbers a row may be broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if it has no more rows than most; df should be staged. Beyond that, Spark joins by a shuffle."""
+    return F.broadcast(df) if df.count() <= most else df

@@ -12,52 +12,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, staged
+from .common import let, small, staged
 
 TAU = 2
 LEAST_CHARS = 16
 NEAR_CHARS = 24
 PLACES = 10**10
-LETTERS = "eaonrtishdlcumgp"
-_RING = (0b0000, 0b0001, 0b0011, 0b0111, 0b1111, 0b1110, 0b1100, 0b1000)  # neighbours differ in one bit
+LETTERS = "dlshcugi"
+_RING = 0x00FF00FF  # shifted by a count and cut to eight bits: neighbours on the ring differ in one bit
 
 
-def _segment(length: Column, i: int, tau: int) -> tuple[Column, Column]:
-    """First character (from 1) and size of segment i (from 0): the longer segments come last."""
-    size = F.floor(length / (tau + 1)).cast("int")
-    longer = (length % (tau + 1)).cast("int")
-    short = F.lit(tau + 1) - longer
-    start = F.lit(1) + size * i + F.greatest(F.lit(0), F.lit(i) - short)
-    return start, F.when(F.lit(i) >= short, size + 1).otherwise(size)
+def _places(tau: int) -> list[tuple[int, int, int]]:
+    """(delta, segment, move): where a segment of a line shorter by delta can stand, by the multi-match-aware windows."""
+    return [(delta, i, move) for delta in range(tau + 1) for i in range(tau + 1) for move in range(max(-i, delta - (tau - i)), min(i, delta + (tau - i)) + 1)]
 
 
-def _index_keys(tau: int) -> Column:
-    n = F.col("n")
-    return F.array(*[F.xxhash64(F.substr("line", *_segment(n, i, tau)), n, F.lit(i)) for i in range(tau + 1)])
-
-
-def _probe_keys(tau: int) -> Column:
-    """Keys of the places where a segment of a line shorter by delta can match, by the multi-match-aware windows."""
-    found = []
-    for delta in range(tau + 1):
-        n = F.col("n") - delta
-        for i in range(tau + 1):
-            start, size = _segment(n, i, tau)
-            low, high = max(-i, delta - (tau - i)), min(i, delta + (tau - i))
-            for move in range(low, high + 1):
-                at = start + move
-                inside = (at >= 1) & (at + size - 1 <= F.col("n"))
-                found.append(F.when(inside, F.xxhash64(F.substr("line", at, size), n, F.lit(i))))
-    return F.filter(F.array(*found), lambda k: k.isNotNull())
+def _keys(lines: DataFrame, places: list[tuple[int, int, int]], tau: int) -> DataFrame:
+    """id, n, sig, key: a row for each place inside the line. The longer segments come last."""
+    spots = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("delta", "segment", "move"), p, strict=True)]) for p in places])
+    spread = lines.select("id", "n", "sig", "line", F.explode(spots).alias("p")).select("id", "n", "sig", "line", (F.col("n") - F.col("p.delta")).alias("of"), "p.segment", "p.move")
+    size = F.floor(F.col("of") / (tau + 1)).cast("int")
+    short = F.lit(tau + 1) - F.col("of") % (tau + 1)
+    at = F.lit(1) + size * F.col("segment") + F.greatest(F.lit(0), F.col("segment") - short) + F.col("move")
+    cut = spread.select("id", "n", "sig", "line", "of", "segment", at.alias("at"), (size + (F.col("segment") >= short).cast("int")).alias("size"))
+    inside = cut.filter((F.col("at") >= 1) & (F.col("at") + F.col("size") - 1 <= F.col("n")))
+    return inside.select("id", "n", "sig", F.xxhash64(F.substr("line", F.col("at"), F.col("size")), F.col("of"), F.col("segment")).alias("key"))
 
 
 def letter_signature() -> Column:
-    """64 bits: for each of sixteen letters its count on a ring of eight. An edit changes two bits at most."""
-    ring = F.array(*[F.lit(x).cast("long") for x in _RING])
-    count = lambda c: (F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(c), F.lit("")))) % 8
+    """64 bits: for each of eight letters its count on a ring of sixteen. An edit changes two bits at most."""
     sig = F.lit(0).cast("long")
     for i, c in enumerate(LETTERS):
-        sig = sig.bitwiseXOR(F.shiftleft(F.get(ring, count(c)), 4 * i))
+        count = (F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(c), F.lit("")))) % 16
+        own = F.call_function("shiftright", F.lit(_RING), count).bitwiseAND(F.lit(255)).cast("long")
+        sig = sig.bitwiseXOR(F.shiftleft(own, 8 * i))
     return sig
 
 
@@ -108,22 +96,28 @@ def within(a: Column, b: Column, tau: int) -> Column:
 
 
 def occurrences(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """doc_id, rk (a hash of the text, for rows that repeat an id), pos, line, place: the lines that count, in reading order."""
+    """doc_id, rk (a hash of the text, for rows that repeat an id), pos, line, place, id, id2: the lines that count.
+
+    place orders them as they are read; id and id2 are two hashes of the line, 128 bits in all.
+    """
     lines = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("rk"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     place = F.col("doc_id").cast("decimal(20,0)") * F.lit(PLACES).cast("decimal(11,0)") + F.col("pos")
-    return lines.filter(F.length("line") >= least_chars).withColumn("place", place)
+    return lines.filter(F.length("line") >= least_chars).select("*", place.alias("place"), F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("id2"))
 
 
-def near_lines(distinct: DataFrame, tau: int = TAU, near_chars: int = NEAR_CHARS) -> DataFrame:
-    """id of the lines within tau edits of a line that stands earlier; distinct has id, line, place."""
-    lines = distinct.withColumn("n", F.length("line")).filter(F.col("n") >= near_chars)
+def near_lines(firsts: DataFrame, tau: int = TAU, near_chars: int = NEAR_CHARS) -> DataFrame:
+    """id of the lines within tau edits of a line that stands earlier; firsts has id, line, place, each line once."""
+    lines = firsts.withColumn("n", F.length("line")).filter(F.col("n") >= near_chars)
     signed = lines.withColumn("sig", letter_signature())
-    index = signed.select(F.col("id").alias("r"), F.col("n").alias("rn"), F.col("sig").alias("rs"), F.explode(_index_keys(tau)).alias("key"))
-    probe = signed.select(F.col("id").alias("s"), F.col("n").alias("sn"), F.col("sig").alias("ss"), F.explode(_probe_keys(tau)).alias("key"))
+    index = _keys(signed, [(0, i, 0) for i in range(tau + 1)], tau).withColumnsRenamed({"id": "r", "n": "rn", "sig": "rs"})
+    probe = _keys(signed, _places(tau), tau).withColumnsRenamed({"id": "s", "n": "sn", "sig": "ss"})
     order = (F.col("rn") < F.col("sn")) | ((F.col("rn") == F.col("sn")) & (F.col("r") < F.col("s")))
     alike = F.bit_count(F.col("rs").bitwiseXOR(F.col("ss"))) <= 2 * tau
     met = index.hint("shuffle_hash").join(probe, (index["key"] == probe["key"]) & order & (F.col("sn") - F.col("rn") <= tau) & alike).select("r", "s").distinct()
-    a, b = (lines.select(F.col("id").alias(k), F.col("line").alias(f"{k}_line"), F.col("place").alias(f"{k}_place")) for k in "rs")
+    met = staged(met, "met")
+    ids = staged(met.select(F.col("r").alias("id")).union(met.select("s")).distinct(), "ids")
+    texts = staged(lines.select("id", "line", "place").join(small(ids), "id"), "texts")
+    a, b = (texts.select(F.col("id").alias(k), F.col("line").alias(f"{k}_line"), F.col("place").alias(f"{k}_place")) for k in "rs")
     true = met.join(a, "r").join(b, "s").filter(within(F.col("r_line"), F.col("s_line"), tau))
     return true.select(F.when(F.col("r_place") < F.col("s_place"), F.col("s")).otherwise(F.col("r")).alias("id")).distinct()
 
@@ -137,16 +131,17 @@ def deduplicate(docs: DataFrame, tau: int = TAU, least_chars: int = LEAST_CHARS,
     like any; other columns are kept.
     """
     found = occurrences(docs, least_chars)
-    distinct = staged(found.groupBy("line").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n")).withColumn("id", F.xxhash64("line")), "lines")
-    near = near_lines(distinct, tau, near_chars).withColumn("near", F.lit(True))
-    goes = distinct.select("id", F.col("place").alias("first"), "n").join(near, "id", "left").filter((F.col("n") > 1) | F.col("near")).select("id", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    placed = found.select("doc_id", "rk", "pos", "place", F.xxhash64("line").alias("id"))
-    removed = placed.join(goes, "id").filter(F.col("near") | (F.col("place") != F.col("first")))
+    repeated = staged(found.groupBy("id", "id2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("id", "id2", "first"), "repeated")
+    firsts = found.join(small(repeated), ["id", "id2"], "left").filter(F.col("first").isNull() | (F.col("place") == F.col("first"))).select("id", "line", "place")
+    near = staged(near_lines(firsts, tau, near_chars), "near").select("id", F.lit(True).alias("near"))
+    copies = found.select("doc_id", "rk", "pos", "place", "id", "id2").join(small(repeated), ["id", "id2"], "left").join(small(near), "id", "left")
+    removed = copies.filter(F.col("near") | (F.col("place") != F.col("first")))
     per_doc = removed.groupBy("doc_id", "rk").agg(F.collect_set("pos").alias("_gone"), F.count_distinct(F.when(F.col("near"), F.col("pos"))).alias("_near"))
     joined = docs.withColumn("_rk", F.xxhash64("text")).join(per_doc.withColumnsRenamed({"doc_id": "_doc", "rk": "_own"}), (F.col("doc_id") == F.col("_doc")) & (F.col("_rk") == F.col("_own")), "left")
     lines = F.split("text", "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    counted = joined.withColumns({"n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), "n_near": F.coalesce("_near", F.lit(0)).cast("long")})
-    counted = counted.withColumns({"n_lines": F.greatest("n_lines", F.lit(0).cast("long")), "n_removed": F.greatest("n_removed", F.lit(0).cast("long"))})
-    return counted.withColumn("text", text).select(*docs.columns, "n_lines", "n_removed", "n_near")
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(let(lines, lambda own: F.array_join(F.transform(stay, lambda i: F.get(own, i)), "\n")))
+    count = lambda c: F.greatest(F.coalesce(c, F.lit(0)).cast("long"), F.lit(0).cast("long"))
+    counted = joined.withColumns({"_lines": count(F.size(lines)), "_removed": count(F.size("_gone")), "_close": count(F.col("_near"))})
+    own = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed", "n_near")]
+    return counted.select(*own, F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.col("_close").alias("n_near"))
