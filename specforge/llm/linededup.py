@@ -56,10 +56,12 @@ def within(a: Column, b: Column, tau: int) -> Column:
     positive and negative vertical differences; a column costs a fixed number of operations on them. The distance is
     followed down the lowest diagonal of the band and, once that leaves a, along a's last row. Characters are code points.
     """
+    return let(F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y"), F.length(a).alias("m"), F.length(b).alias("n")), lambda s: _banded(s["x"], s["y"], s["m"], s["n"], tau))
+
+
+def _banded(x: Column, y: Column, m: Column, n: Column, tau: int) -> Column:
     band = 2 * tau + 1
     full = (1 << band) - 1
-    x, y = F.split(a, ""), F.split(b, "")
-    m, n = F.length(a), F.length(b)
     right = lambda v, k: F.call_function("shiftright", v, k)
 
     def column(j: Column) -> Column:
