@@ -31,7 +31,7 @@ def text_blob(name: Column, description: Column, attributes: Column) -> Column:
 
 def normalise_key(key: Column) -> Column:
     cleaned = F.btrim(F.regexp_replace(F.lower(F.trim(key)), r"[^a-z0-9]+", "_"), F.lit("_"))
-    aliases = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
+    aliases = F.expr("map(" + ", ".join(f"'{a}', '{k}'" for a, k in ALIASES.items()) + ")")
     return F.coalesce(F.try_element_at(aliases, cleaned), cleaned)
 
 

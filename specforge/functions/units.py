@@ -8,15 +8,22 @@ from pyspark.sql import functions as F
 from ..fixed import UNITS
 
 
-def _literal_map() -> Column:
-    entries = [x for alias, (dimension, canonical, m, o) in UNITS.items() for x in (F.lit(alias), F.struct(F.lit(dimension).alias("dimension"), F.lit(canonical).alias("unit"), F.lit(m).alias("multiplier"), F.lit(o).alias("offset")))]
-    return F.create_map(*entries)
+def literal_map(dimension: str | None = None) -> str:
+    """SQL of the map from spellings to dimension, unit, multiplier and offset."""
+    quote = lambda x: "'" + x.replace("'", "\\'") + "'"
+    entries = [f"{quote(alias)}, named_struct('dimension', {quote(d)}, 'unit', {quote(unit)}, 'multiplier', {m!r}D, 'offset', {o!r}D)" for alias, (d, unit, m, o) in UNITS.items() if dimension in (None, d)]
+    return f"map({', '.join(entries)})"
 
 
-def resolve(unit: Column) -> Column:
-    """dimension, unit, multiplier and offset of a spelling; null if it is unknown."""
+def resolve_sql(unit: str, dimension: str | None = None) -> str:
+    key = f"replace(replace(replace(lower(trim({unit})), ' ', ''), '³', '3'), '^3', '3')"
+    return f"try_element_at({literal_map(dimension)}, rtrim('.', {key}))"
+
+
+def resolve(unit: Column, dimension: str | None = None) -> Column:
+    """dimension, unit, multiplier and offset of a spelling; null if it is unknown or of another dimension than the given one."""
     key = F.replace(F.replace(F.replace(F.lower(F.trim(unit)), F.lit(" "), F.lit("")), F.lit("³"), F.lit("3")), F.lit("^3"), F.lit("3"))
-    return F.try_element_at(_literal_map(), F.rtrim(key, F.lit(".")))
+    return F.try_element_at(F.expr(literal_map(dimension)), F.rtrim(key, F.lit(".")))
 
 
 def to_canonical(value: Column, resolved: Column) -> Column:

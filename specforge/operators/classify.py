@@ -12,11 +12,9 @@ LEAF = "struct<code:string,name:string,path:array<string>,strong:array<string>,w
 
 
 def leaves(taxonomy: list[dict] = TAXONOMY) -> Column:
-    words = lambda terms: F.array(*[F.lit(t) for t in terms]).cast("array<string>")
-    return F.array(*[
-        F.struct(F.lit(x["code"]), F.lit(x["path"][-1]), words(x["path"]), *[words([marked(t) for t in x[k]]) for k in ("strong", "weak", "negative")], words(x["expected"]), words(x["required"])).cast(LEAF)
-        for x in taxonomy
-    ])
+    words = lambda terms: "cast(array(" + ", ".join(f"'{t}'" for t in terms) + ") as array<string>)"
+    leaf = lambda x: f"named_struct('code', '{x['code']}', 'name', '{x['path'][-1]}', 'path', {words(x['path'])}, " + ", ".join([f"'{k}', {words([marked(t) for t in x[k]])}" for k in ("strong", "weak", "negative")] + [f"'{k}', {words(x[k])}" for k in ("expected", "required")]) + ")"
+    return F.expr("array(" + ", ".join(map(leaf, taxonomy)) + ")").cast(f"array<{LEAF}>")
 
 
 def _score(leaf: Column, name: Column, description: Column, fields: Column) -> Column:

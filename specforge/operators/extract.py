@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixed import CERTIFICATIONS, MATERIALS, RULES, TRUST
 from ..functions.text import marked, normalise_key, token_marks
-from ..functions.units import resolve, to_canonical
+from ..functions.units import resolve, resolve_sql, to_canonical
 
 SPEC = "struct<field:string,num:double,str:string,list:array<string>,unit:string,origin:string,confidence:double,rule:string,raw:string,ord:int>"
 
@@ -33,34 +33,32 @@ def _pattern(pattern: str, any_case: bool) -> str:
     return ("(?iu)" if any_case else "") + pattern
 
 
-def _categorical(field: str, raw: Column) -> Column:
-    token = F.trim(raw)
-    if field == "phase":
-        return F.when(F.lower(token).isin("three", "3"), F.lit("3-phase")).otherwise(F.lit("1-phase"))
-    if field in ("ip_rating", "nominal_bore"):
-        return F.concat(F.lit("IP" if field == "ip_rating" else "DN"), token)
-    if field == "mounting":
-        return F.initcap(token)
-    if field == "protection_class":
-        return F.replace(F.upper(token), F.lit("  "), F.lit(" "))
-    return F.when(F.length(token) <= 4, F.upper(token)).otherwise(token)
+def _categorical(field: str, raw: str) -> str:
+    token = f"trim({raw})"
+    return {
+        "phase": f"if(lower({token}) in ('three', '3'), '3-phase', '1-phase')", "ip_rating": f"concat('IP', {token})", "nominal_bore": f"concat('DN', {token})",
+        "mounting": f"initcap({token})", "protection_class": f"replace(upper({token}), '  ', ' ')",
+    }.get(field, f"if(length({token}) <= 4, upper({token}), {token})")
 
 
-def rule_hit(text: Column, index: int, rules: list[tuple] = RULES) -> Column:
-    """The first valid match of a rule, null without one. A unit that is unknown or of another dimension is no match."""
+def rule_hit(index: int, text: str = "text", rules: list[tuple] = RULES) -> Column:
+    """The first valid match of a rule in a text column, null without one. A unit that is unknown or of another dimension is no match.
+
+    The expression is written as SQL: it is parsed once, where a tree of columns would take thousands of calls.
+    """
     rule, field, dimension, confidence, any_case, pattern = rules[index]
     pattern = _pattern(pattern, any_case)
+    held = round(min(confidence, TRUST["extracted"]), 4)
+    made = lambda num, string, unit, raw: f"named_struct('field', '{field}', 'num', {num}, 'str', {string}, 'list', cast(null as array<string>), 'unit', {unit}, 'origin', 'extracted', 'confidence', {held!r}D, 'rule', '{rule}', 'raw', {raw}, 'ord', {index})"
     if dimension is None:
-        raw = F.regexp_extract(text, pattern, 1)
-        return F.when(raw != "", spec(field, text=_categorical(field, raw), origin="extracted", confidence=confidence, rule=rule, raw=raw, ord=index))
-    numbers, units = (F.regexp_extract_all(text, F.lit(pattern), g) for g in (1, 2))
-
-    def parsed(n: Column, u: Column) -> Column:
-        r = resolve(u)
-        return F.when(r["dimension"] == dimension, F.struct(to_canonical(F.replace(n, F.lit(","), F.lit("")).try_cast("double"), r).alias("num"), r["unit"].alias("unit"), F.concat(n, F.lit(" "), u).alias("raw")))
-
-    first = F.get(F.filter(F.zip_with(numbers, units, parsed), lambda x: x["num"].isNotNull()), 0)
-    return F.transform(F.array(first), lambda x: F.when(x.isNotNull(), spec(field, num=x["num"], unit=x["unit"], origin="extracted", confidence=confidence, rule=rule, raw=x["raw"], ord=index)))[0]
+        raw = f"regexp_extract({text}, r'{pattern}', 1)"
+        hit = made("cast(null as double)", _categorical(field, "m"), "cast(null as string)", "m")
+        return F.expr(f"get(transform(array({raw}), m -> if(m = '', null, {hit})), 0)").cast(SPEC)
+    value = "try_cast(replace(n, ',', '') as double)"
+    parsed = f"get(transform(array({resolve_sql('u', dimension)}), r -> if(r is null, null, named_struct('num', round({value} * r.multiplier + r.offset, 10), 'unit', r.unit, 'raw', concat(n, ' ', u)))), 0)"
+    pairs = f"zip_with(regexp_extract_all({text}, r'{pattern}', 1), regexp_extract_all({text}, r'{pattern}', 2), (n, u) -> {parsed})"
+    first = f"get(filter({pairs}, x -> x.num is not null), 0)"
+    return F.expr(f"get(transform(array({first}), x -> if(x is null, null, {made('x.num', 'cast(null as string)', 'x.unit', 'x.raw')})), 0)").cast(SPEC)
 
 
 def material(text: Column) -> Column:
@@ -83,9 +81,9 @@ def from_attribute(key: Column, value: Column, ord: Column) -> Column:
     pattern = r"^(-?\d[\d,]*(?:\.\d+)?)\s*([A-Za-z°/³\"%]+.*)?$"
     number = F.replace(F.regexp_extract(text, pattern, 1), F.lit(","), F.lit("")).try_cast("double")
     unit = F.trim(F.regexp_extract(text, pattern, 2))
-    r = resolve(unit)
     one = lambda **k: spec(key, origin="input", confidence=1.0, rule="EXT.ATTR.STRUCTURED", raw=text, ord=ord, **k)
-    return F.when(text == "", F.lit(None)).when(number.isNotNull() & (unit == ""), one(num=number)).when(number.isNotNull() & r.isNotNull(), one(num=to_canonical(number, r), unit=r["unit"])).otherwise(one(text=text))
+    measured = lambda r: F.when(text == "", F.lit(None)).when(number.isNotNull() & (unit == ""), one(num=number)).when(number.isNotNull() & r.isNotNull(), one(num=to_canonical(number, r), unit=r["unit"])).otherwise(one(text=text))
+    return F.get(F.transform(F.array(resolve(unit)), measured), 0)
 
 
 def best_per_field(hits: Column) -> Column:
@@ -112,7 +110,7 @@ def merge(lower: Column, higher: Column) -> Column:
 
 def extract(df: DataFrame, rules: list[tuple] = RULES) -> DataFrame:
     """Adds text_specs, attribute_specs and specs (merged by trust) to rows with text and attributes."""
-    hits = df.withColumns({f"_h{i}": rule_hit(F.col("text"), i, rules) for i in range(len(rules))} | {"_hm": material(F.col("text")), "_hc": certifications(F.col("text"))})
+    hits = df.withColumns({f"_h{i}": rule_hit(i, "text", rules) for i in range(len(rules))} | {"_hm": material(F.col("text")), "_hc": certifications(F.col("text"))})
     names = [f"_h{i}" for i in range(len(rules))] + ["_hm", "_hc"]
     entries = F.map_entries(F.coalesce("attributes", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))))
     given = F.filter(F.transform(entries, lambda e, i: from_attribute(normalise_key(e["key"]), e["value"], i + 200)), lambda x: x.isNotNull())
