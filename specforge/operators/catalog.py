@@ -9,8 +9,11 @@ from ..functions.text import fingerprint
 
 
 def spec_facts(enriched: DataFrame) -> DataFrame:
-    """product_id, code, field, num, str, unit, origin, confidence: a row per specification; lists are joined by commas."""
-    s = enriched.select("product_id", F.col("category.code").alias("code"), F.explode("specs").alias("s"))
+    """product_id, code, field, num, str, unit, origin, confidence: a row per specification; lists are joined by commas.
+
+    The outer explode keeps the optimizer from inferring a filter on specs, which it would push down by inlining the whole chain.
+    """
+    s = enriched.select("product_id", F.col("category.code").alias("code"), F.explode_outer("specs").alias("s")).filter("s IS NOT NULL")
     return s.select("product_id", "code", "s.field", "s.num", F.coalesce("s.str", F.array_join("s.list", ",")).alias("str"), "s.unit", "s.origin", "s.confidence")
 
 

@@ -5,13 +5,144 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.embedding import bucket, trigrams
+from .functions.text import fingerprint, key_value
+from .operators import catalog
+from .operators.extract import extract
+from .oracle import SQL
+from .plans.pipeline import enrich, with_text
+from .sources.catalog import catalog_sql, raw_catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
+EXPORTED = ("power", "voltage", "current", "rotational_speed", "torque", "pressure", "flow_rate", "weight")
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich(raw_catalog(spark, sf_dir))
+
+
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.spec_facts(_enriched(spark, sf_dir))
+
+
+def q_raw_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _table(spark, sf_dir, "part").createOrReplaceTempView("part_rows")
+    return spark.sql(catalog_sql("part_rows", True))
+
+
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_catalog(spark, sf_dir).select("product_id", fingerprint(F.col("name"), F.col("category")).alias("fingerprint"))
+
+
+def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.duplicate_groups(raw_catalog(spark, sf_dir))
+
+
+def extract_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = extract(with_text(raw_catalog(spark, sf_dir))).select("product_id", F.explode_outer("text_specs").alias("s")).filter("s IS NOT NULL")
+    return s.select("product_id", "s.field", "s.rule", F.round("s.num", 6).alias("num"), F.coalesce("s.str", F.array_join("s.list", ",")).alias("str"), "s.unit", "s.confidence")
+
+
+def spec_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _facts(spark, sf_dir).withColumn("num", F.round("num", 6))
+
+
+def classify_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _enriched(spark, sf_dir).select("product_id", "category.code", "category.origin", "category.confidence")
+
+
+def classify_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _enriched(spark, sf_dir).select("product_id", F.posexplode_outer("ranked").alias("at", "r")).filter("r IS NOT NULL")
+    return r.select("product_id", (F.col("at") + 1).alias("place"), "r.code", "r.score", "r.confidence")
+
+
+def validation_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _enriched(spark, sf_dir).select("product_id", F.explode_outer("findings").alias("f")).filter("f IS NOT NULL").select("product_id", "f.rule", "f.severity", "f.field")
+
+
+def validation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _enriched(spark, sf_dir).select("product_id", "validation.is_valid", "validation.score", F.size("findings").alias("n_findings"))
+
+
+def enrich_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.summary(_enriched(spark, sf_dir)).select("total", "valid", "invalid", "mean_score")
+
+
+def zscore_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.outliers(_facts(spark, sf_dir)).select("product_id", "code", "field")
+
+
+def unit_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.unit_conflicts(_facts(spark, sf_dir))
+
+
+def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.provenance(_facts(spark, sf_dir))
+
+
+def traceability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.traceability(_enriched(spark, sf_dir))
+
+
+def flat_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per record and a column per field: arrays are looked up in place, nothing is pivoted or shuffled."""
+    value = lambda f: F.round(F.get(F.filter("specs", lambda s: s["field"] == f), 0)["num"], 6).alias(f)
+    return _enriched(spark, sf_dir).select("product_id", "name", "category.code", *map(value, EXPORTED))
+
+
+def attribute_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = with_text(raw_catalog(spark, sf_dir)).select("product_id", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.select("product_id", key_value(F.col("line")).alias("kv")).filter("kv IS NOT NULL").select("product_id", "kv.*")
+
+
+def never_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordered = _table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"))
+    return _table(spark, sf_dir, "part").select("p_partkey").join(ordered, "p_partkey", "left_anti").select(F.col("p_partkey").alias("product_id"))
+
+
+def latest_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of each user: an aggregate that combines before the shuffle, where a window would sort every group."""
+    last = F.max_by(F.struct("event_id", "event_type"), F.struct("ts", "event_id")).alias("e")
+    return _table(spark, sf_dir, "events").groupBy("user_id").agg(last).select("user_id", "e.event_id", "e.event_type")
+
+
+def event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+def job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "events")
+    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"), F.round(F.sum("value"), 4).alias("total"))
+
+
+def customer_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("product_id"), F.col("c_nationkey").alias("code"), F.lit("acctbal").alias("field"), F.col("c_acctbal").alias("num"))
+    return catalog.outliers(c, threshold=1.5).select(F.col("product_id").alias("c_custkey"))
+
+
+def quality_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confusion counts of a length rule against the quality labels."""
+    both = _table(spark, sf_dir, "labels").filter("quality IS NOT NULL").select("doc_id", "quality").join(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    p, t = F.coalesce(F.length("text"), F.lit(0)) >= 200, F.col("quality") == 1
+    return both.agg(F.count_if(p & t).alias("tp"), F.count_if(p & ~t).alias("fp"), F.count_if(~p & t).alias("fn"), F.count_if(~p & ~t).alias("tn"))
+
+
+def lexical_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """product_id, bucket, weight: the hashed trigram vectors in sparse form."""
+    g = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.explode(trigrams(F.col("p_name"))).alias("g"))
+    return g.select("product_id", bucket(F.col("g")).alias("b")).groupBy("product_id", "b.bucket").agg(F.sum("b.sign").alias("weight"))
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    own = (fingerprints, duplicate_groups, extract_best, spec_facts, classify_best, classify_ranked, validation_findings, validation_scores, enrich_summary, zscore_outliers, unit_conflicts, provenance, traceability, flat_export, attribute_lines, never_ordered, latest_event, event_props, job_progress, customer_outliers, quality_agreement, lexical_embedding)
+    return {"raw_catalog": q_raw_catalog} | {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
