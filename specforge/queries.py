@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,14 @@ def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.spec_facts(_enriched(spark, sf_dir))
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """df checkpointed: it is computed once, and filters that a join infers are not pushed into the chain by inlining it."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
 def q_raw_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     _table(spark, sf_dir, "part").createOrReplaceTempView("part_rows")
     return spark.sql(catalog_sql("part_rows", True))
@@ -75,7 +84,7 @@ def enrich_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def zscore_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.outliers(_facts(spark, sf_dir)).select("product_id", "code", "field")
+    return catalog.outliers(_settled(_facts(spark, sf_dir))).select("product_id", "code", "field")
 
 
 def unit_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
