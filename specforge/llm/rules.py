@@ -2,7 +2,13 @@
 
 The sketch counts values in logarithmic buckets, so a quantile is within one bucket (two per cent) of the exact one.
 Sketches of parts merge by adding counts, in any order, and give the same limits on every run. Groups with few
-documents borrow the sketch of their language, and small languages that of all documents.
+documents borrow the sketch of their language, and small languages that of all documents. Only documents that pass the
+base rules are sketched.
+
+Where the quartiles of a statistic differ and the lower one is not zero, its limits are the outer fences, three
+interquartile ranges off. Elsewhere (most documents have none of it, or all the same) they are outer quantiles of the
+core, the documents inside the inner fences of the other statistics. If non-zero values begin above that quantile, the
+limit lies halfway to where they begin: few documents have any of it, and a trace is no reason to drop one.
 """
 
 from __future__ import annotations
@@ -20,10 +26,14 @@ from .docstats import rule_stats
 GAMMA = 1.02
 SMALLEST = 1e-3
 MIN_WORDS, MOST_REPEATED = 20, 30
-#: statistic -> slack over the upper quartile that is always allowed, slack under the lower one (None: no lower limit)
-SLACK = {"symbols_per_word": (0.15, None), "dup_line_ratio": (0.5, None), "repeat_ratio": (0.3, None), "upper_ratio": (0.15, None), "word_length": (3.0, 1.5)}
-FENCE = 3.0
+#: statistic -> whether it has a lower limit as well
+RULES = {"symbols_per_word": False, "dup_line_ratio": False, "repeat_ratio": False, "upper_ratio": False, "word_length": True}
+INNER, FENCE = 1.5, 3.0
+OUTER = 0.98
+BEGIN = 0.05
 GROUP_DOCS = 200
+#: Of the documents a group needs, the part that must have a non-zero value for where those begin.
+NONZERO_PART = 0.1
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long"
 
 
@@ -57,33 +67,63 @@ def statistics(docs: DataFrame) -> DataFrame:
     })
 
 
+def _edge(bucket: Column) -> Column:
+    """The highest value of a bucket."""
+    return F.pow(F.lit(GAMMA), F.greatest(bucket - 1, F.lit(0))) * (SMALLEST * (1 + 1e-9))
+
+
 def sketches(stats: DataFrame) -> DataFrame:
-    """lang, source, stat, bucket, n: the mergeable sketch of each group, over documents with a word."""
-    long = stats.filter("n_words > 0").select("lang", "source", F.explode(F.array(*[F.struct(F.lit(k).alias("stat"), _bucket(F.col(k)).alias("bucket")) for k in SLACK])).alias("x"))
+    """lang, source, stat, bucket, n: the mergeable sketch of each group, over documents that pass the base rules."""
+    long = stats.filter(~F.col("base_failed")).select("lang", "source", F.explode(F.array(*[F.struct(F.lit(k).alias("stat"), _bucket(F.col(k)).alias("bucket")) for k in RULES])).alias("x"))
     return long.groupBy("lang", "source", "x.stat", "x.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, stat, docs, q25, q75 of sketches merged by the keys."""
+def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, stat, docs, nonzero, q25, q75, low, high, begin of sketches merged by the keys; begin is of non-zero values."""
     merged = sketch.groupBy(*keys, "stat", "bucket").agg(F.sum("n").alias("n"))
     by = Window.partitionBy(*keys, "stat")
-    ranked = merged.withColumns({"docs": F.sum("n").over(by), "upto": F.sum("n").over(by.orderBy("bucket"))})
+    ranked = merged.withColumns({"docs": F.sum("n").over(by), "upto": F.sum("n").over(by.orderBy("bucket")), "zero": F.sum(F.when(F.col("bucket") == 0, F.col("n")).otherwise(F.lit(0))).over(by)})
     q = lambda p: F.min(F.when(F.col("upto") >= F.col("docs") * p, F.col("bucket")))
-    return ranked.groupBy(*keys, "stat").agg(F.max("docs").alias("docs"), _value(q(0.25)).alias("q25"), _value(q(0.75)).alias("q75"))
+    begin = F.min(F.when((F.col("bucket") > 0) & (F.col("upto") - F.col("zero") >= (F.col("docs") - F.col("zero")) * BEGIN), F.col("bucket")))
+    return ranked.groupBy(*keys, "stat").agg(F.max("docs").alias("docs"), F.max(F.col("docs") - F.col("zero")).alias("nonzero"), _value(q(0.25)).alias("q25"), _value(q(0.75)).alias("q75"), _edge(q(1 - OUTER) - 1).alias("low"), _edge(q(OUTER)).alias("high"), _value(begin).alias("begin"))
+
+
+def by_group(sketch: DataFrame, groups: DataFrame, group_docs: int) -> DataFrame:
+    """The quantiles for each language and source of groups, from the narrowest level with enough documents."""
+    every = groups.select("lang", "source", F.explode(F.array(*map(F.lit, RULES))).alias("stat"))
+    for i, keys in enumerate([["lang", "source"], ["lang"], []]):
+        q = quantiles(sketch, keys)
+        own = F.when(F.col("docs") >= (group_docs if keys else 0), F.struct("q25", "q75", "low", "high"))
+        begin = F.when(F.col("nonzero") >= (group_docs * NONZERO_PART if keys else 0), F.col("begin"))
+        every = every.join(q.select(*keys, "stat", own.alias(f"q{i}"), begin.alias(f"b{i}")), [*keys, "stat"], "left")
+    return every.select("lang", "source", "stat", F.coalesce("q0", "q1", "q2").alias("q"), F.coalesce("b0", "b1", "b2").alias("begin")).select("lang", "source", "stat", "q.*", "begin")
+
+
+def _wide(use: DataFrame) -> DataFrame:
+    pick = lambda k, end: F.max(F.when(F.col("stat") == k, F.col(end))).alias(f"{k}_{end}")
+    return use.groupBy("lang", "source").agg(*[pick(k, "highest") for k in RULES], *[pick(k, "lowest") for k, low in RULES.items() if low])
+
+
+def _breaks(k: str) -> Column:
+    """Whether statistic k is outside its limits; null where it has none."""
+    over = F.col(k) > F.col(f"{k}_highest")
+    return over | (F.col(k) < F.col(f"{k}_lowest")) if RULES[k] else over
 
 
-def limits(sketch: DataFrame, group_docs: int = GROUP_DOCS) -> DataFrame:
+def limits(stats: DataFrame, group_docs: int = GROUP_DOCS) -> DataFrame:
     """One row per language and source: the lowest and highest value allowed of each statistic."""
-    levels = [["lang", "source"], ["lang"], []]
-    groups = sketch.select("lang", "source", "stat").distinct()
-    for i, keys in enumerate(levels):
-        q = quartiles(sketch, keys).filter(F.col("docs") >= (group_docs if keys else 0)).select(*keys, "stat", F.struct("q25", "q75").alias(f"q{i}"))
-        groups = groups.join(q, [*keys, "stat"], "left")
-    use = groups.select("lang", "source", "stat", F.coalesce("q0", "q1", "q2").alias("q")).select("lang", "source", "stat", "q.*")
-    spread = (F.col("q75") - F.col("q25")) * FENCE
-    up, down = F.create_map(*[x for k, v in SLACK.items() for x in (F.lit(k), F.lit(v[0]))]), F.create_map(*[x for k, v in SLACK.items() if v[1] is not None for x in (F.lit(k), F.lit(v[1]))])
-    use = use.withColumns({"highest": F.col("q75") + F.greatest(spread, up[F.col("stat")]), "lowest": F.col("q25") - F.greatest(spread, down[F.col("stat")])})
-    return use.groupBy("lang", "source").agg(*[F.max(F.when(F.col("stat") == k, F.col("highest"))).alias(f"{k}_highest") for k in SLACK], *[F.max(F.when(F.col("stat") == k, F.col("lowest"))).alias(f"{k}_lowest") for k, v in SLACK.items() if v[1] is not None])
+    groups = staged(stats.select("lang", "source").distinct(), "groups")
+    spread = F.col("q75") - F.col("q25")
+    varied = (F.col("q25") > 0) & (spread > 0)
+    fences = staged(by_group(staged(sketches(stats), "sketch"), groups, group_docs), "fences")
+    inner = _wide(fences.withColumns({"highest": F.when(varied, F.col("q75") + spread * INNER), "lowest": F.when(varied, F.col("q25") - spread * INNER)}))
+    outside = F.lit(False)
+    for k in RULES:
+        outside = outside | F.coalesce(_breaks(k), F.lit(False))
+    core = by_group(staged(sketches(stats.join(inner, ["lang", "source"]).filter(~outside)), "core"), groups, group_docs).select("lang", "source", "stat", F.col("low").alias("core_low"), F.col("high").alias("core_high"))
+    halfway = F.greatest(F.col("core_high"), (F.col("core_high") + F.col("begin")) / 2)
+    use = fences.join(core, ["lang", "source", "stat"], "left")
+    return _wide(use.withColumns({"highest": F.when(varied, F.col("q75") + spread * FENCE).otherwise(halfway), "lowest": F.when(varied, F.col("q25") - spread * FENCE).otherwise(F.col("core_low"))}))
 
 
 def apply_rules(docs: DataFrame, group_docs: int = GROUP_DOCS) -> DataFrame:
@@ -93,8 +133,7 @@ def apply_rules(docs: DataFrame, group_docs: int = GROUP_DOCS) -> DataFrame:
     rows get equal verdicts. An empty table gives no rows. Other columns are ignored.
     """
     stats = staged(statistics(docs), "stats")
-    judged = stats.join(limits(sketches(stats), group_docs), ["lang", "source"], "left")
-    low = {k for k, v in SLACK.items() if v[1] is not None}
-    broken = F.filter(F.array(*[F.when((F.col(k) > F.col(f"{k}_highest")) | (F.col(k) < F.col(f"{k}_lowest") if k in low else F.lit(False)), F.lit(k)) for k in SLACK]), lambda x: x.isNotNull())
+    judged = stats.join(limits(stats, group_docs), ["lang", "source"], "left")
+    broken = F.filter(F.array(*[F.when(_breaks(k), F.lit(k)) for k in RULES]), lambda x: x.isNotNull())
     judged = judged.withColumn("broken", broken)
     return judged.withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "broken")
