@@ -82,7 +82,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_train_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trainorder.materialise(table(spark, sf_dir, "documents"))
+    return trainorder.sharded(table(spark, sf_dir, "documents"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

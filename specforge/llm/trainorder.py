@@ -9,6 +9,8 @@ same width, in order. Reading can start at any slot, and (key, n) alone say what
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import staged
+from .common import shared_dir, staged
 from .tokens import encoder
 
 SEQUENCE = 512
@@ -113,14 +115,26 @@ def materialise(docs: DataFrame, key: int = KEY, length: int = SEQUENCE, shard_r
         return pd.Series(permute(index.to_numpy(), n, key))
 
     shards = max(1, -(-n // shard_rows))
-    placed = parts.join(first, "part").withColumn("slot", slot(F.col("first") + F.col("at")))
+    placed = parts.join(F.broadcast(first), "part").withColumn("slot", slot(F.col("first") + F.col("at")))
     placed = placed.select("slot", F.floor(F.col("slot") / shard_rows).cast("int").alias("shard"), (F.col("slot") % shard_rows).cast("int").alias("row"), "doc_id", "start", "n_ids", "ids")
-    return placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
+    return placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "slot")
 
 
-def write_shards(sequences: DataFrame, path: str) -> None:
-    """One uncompressed file per shard, rows of one width in slot order. A second attempt at a task replaces the first."""
-    sequences.write.mode("overwrite").option("compression", "none").option("parquet.enable.dictionary", "false").partitionBy("shard").parquet(path)
+def write_shards(sequences: DataFrame, path: str, shards: list[int] | None = None) -> None:
+    """One uncompressed file per shard, rows of one width in slot order. A second attempt at a task replaces the first.
+
+    With shards, only those are written, in place of what stands there; the others stay as they are.
+    """
+    own = sequences if shards is None else sequences.filter(F.col("shard").isin(shards)).sortWithinPartitions("shard", "slot")
+    mode = "static" if shards is None else "dynamic"
+    own.write.mode("overwrite").option("partitionOverwriteMode", mode).option("compression", "none").option("parquet.enable.dictionary", "false").partitionBy("shard").parquet(path)
+
+
+def sharded(docs: DataFrame) -> DataFrame:
+    """The rows of materialise(), from shards written to the shared folder and read back; files are in slot order, the rows of the table in none."""
+    sequences, path = materialise(docs), os.path.join(shared_dir(docs.sparkSession), f"shards-{uuid.uuid4().hex}")
+    write_shards(sequences, path)
+    return docs.sparkSession.read.schema(sequences.schema).parquet(path).select(*sequences.columns)
 
 
 def read_from(spark: SparkSession, path: str, slot: int, rows: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
