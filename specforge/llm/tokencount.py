@@ -2,8 +2,9 @@
 
 A leaf holds a few consecutive pre-tokens; each node knows the characters and tokens below it. An edit finds its place by
 walking down, re-encodes from the pre-token that may depend on it until the new boundaries meet the old ones again, and adds
-the difference along the paths to the root. A pre-token depends on two characters after its end at most, so everything
-up to two characters before the edit, and everything after the boundaries have met, keeps its count.
+the difference along the paths to the root. A pre-token depends on two characters after its end at most, or on as many
+as an added token's literal has, so everything up to there before the edit, and everything after the boundaries have
+met, keeps its count. A literal is a pre-token, and the text on either side ends at it.
 """
 
 from __future__ import annotations
@@ -23,6 +24,18 @@ LEAF = 32
 _PIECE = regex.compile(PATTERN)
 
 
+def pieces(text: str, at: int, encode: BatchEncoder) -> Iterator[tuple[str, int]]:
+    """The pre-tokens from a boundary on, and where they end."""
+    while True:
+        literal = encode.added.search(text, at) if encode.added else None
+        for match in _PIECE.finditer(text, at, literal.start() if literal else len(text)):
+            yield match.group(), match.end()
+        if literal is None:
+            return
+        at = literal.end()
+        yield literal.group(), at
+
+
 class CountTree:
     """Counts of one text. text is kept so that edits can read the characters around them."""
 
@@ -64,10 +77,11 @@ class CountTree:
         """Replaces deleted characters from start by inserted; returns the tokens that the text has now."""
         start = max(0, min(start, len(self.text)))
         stop = min(len(self.text), start + max(0, deleted))
-        leaf, at = self._locate(max(0, start - 2))
+        reach = max(2, self.encode.longest_added)
+        leaf, at = self._locate(max(0, start - reach))
         own, counts = self.leaves[leaf]
         keep, left = 0, at
-        while keep < len(own) and left + own[keep] < start - 1:
+        while keep < len(own) and left + own[keep] <= start - reach:
             left += own[keep]
             keep += 1
         self.text = self.text[:start] + inserted + self.text[stop:]
@@ -75,9 +89,8 @@ class CountTree:
         last, old_leaf, old_at, rest = keep, leaf, left, []
         fresh: list[str] = []
         now = left
-        for match in _PIECE.finditer(self.text, left):
-            fresh.append(match.group())
-            now = match.end()
+        for piece, now in pieces(self.text, left, self.encode):
+            fresh.append(piece)
             while old_at + shift < now and old_leaf < len(self.leaves):
                 if last < len(self.leaves[old_leaf][0]):
                     old_at += self.leaves[old_leaf][0][last]
@@ -114,7 +127,7 @@ def trees(texts: list[str | None], encode: BatchEncoder) -> Iterator[CountTree]:
             found[i] = lengths[s:e], size[s:e]
     for i, text in enumerate(texts):
         if i not in found:
-            own = [m.group() for m in _PIECE.finditer(text)]
+            own = [x for x, _ in pieces(text, 0, encode)]
             found[i] = np.array(list(map(len, own)), np.int64), np.array([len(x) for x in encode.encode(own)], np.int64)
         yield CountTree(text, *found.pop(i), encode)
 

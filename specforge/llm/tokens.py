@@ -4,7 +4,7 @@ The pre-token pattern of this tokenizer looks only forward and at four character
 whole batch come from a few array operations. Equal pre-tokens have equal ids: only those not met before are merged,
 and the ids of the batch are gathered from a pool. Pre-tokens are told apart by a 64-bit hash. The merges run over
 the vocabulary of the tokenizer file, whose ids are in merge order; that the ids equal those of the tokenizer is
-tested. Texts with characters above U+FFFE take the tokenizer itself.
+tested. Texts with characters above U+FFFE or an added token's literal take the tokenizer itself.
 """
 
 from __future__ import annotations
@@ -80,7 +80,9 @@ class BatchEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path or tokenizer_path())
-        self.tokenizer.encode_special_tokens = True
+        literals = sorted((x.content for x in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = regex.compile("|".join(map(regex.escape, literals))) if literals else None
+        self.longest_added = max(map(len, literals), default=0)
         self.merge = _merger(path or tokenizer_path())
         self.powers = self.inverse = np.ones(1, np.uint64)
         self._clear()
@@ -138,8 +140,9 @@ class BatchEncoder:
         slot = np.array(slots, np.int64)[inverse]
         return owner, first - begins[owner], last - first, slot
 
-    @staticmethod
-    def plain(text: str) -> bool:
+    def plain(self, text: str) -> bool:
+        if self.added and self.added.search(text):
+            return False
         return text.isascii() or _MARK not in text and len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text)
 
     def encode(self, texts: list[str], most_chars: int = 1_000_000) -> list[np.ndarray]:
