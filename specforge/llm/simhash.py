@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts, staged
+from .common import look_up, shuffle_parts, small, staged, unused
 from .graph import components
 
 RADIUS = 3
@@ -74,13 +74,14 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long)."""
+    """doc_id, rk (a hash of the text, for rows that repeat an id), fp (the fingerprint as a signed long)."""
 
     @F.pandas_udf("long")
     def own(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), own(F.col("text").cast("string")).alias("fp"))
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("rk"), own(text).alias("fp"))
 
 
 def pivot_table(distinct: DataFrame) -> DataFrame:
@@ -170,17 +171,51 @@ def links(distinct: DataFrame) -> DataFrame:
     return spread.select("key", "pair", "fp", "d").mapInArrow(_links, "a long, b long").distinct()
 
 
+def _roots(prints: DataFrame) -> DataFrame:
+    """fp, root, n (rows of the fingerprint): the component of each distinct fingerprint."""
+    distinct = staged(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "distinct")
+    found = components(links(distinct.select("fp")))
+    return staged(distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "n"), "roots")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id (the smallest doc_id that links reach, its own included), component_size.
 
     Texts without a word, null ones too, have fingerprint zero and link like any other. Repeated rows share their
-    component. A null doc_id keeps its row and counts for no minimum. An empty table gives no rows. Other columns are
-    ignored.
+    component. A null doc_id keeps its row and counts for no minimum. Very long texts are read whole; of equal minima
+    there is but one. An empty table gives no rows. Other columns are ignored.
+    """
+    prints = staged(fingerprints(docs).select("doc_id", "fp"), "fingerprints")
+    roots = _roots(prints)
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp").groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"))
+    named = staged(roots.join(least, "root").select("fp", "component_id", "component_size", "n"), "named")
+    return look_up(prints, named, ["fp"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component_size")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group of near-duplicates: the smallest doc_id, rows without one last, by the text's hash on ties.
+
+    Rows are told apart by doc_id and text, so a row stays whose id another text shares. Of rows that repeat both, the
+    one with the least hash of all its columns stays. Null and empty texts are one group. An empty table stays empty;
+    very long texts are read whole; other columns are kept, whatever their names.
     """
     prints = staged(fingerprints(docs), "fingerprints")
-    distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("docs")), "distinct")
-    found = components(links(distinct.select("fp")))
-    member = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = member.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("docs").alias("component_size"))
-    named = member.join(least, "root").select("fp", "component_id", "component_size")
-    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component_size")
+    roots = _roots(prints.select("fp"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rk")
+    first = prints.groupBy("fp").agg(F.min(order).alias("first")).join(roots, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    firsts = staged(roots.join(first, "root").select("fp", "n", F.col("first.doc_id").alias("first_id"), F.col("first.rk").alias("first_rk")), "firsts")
+    judged = look_up(prints, firsts, ["fp"])
+    own_id, own_rk, rk, key, all_ = unused(docs.columns, "own_id", "own_rk", "rk", "key", "all")
+    gone = judged.filter(~(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("rk") == F.col("first_rk"))))
+    gone = staged(gone.select(F.col("doc_id").alias(own_id), F.col("rk").alias(own_rk)).distinct(), "gone")
+    keyed = docs.withColumns({rk: F.xxhash64(F.col("text").cast("string")), key: F.col("doc_id").cast("long")})
+    same = keyed[key].eqNullSafe(gone[own_id]) & (keyed[rk] == gone[own_rk])
+    kept = keyed.join(small(gone), same, "left_anti")
+    again = judged.groupBy("doc_id", "rk").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    again = staged(again.select(F.col("doc_id").alias(own_id), F.col("rk").alias(own_rk)), "again")
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    same = kept[key].eqNullSafe(again[own_id]) & (kept[rk] == again[own_rk])
+    several = kept.join(small(again), same, "left_semi").withColumn(all_, F.xxhash64(*[F.to_json(F.struct(c)) for c in docs.columns]))
+    best = several.groupBy(key, rk).agg(F.min_by(F.struct(*docs.columns), F.col(all_)).alias(all_)).select(f"{all_}.*")
+    return kept.join(small(again), same, "left_anti").select(*docs.columns).unionByName(best)
