@@ -4,62 +4,81 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import fingerprint
 
+EXAMPLES = 3
 
-def spec_facts(enriched: DataFrame) -> DataFrame:
-    """product_id, code, field, num, str, unit, origin, confidence: a row per specification; lists are joined by commas.
 
-    The outer explode keeps the optimizer from inferring a filter on specs, which it would push down by inlining the whole chain.
-    """
-    s = enriched.select("product_id", F.col("category.code").alias("code"), F.explode_outer("specs").alias("s")).filter("s IS NOT NULL")
+def spec_facts(enriched: DataFrame) -> DataFrame:
+    """product_id, code, field, num, str, unit, origin, confidence: a row per specification; lists are joined by commas."""
+    s = enriched.select("product_id", F.col("category.code").alias("code"), F.explode("specs").alias("s"))
     return s.select("product_id", "code", "s.field", "s.num", F.coalesce("s.str", F.array_join("s.list", ",")).alias("str"), "s.unit", "s.origin", "s.confidence")
 
 
 def duplicate_groups(records: DataFrame) -> DataFrame:
-    """fingerprint, n and the smallest id of records whose squashed name and category are equal."""
-    return records.groupBy(fingerprint(F.col("name"), F.col("category")).alias("fingerprint")).agg(F.count(F.lit(1)).alias("n"), F.min("product_id").alias("first_id")).filter("n > 1")
+    """fingerprint, n and names (by product_id) of records whose squashed name and category are equal.
+
+    Groups are counted first; only the names of those with several members are gathered.
+    """
+    keyed = records.select("product_id", "name", fingerprint(F.col("name"), F.col("category")).alias("fingerprint"))
+    several = keyed.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    names = keyed.join(several, "fingerprint").groupBy("fingerprint", "n").agg(F.array_sort(F.collect_list(F.struct("product_id", "name"))).alias("m"))
+    return names.select("fingerprint", "n", F.transform("m", lambda x: x["name"]).alias("names"))
 
 
 def outliers(facts: DataFrame, threshold: float = 3.0, least: int = 4) -> DataFrame:
-    """Numeric values far from the mean of their category and field, in population standard deviations.
+    """Numeric values far from the mean of their category and field, in population standard deviations: z, mean, deviation.
 
-    Moments are aggregated before they are joined back, so that a category that holds most rows is no single task.
+    Moments are aggregated before they are joined back, so that a category that holds most rows is no single task. facts
+    is read twice: persist it where its making costs more than its storage.
     """
     numeric = facts.filter("num IS NOT NULL")
     moments = numeric.groupBy("code", "field").agg(F.count(F.lit(1)).alias("n"), F.avg("num").alias("mean"), F.stddev_pop("num").alias("deviation")).filter((F.col("n") >= least) & (F.col("deviation") > 0))
-    z = (F.col("num") - F.col("mean")) / F.col("deviation")
-    return numeric.join(moments, ["code", "field"]).withColumn("z", z).filter(F.abs("z") > threshold)
+    z = F.abs((F.col("num") - F.col("mean")) / F.col("deviation"))
+    # The moments are one row per category and field of a fixed schema, whatever the catalogue's size.
+    return numeric.join(F.broadcast(moments), ["code", "field"]).withColumn("z", z).filter(F.col("z") > threshold)
 
 
-def unit_conflicts(facts: DataFrame) -> DataFrame:
-    """Fields that are measured in several units, with the units."""
-    units = facts.filter("num IS NOT NULL AND unit IS NOT NULL").groupBy("field", "unit").agg(F.count(F.lit(1)).alias("n"), F.min("product_id").alias("example"))
-    return units.groupBy("field").agg(F.count(F.lit(1)).alias("units"), F.array_join(F.array_sort(F.collect_list("unit")), ",").alias("names"), F.sum("n").alias("n")).filter("units > 1")
+def unit_conflicts(facts: DataFrame, names: DataFrame) -> DataFrame:
+    """field, unit, n, examples (first names by product_id) of fields that are measured in several units."""
+    measured = facts.filter("unit IS NOT NULL")
+    units = measured.groupBy("field", "unit").agg(F.count(F.lit(1)).alias("n"))
+    fields = units.groupBy("field").agg(F.count(F.lit(1)).alias("units")).filter("units > 1").select("field")
+    units = units.join(F.broadcast(fields), "field", "left_semi")
+    by = Window.partitionBy("field", "unit").orderBy("product_id")
+    ranked = measured.join(F.broadcast(fields), "field").select("field", "unit", "product_id", F.row_number().over(by).alias("place")).filter(F.col("place") <= EXAMPLES)
+    named = ranked.join(names.select("product_id", "name"), "product_id").groupBy("field", "unit").agg(F.array_sort(F.collect_list(F.struct("place", "name"))).alias("m"))
+    return units.join(named, ["field", "unit"]).select("field", "unit", "n", F.transform("m", lambda x: x["name"]).alias("examples"))
 
 
 def summary(enriched: DataFrame) -> DataFrame:
     """total, valid, invalid, mean_score, mean_completeness, in one row."""
     return enriched.agg(
         F.count(F.lit(1)).alias("total"), F.count_if("validation.is_valid").alias("valid"), F.count_if(~F.col("validation.is_valid")).alias("invalid"),
-        F.round(F.avg("validation.score"), 6).alias("mean_score"), F.round(F.avg("completeness"), 6).alias("mean_completeness"),
+        F.coalesce(F.round(F.avg("validation.score"), 4), F.lit(0.0)).alias("mean_score"), F.coalesce(F.round(F.avg("completeness"), 4), F.lit(0.0)).alias("mean_completeness"),
     )
 
 
 def catalogue_score(records: DataFrame, facts: DataFrame, threshold: float = 3.0) -> DataFrame:
-    """records, duplicates, outliers, conflicts and the score: one less issues per record, not below zero."""
-    one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    parts = one(records, "records").crossJoin(one(duplicate_groups(records), "duplicates")).crossJoin(one(outliers(facts, threshold), "outliers")).crossJoin(one(unit_conflicts(facts), "conflicts"))
+    """records, duplicates (groups), outliers (values), conflicts (fields) and the score: one less issues per record, not below zero."""
+    units = facts.filter("unit IS NOT NULL").groupBy("field").agg(F.count_distinct("unit").alias("units")).filter("units > 1")
+    groups = records.groupBy(fingerprint(F.col("name"), F.col("category")).alias("fingerprint")).agg(F.count(F.lit(1)).alias("n"))
+    parts = {"records": records, "duplicates": groups.filter("n > 1"), "outliers": outliers(facts, threshold), "conflicts": units}
+    counted = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n") for name, df in parts.items()]
+    all_ = counted[0].union(counted[1]).union(counted[2]).union(counted[3])
+    wide = all_.agg(*[F.max(F.when(F.col("part") == name, F.col("n"))).alias(name) for name in parts])
     issues = F.col("duplicates") + F.col("outliers") + F.col("conflicts")
-    return parts.withColumn("score", F.round(F.greatest(F.lit(0.0), F.lit(1.0) - issues / F.greatest("records", F.lit(1))), 4))
+    return wide.withColumn("score", F.round(F.greatest(F.lit(0.0), F.lit(1.0) - issues / F.greatest("records", F.lit(1))), 4))
 
 
 def provenance(facts: DataFrame) -> DataFrame:
+    """product_id, origin, n: how many values of a record come from where."""
     return facts.groupBy("product_id", "origin").agg(F.count(F.lit(1)).alias("n"))
 
 
 def traceability(enriched: DataFrame) -> DataFrame:
     """Share of specifications that come from the source, its text or a computation; zero without any."""
     traced = F.size(F.filter("specs", lambda s: s["origin"].isin("input", "extracted", "derived")))
-    return enriched.select("product_id", F.size("specs").alias("specs"), F.coalesce(F.try_divide(traced, F.size("specs")), F.lit(0.0)).alias("traceable"))
+    return enriched.select("product_id", F.size("specs").alias("specs"), F.round(F.coalesce(F.try_divide(traced, F.size("specs")), F.lit(0.0)), 4).alias("traceable"))

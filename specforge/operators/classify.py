@@ -1,59 +1,61 @@
-"""Scored classification against the taxonomy, row by row: the leaves are literal arrays, nothing is shuffled."""
+"""Scored classification against the taxonomy, row by row: the leaves are one literal, nothing is shuffled."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import json
+
+from pyspark.sql import DataFrame
 
 from ..fixed import FALLBACK, TAXONOMY, TRUST, WEIGHTS
-from ..functions.text import marked, token_marks
+from ..functions.sql import let, quote, strip, words
+from ..functions.text import marked, token_marks_sql
+from .extract import settled
 
 LEAF = "struct<code:string,name:string,path:array<string>,strong:array<string>,weak:array<string>,negative:array<string>,expected:array<string>,required:array<string>>"
 
 
-def leaves(taxonomy: list[dict] = TAXONOMY) -> Column:
-    words = lambda terms: "cast(array(" + ", ".join(f"'{t}'" for t in terms) + ") as array<string>)"
-    leaf = lambda x: f"named_struct('code', '{x['code']}', 'name', '{x['path'][-1]}', 'path', {words(x['path'])}, " + ", ".join([f"'{k}', {words([marked(t) for t in x[k]])}" for k in ("strong", "weak", "negative")] + [f"'{k}', {words(x[k])}" for k in ("expected", "required")]) + ")"
-    return F.expr("array(" + ", ".join(map(leaf, taxonomy)) + ")").cast(f"array<{LEAF}>")
-
+def leaves(taxonomy: list[dict] = TAXONOMY) -> str:
+    """SQL of the leaves as one constant; terms carry their token marks."""
+    rows = [{"code": x["code"], "name": x["path"][-1], **{k: x[k] for k in ("path", "expected", "required")}, **{k: [marked(t) for t in x[k]] for k in ("strong", "weak", "negative")}} for x in taxonomy]
+    return f"from_json({quote(json.dumps(rows))}, 'array<{LEAF}>')"
 
-def _score(leaf: Column, name: Column, description: Column, fields: Column) -> Column:
-    def terms(kind: str, in_name: float, in_description: float) -> Column:
-        return F.aggregate(leaf[kind], F.lit(0.0), lambda s, t: s + F.when(F.contains(name, t), F.lit(in_name)).when(F.contains(description, t), F.lit(in_description)).otherwise(F.lit(0.0)))
-
-    w = WEIGHTS
-    return terms("strong", w["name_strong"], w["desc_strong"]) + terms("weak", w["name_weak"], w["desc_weak"]) + terms("negative", w["negative"], w["negative"]) + F.size(F.array_intersect(fields, leaf["expected"])) * w["spec"]
 
+def _points(kind: str, in_name: float, in_description: float) -> str:
+    return f"aggregate(x.{kind}, 0.0D, (n, t) -> n + CASE WHEN contains(_n, t) THEN {in_name!r}D WHEN contains(_d, t) THEN {in_description!r}D ELSE 0.0D END)"
 
-def rank(name: Column, description: Column, fields: Column, taxonomy: list[dict] = TAXONOMY, most: int = 5) -> Column:
-    """code, name, score and confidence of the best leaves; by score, then code. Empty if none scores."""
-    scored = F.transform(leaves(taxonomy), lambda x: F.struct((-_score(x, name, description, fields)).alias("minus"), x["code"].alias("code"), x["name"].alias("name")))
-    order = F.array_sort(F.filter(scored, lambda x: x["minus"] < 0))
 
-    def confident(own: Column) -> Column:
-        top, second = -F.get(own, 0)["minus"], F.coalesce(-F.get(own, 1)["minus"], F.lit(0.0))
-        ceiling = F.greatest(top, F.lit(1.0))
-        return F.transform(F.slice(own, 1, most), lambda x, i: F.struct(
-            x["code"].alias("code"), x["name"].alias("name"), (-x["minus"]).alias("score"),
-            F.round(F.when(i == 0, F.least(F.lit(0.99), F.least(top / ceiling, F.lit(1.0)) * 0.55 + F.try_divide(top - second, top) * 0.45)).otherwise(F.least(F.lit(0.85), -x["minus"] / ceiling * 0.6)), 4).alias("confidence"),
-        ))
-
-    return F.transform(F.array(order), confident)[0]
+def _matched() -> str:
+    """The signals of a leaf x: terms and where they stand, then the specifications that are typical of it."""
+    plain = "translate(t, '\\u0001\\u0002', '')"
+    terms = "filter(transform(concat(x.strong, x.weak), t -> CASE WHEN contains(_n, t) THEN concat('name:', chr(39), {0}, chr(39)) WHEN contains(_d, t) THEN concat('description:', chr(39), {0}, chr(39)) END), m -> m IS NOT NULL)".format(plain)
+    typical = let("array_sort(array_intersect(_f, x.expected))", "o", "if(size(o) = 0, cast(array() as array<string>), array(concat('specs:[', array_join(transform(o, f -> concat(chr(39), f, chr(39))), ', '), ']')))")
+    return f"concat({terms}, {typical})"
 
 
 def classify(df: DataFrame, taxonomy: list[dict] = TAXONOMY) -> DataFrame:
-    """Adds ranked, category (code, name, path, origin, confidence, expected, required) and alternatives."""
-    known = leaves(taxonomy)
-    fields = F.transform("specs", lambda s: s["field"])
-    marks = df.select("*", token_marks(F.col("name")).alias("_n"), token_marks(F.col("description")).alias("_d"), fields.alias("_f"))
-    ranked = marks.select("*", rank(F.col("_n"), F.col("_d"), F.col("_f"), taxonomy).alias("ranked")).drop("_n", "_d", "_f")
-    given = F.get(F.filter(known, lambda x: (F.lower(x["name"]) == F.lower(F.trim(F.col("raw_category")))) | (F.lower(x["code"]) == F.lower(F.trim(F.col("raw_category"))))), 0)
-    best = F.get("ranked", 0)
-    own = F.get(F.filter(known, lambda x: x["code"] == best["code"]), 0)
-    fallback = F.struct(F.lit(FALLBACK[0]), F.lit(FALLBACK[1][-1]), F.array(*map(F.lit, FALLBACK[1])), *[F.array().cast("array<string>")] * 5).cast(LEAF)
-    leaf = ranked.select("*", given.alias("_given"), F.coalesce(given, own, fallback).alias("_leaf"))
-    origin = F.when(F.col("_given").isNotNull(), "input").when(best.isNotNull(), "taxonomy").otherwise("default")
-    confidence = F.when(F.col("_given").isNotNull(), F.lit(1.0)).when(best.isNotNull(), F.least(best["confidence"], F.lit(TRUST["taxonomy"]))).otherwise(F.lit(0.2))
-    category = F.struct(F.col("_leaf.code").alias("code"), F.col("_leaf.name").alias("name"), F.col("_leaf.path").alias("path"), origin.alias("origin"), confidence.alias("confidence"), F.col("_leaf.expected").alias("expected"), F.col("_leaf.required").alias("required"))
-    alternatives = F.when(F.col("_given").isNotNull(), F.slice("ranked", 1, 0)).otherwise(F.slice("ranked", 2, 3))
-    return leaf.select("*", category.alias("category"), alternatives.alias("alternatives")).drop("_given", "_leaf")
+    """Adds ranked (code, name, score, confidence, matched, penalised; at most five), category and alternatives.
+
+    A category that the source names exactly is taken as it is. Otherwise the best leaf by score, then code; the
+    fallback where none scores. category has code, name, path, origin, confidence, expected, required and rule.
+    """
+    w = WEIGHTS
+    score = f"{_points('strong', w['name_strong'], w['desc_strong'])} + {_points('weak', w['name_weak'], w['desc_weak'])} + {_points('negative', w['negative'], w['negative'])} + size(array_intersect(_f, x.expected)) * {w['spec']!r}D"
+    fields = "transform(specs, v -> v.field)"
+    seen = df.selectExpr("*", f"{token_marks_sql('name')} AS _n", f"{token_marks_sql('description')} AS _d", f"{fields} AS _f")
+    scored = f"filter(transform({leaves(taxonomy)}, x -> named_struct('minus', -({score}), 'code', x.code, 'leaf', x)), r -> r.minus < 0)"
+    placed = seen.selectExpr("*", f"array_sort({scored}, (l, r) -> CASE WHEN l.minus <> r.minus THEN if(l.minus < r.minus, -1, 1) WHEN l.code < r.code THEN -1 WHEN l.code > r.code THEN 1 ELSE 0 END) AS _all")
+    top, second = "-get(_all, 0).minus", "coalesce(-get(_all, 1).minus, 0.0D)"
+    first = f"least(0.99D, least({top} / greatest({top}, 1.0D), 1.0D) * 0.55D + ({top} - {second}) / {top} * 0.45D)"
+    other = f"least(0.85D, -r.minus / greatest({top}, 1.0D) * 0.6D)"
+    penalised = "transform(filter(x.negative, t -> contains(_n, t) OR contains(_d, t)), t -> translate(t, '\\u0001\\u0002', ''))"
+    one = f"named_struct('code', r.code, 'name', r.leaf.name, 'score', -r.minus, 'confidence', round(if(i = 0, {first}, {other}), 4), 'matched', {let('r.leaf', 'x', _matched())}, 'penalised', {let('r.leaf', 'x', penalised)})"
+    given = f"filter({leaves(taxonomy)}, x -> lower(x.name) = lower({strip('raw_category')}) OR x.code = upper({strip('raw_category')}))"
+    found = placed.selectExpr("*", f"transform(slice(_all, 1, 5), (r, i) -> {one}) AS ranked", f"get({given}, 0) AS _given")
+    fallback = f"named_struct('code', {quote(FALLBACK[0])}, 'name', {quote(FALLBACK[1][-1])}, 'path', {words(FALLBACK[1])}, " + ", ".join(f"'{k}', {words([])}" for k in ("strong", "weak", "negative", "expected", "required")) + ")"
+    leafed = found.selectExpr("*", f"coalesce(_given, get(_all, 0).leaf, cast({fallback} as {LEAF})) AS _leaf")
+    origin = "CASE WHEN _given IS NOT NULL THEN 'input' WHEN size(ranked) > 0 THEN 'taxonomy' ELSE 'default' END"
+    confidence = f"CASE WHEN _given IS NOT NULL THEN 1.0D WHEN size(ranked) > 0 THEN least(get(ranked, 0).confidence, {TRUST['taxonomy']!r}D) ELSE 0.2D END"
+    rule = "CASE WHEN _given IS NOT NULL THEN 'TAX.SOURCE_PROVIDED' ELSE concat('TAX.', _leaf.code) END"
+    category = f"named_struct('code', _leaf.code, 'name', _leaf.name, 'path', _leaf.path, 'origin', {origin}, 'confidence', {confidence}, 'expected', _leaf.expected, 'required', _leaf.required, 'rule', {rule})"
+    named = leafed.selectExpr("*", f"{category} AS category", "if(_given IS NOT NULL, slice(ranked, 1, 0), slice(ranked, 2, 3)) AS alternatives")
+    return settled(named.drop("_n", "_d", "_f", "_all", "_given", "_leaf"), "ranked", "category", "alternatives")

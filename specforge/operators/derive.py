@@ -4,70 +4,54 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from ..fixed import DESCRIBED, SYNCHRONOUS_50, SYNCHRONOUS_60
-from ..functions.units import display
-from .extract import get, spec
+from ..fixed import ASSUMED_EFFICIENCY, ASSUMED_POWER_FACTOR, DESCRIBED, FIELDS, SLIP_RANGE, SYNCHRONOUS_50, SYNCHRONOUS_60
+from ..functions.sql import general, let, strip
+from .extract import listed, spec
 
-POWER_FACTOR, EFFICIENCY = 0.85, 0.90
 
+def three_phase(s: str = "s") -> str:
+    return f"coalesce(startswith(coalesce({s}.phase.str, cast({s}.phase.num as string)), '3'), false)"
 
-def near_synchronous(speed: Column, speeds: list[int]) -> Column:
-    return F.exists(F.array(*[F.lit(float(s)) for s in speeds]), lambda s: (speed >= s * 0.90) & (speed <= s * 1.02))
 
+def phase_factor(s: str = "s") -> str:
+    return f"if({three_phase(s)}, {math.sqrt(3)!r}D, 1.0D)"
 
-def three_phase(specs: Column) -> Column:
-    phase = get(specs, "phase")
-    return F.coalesce(F.coalesce(phase["str"], phase["num"].cast("string")).startswith("3"), F.lit(False))
 
-
-def current_from_power(specs: Column) -> Column:
-    p, v = get(specs, "power")["num"], get(specs, "voltage")["num"]
-    return F.when(v > 0, p / (v * F.when(three_phase(specs), F.lit(math.sqrt(3))).otherwise(F.lit(1.0)) * POWER_FACTOR * EFFICIENCY))
-
-
-def torque_from_power(specs: Column) -> Column:
-    p, n = get(specs, "power")["num"], get(specs, "rotational_speed")["num"]
-    return F.when(n > 0, p / (n * (2 * math.pi) / 60.0))
-
-
-def frequency_from_speed(specs: Column) -> Column:
-    n = get(specs, "rotational_speed")["num"]
-    return F.when(near_synchronous(n, SYNCHRONOUS_50), F.lit(50.0)).when(near_synchronous(n, SYNCHRONOUS_60), F.lit(60.0))
+def near_synchronous(speed: str, speeds: list[int]) -> str:
+    low, high = SLIP_RANGE
+    return "(" + " OR ".join(f"{speed} BETWEEN {x} * {low!r}D AND {x} * {high!r}D" for x in speeds) + ")"
 
 
 def derive(df: DataFrame) -> DataFrame:
-    """Adds current, torque and frequency to specs where they are absent and implied, and environment attributes."""
-    specs = F.col("specs")
-    make = lambda field, value, unit, confidence, rule, ord: F.when(get(specs, field).isNull() & value.isNotNull(), spec(field, num=value, unit=F.lit(unit), origin="derived", confidence=confidence, rule=rule, ord=ord))
-    found = F.array(
-        make("current", F.round(current_from_power(specs), 2), "A", 0.7, "DER.CURRENT.FROM_POWER", 300),
-        make("torque", F.round(torque_from_power(specs), 2), "Nm", 0.72, "DER.TORQUE.FROM_POWER_SPEED", 301),
-        make("frequency", frequency_from_speed(specs), "Hz", 0.6, "DER.FREQ.FROM_SPEED", 302),
-    )
-    ip = get(specs, "ip_rating")["str"]
-    washdown = F.when((F.length(ip) == 4) & (F.substring(ip, 4, 1).try_cast("int") >= 5), F.array(F.lit("Suitable for washdown environments"))).otherwise(F.array().cast("array<string>"))
-    return df.withColumns({"specs": F.concat(specs, F.filter(found, lambda x: x.isNotNull())), "extra_attributes": washdown})
+    """s with current, torque and frequency where they are absent and implied, specs anew, and extra_attributes."""
+    p, v, n = "s.power.num", "s.voltage.num", "s.rotational_speed.num"
+    amps = f"round({p} / ({v} * {phase_factor()} * {ASSUMED_POWER_FACTOR!r}D * {ASSUMED_EFFICIENCY!r}D), 2)"
+    turning = f"round({p} / ({n} * {2 * math.pi!r}D / 60.0D), 2)"
+    hertz = f"CASE WHEN {near_synchronous(n, SYNCHRONOUS_50)} THEN 50.0D WHEN {near_synchronous(n, SYNCHRONOUS_60)} THEN 60.0D END"
+    made = {
+        "current": f"if(s.current IS NULL AND {p} IS NOT NULL AND {v} > 0, {spec(chr(39) + 'current' + chr(39), num=amps, unit=chr(39) + 'A' + chr(39), origin='derived', confidence=0.7, rule='DER.CURRENT.FROM_POWER')}, s.current)",
+        "torque": f"if(s.torque IS NULL AND {p} IS NOT NULL AND {n} > 0, {spec(chr(39) + 'torque' + chr(39), num=turning, unit=chr(39) + 'Nm' + chr(39), origin='derived', confidence=0.72, rule='DER.TORQUE.FROM_POWER_SPEED')}, s.torque)",
+        "frequency": let(hertz, "h", f"if(s.frequency IS NULL AND h IS NOT NULL, {spec(chr(39) + 'frequency' + chr(39), num='h', unit=chr(39) + 'Hz' + chr(39), origin='derived', confidence=0.6, rule='DER.FREQ.FROM_SPEED')}, s.frequency)"),
+    }
+    columns = ", ".join(f"'{f}', {made.get(f, f's.{f}')}" for f in FIELDS)
+    washdown = "if(length(s.ip_rating.str) = 4 AND try_cast(substring(s.ip_rating.str, 4, 1) as int) >= 5, array('Suitable for washdown environments'), cast(array() as array<string>))"
+    rest = [f"`{c}`" for c in df.columns if c not in ("s", "specs")]
+    found = df.selectExpr(*rest, f"named_struct({columns}) AS s", f"{washdown} AS extra_attributes")
+    return found.selectExpr("*", f"{listed()} AS specs")
 
 
 def describe(df: DataFrame) -> DataFrame:
     """Adds enriched_description: the category and up to four specifications, then the source's own text."""
-    specs = F.col("specs")
-
-    def bit(key: str) -> Column:
-        s, label = get(specs, key), key.replace("_", " ")
-        measured = F.concat(F.lit(f"{label} of "), display(s["num"], s["unit"]))
-        plain = F.concat(F.lit(f"{label} "), F.coalesce(s["str"], F.array_join(s["list"], ", "), display(s["num"], F.lit(None).cast("string"))))
-        return F.when(s.isNotNull(), F.when(s["num"].isNotNull() & s["unit"].isNotNull(), measured).otherwise(plain))
-
-    bits = F.slice(F.filter(F.array(*[bit(k) for k in DESCRIBED]), lambda b: b.isNotNull()), 1, 4)
 
-    def sentence(b: Column) -> Column:
-        n = F.size(b)
-        rated = F.when(n == 0, F.lit("")).when(n == 1, F.concat(F.lit(" rated at  "), b[0])).otherwise(F.concat(F.lit(" rated at "), F.array_join(F.slice(b, 1, n - 1), ", "), F.lit(" and "), F.element_at(b, -1)))
-        own = F.rtrim(F.trim(F.coalesce("description", F.lit(""))), F.lit("."))
-        return F.concat(F.col("name"), F.lit(" is a "), F.lower("category.name"), rated, F.lit("."), F.when(F.coalesce("description", F.lit("")) == "", F.lit("")).otherwise(F.concat(F.lit(" "), own, F.lit("."))))
+    def bit(key: str) -> str:
+        label = key.replace("_", " ")
+        plain = f"coalesce(s.{key}.str, array_join(s.{key}.list, ', '), cast(s.{key}.num as string))"
+        return f"CASE WHEN s.{key}.num IS NOT NULL AND s.{key}.unit IS NOT NULL THEN concat('{label} of ', {general(f's.{key}.num')}, ' ', s.{key}.unit) WHEN s.{key} IS NOT NULL THEN concat('{label} ', {plain}) END"
 
-    return df.withColumn("enriched_description", F.transform(F.array(bits), sentence)[0])
+    bits = f"slice(array_compact(array({', '.join(map(bit, DESCRIBED))})), 1, 4)"
+    rated = "CASE size(b) WHEN 0 THEN '' WHEN 1 THEN concat(' rated at  ', b[0]) ELSE concat(' rated at ', array_join(slice(b, 1, size(b) - 1), ', '), ' and ', element_at(b, -1)) END"
+    own = f"if(coalesce(description, '') = '', '', concat(' ', rtrim('.', {strip('description')}), '.'))"
+    sentence = f"concat(coalesce(name, ''), ' is a ', lower(category.name), {rated}, '.', {own})"
+    return df.selectExpr("*", f"{let(bits, 'b', sentence)} AS enriched_description")

@@ -1,119 +1,133 @@
-"""Specifications from free text: one expression per rule, best hit per field, without a shuffle."""
+"""Specifications from free text and attributes, row by row.
 
-from __future__ import annotations
+Each field of the schema is a column of one struct, so that what follows is plain arithmetic on columns. The confidence
+of a rule is fixed; hence the best hit of a field is the first non-null one among its rules, most confident first.
+"""
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from __future__ import annotations
 
-from ..fixed import CERTIFICATIONS, MATERIALS, RULES, TRUST
-from ..functions.text import marked, normalise_key, token_marks
-from ..functions.units import resolve, resolve_sql, to_canonical
+import re
 
-SPEC = "struct<field:string,num:double,str:string,list:array<string>,unit:string,origin:string,confidence:double,rule:string,raw:string,ord:int>"
+from pyspark.sql import DataFrame
 
+from ..fixed import ATTRIBUTE, CERTIFICATIONS, FIELDS, MATERIALS, RULES, TRUST, UNITS
+from ..functions.sql import let, quote, raw, strip
+from ..functions.text import EMPTY, marked, normalise_key_sql, token_marks_sql
+from ..functions.units import canonical_sql, resolve_sql
 
-def spec(field: Column | str, *, num: Column | None = None, text: Column | None = None, items: Column | None = None, unit: Column | None = None, origin: str, confidence: float, rule: str, raw: Column | None = None, ord: Column | int) -> Column:
-    """One value with its provenance; the confidence is held under the ceiling of its origin."""
-    none = F.lit(None)
-    as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
-    held = round(max(0.0, min(confidence, TRUST[origin])), 4)
-    return F.struct(
-        as_col(field).alias("field"), (none if num is None else num).cast("double").alias("num"), (none if text is None else text).cast("string").alias("str"),
-        (none if items is None else items).cast("array<string>").alias("list"), (none if unit is None else unit).cast("string").alias("unit"), F.lit(origin).alias("origin"),
-        F.lit(held).alias("confidence"), F.lit(rule).alias("rule"), (none if raw is None else raw).cast("string").alias("raw"), as_col(ord).cast("int").alias("ord"),
-    ).cast(SPEC)
+SPEC = "struct<field:string,num:double,str:string,list:array<string>,unit:string,origin:string,confidence:double,rule:string,raw:string,start:int,stop:int>"
+NONE = f"cast(null as {SPEC})"
 
 
-def get(specs: Column, field: str) -> Column:
-    """The value of a field, null if it is absent."""
-    return F.get(F.filter(specs, lambda s: s["field"] == field), 0)
+def spec(field: str, *, num: str = "null", text: str = "null", items: str = "null", unit: str = "null", origin: str, confidence: float, rule: str, raw: str = "null", start: str = "null", stop: str = "null") -> str:
+    """SQL of one value with its provenance; the confidence is held under the ceiling of its origin."""
+    held = round(max(0.0, min(confidence, TRUST[origin])), 4)
+    return (
+        f"named_struct('field', {field}, 'num', cast({num} as double), 'str', cast({text} as string), 'list', cast({items} as array<string>), 'unit', cast({unit} as string), "
+        f"'origin', '{origin}', 'confidence', {held!r}D, 'rule', '{rule}', 'raw', cast({raw} as string), 'start', cast({start} as int), 'stop', cast({stop} as int))"
+    )
 
 
-def _pattern(pattern: str, any_case: bool) -> str:
-    return ("(?iu)" if any_case else "") + pattern
+def usable_units(pattern: str, dimension: str) -> tuple[str, list[str]]:
+    """The pattern with only those spellings in its unit group that the dimension has, and these spellings."""
+    at = [m.start() for m in re.finditer(r"(?<!\\)\((?!\?)", pattern)][1]
+    end = pattern.index(")", at)
+    found: list[str] = []
+    for spelling in pattern[at + 1 : end].split("|"):
+        optional = re.search(r"(.)\?", spelling)
+        forms = [spelling.replace(optional.group(0), x) for x in (optional.group(1), "")] if optional else [spelling]
+        found += [x for x in forms if UNITS.get(x.lower(), ("",))[0] == dimension and x not in found]
+    return pattern[: at + 1] + "|".join(found) + pattern[end:], found
 
 
-def _categorical(field: str, raw: str) -> str:
-    token = f"trim({raw})"
+def _categorical(field: str, token: str) -> str:
     return {
-        "phase": f"if(lower({token}) in ('three', '3'), '3-phase', '1-phase')", "ip_rating": f"concat('IP', {token})", "nominal_bore": f"concat('DN', {token})",
+        "phase": f"if(lower({token}) IN ('three', '3'), '3-phase', '1-phase')", "ip_rating": f"concat('IP', {token})", "nominal_bore": f"concat('DN', {token})",
         "mounting": f"initcap({token})", "protection_class": f"replace(upper({token}), '  ', ' ')",
     }.get(field, f"if(length({token}) <= 4, upper({token}), {token})")
 
 
-def rule_hit(index: int, text: str = "text", rules: list[tuple] = RULES) -> Column:
-    """The first valid match of a rule in a text column, null without one. A unit that is unknown or of another dimension is no match.
-
-    The expression is written as SQL: it is parsed once, where a tree of columns would take thousands of calls.
-    """
-    rule, field, dimension, confidence, any_case, pattern = rules[index]
-    pattern = _pattern(pattern, any_case)
-    held = round(min(confidence, TRUST["extracted"]), 4)
-    made = lambda num, string, unit, raw: f"named_struct('field', '{field}', 'num', {num}, 'str', {string}, 'list', cast(null as array<string>), 'unit', {unit}, 'origin', 'extracted', 'confidence', {held!r}D, 'rule', '{rule}', 'raw', {raw}, 'ord', {index})"
+def rule_hit(rule: tuple, text: str = "text") -> str:
+    """SQL of the first valid match of a rule, null without one."""
+    name, field, dimension, confidence, any_case, pattern = rule
+    units: list[str] = []
+    if dimension:
+        pattern, units = usable_units(pattern, dimension)
+    p = raw(("(?iU)" if any_case else "(?U)") + pattern)
+    group = lambda i: f"regexp_extract({text}, {p}, {i})"
+    place = {"start": f"regexp_instr({text}, {p}) - 1", "stop": f"regexp_instr({text}, {p}) - 1 + length({group(0)})"}
+    common = {"origin": "extracted", "confidence": confidence, "rule": name, "raw": strip(group(0)), **place}
     if dimension is None:
-        raw = f"regexp_extract({text}, r'{pattern}', 1)"
-        hit = made("cast(null as double)", _categorical(field, "m"), "cast(null as string)", "m")
-        return F.expr(f"get(transform(array({raw}), m -> if(m = '', null, {hit})), 0)").cast(SPEC)
-    value = "try_cast(replace(n, ',', '') as double)"
-    parsed = f"get(transform(array({resolve_sql('u', dimension)}), r -> if(r is null, null, named_struct('num', round({value} * r.multiplier + r.offset, 10), 'unit', r.unit, 'raw', concat(n, ' ', u)))), 0)"
-    pairs = f"zip_with(regexp_extract_all({text}, r'{pattern}', 1), regexp_extract_all({text}, r'{pattern}', 2), (n, u) -> {parsed})"
-    first = f"get(filter({pairs}, x -> x.num is not null), 0)"
-    return F.expr(f"get(transform(array({first}), x -> if(x is null, null, {made('x.num', 'cast(null as string)', 'x.unit', 'x.raw')})), 0)").cast(SPEC)
+        made = spec(quote(field), text=_categorical(field, strip(group(1))), **common)
+    else:
+        known = {u.lower(): UNITS[u.lower()] for u in units}
+        pick = lambda at: f"CASE lower({group(2)}) " + " ".join(f"WHEN {quote(u)} THEN {k[at]!r}D" for u, k in known.items()) + " END"
+        unit = next(iter(known.values()))[1]
+        num = f"round(try_cast(replace({group(1)}, ',', '') as double) * {pick(2)} + {pick(3) if dimension == 'temperature' else '0.0D'}, 10)"
+        made = spec(quote(field), num=num, unit=quote(unit), **common)
+    return f"CASE WHEN {group(1)} <> '' THEN {made} END"
 
 
-def material(text: Column) -> Column:
+def material(text: str = "text") -> str:
     """The material whose longest spelling stands in the text; the earlier entry on ties."""
-    low = F.lower(text)
-    found = F.array(*[F.when(F.contains(low, F.lit(alias)), F.struct(F.lit(len(alias)).alias("size"), F.lit(-i).alias("rank"), F.lit(name).alias("name"), F.lit(alias).alias("alias"))) for i, (name, alias) in enumerate(MATERIALS)])
-    return F.transform(F.array(F.array_max(found)), lambda b: F.when(b.isNotNull(), spec("material", text=b["name"], origin="extracted", confidence=0.93, rule="EXT.MATERIAL.VOCAB", raw=b["alias"], ord=100)))[0]
+    spellings = [(alias, name) for name, aliases in MATERIALS.items() for alias in aliases]
+    order = sorted(range(len(spellings)), key=lambda i: (-len(spellings[i][0]), i))
+    found = " ".join(f"WHEN contains(lower({text}), {quote(spellings[i][0])}) THEN {i}" for i in order)
+    names = "array(" + ", ".join(quote(n) for _, n in spellings) + ")"
+    aliases = "array(" + ", ".join(quote(a) for a, _ in spellings) + ")"
+    made = spec("'material'", text=f"get({names}, i)", origin="extracted", confidence=0.93, rule="EXT.MATERIAL.VOCAB", raw=f"get({aliases}, i)")
+    return let(f"CASE {found} END", "i", f"if(i IS NULL, {NONE}, {made})")
 
 
-def certifications(text: Column) -> Column:
+def certifications(text: str = "text") -> str:
     """The sorted certification marks that stand in the text as whole tokens."""
-    marks = token_marks(text)
-    found = F.array_sort(F.filter(F.array(*[F.when(F.contains(marks, F.lit(marked(c))), F.lit(c)) for c in CERTIFICATIONS]), lambda x: x.isNotNull()))
-    return F.transform(F.array(found), lambda f: F.when(F.size(f) > 0, spec("certifications", items=f, origin="extracted", confidence=0.9, rule="EXT.CERT.VOCAB", ord=101)))[0]
+    pairs = ", ".join(f"named_struct('name', {quote(c)}, 'mark', {quote(marked(c))})" for c in CERTIFICATIONS)
+    found = let(token_marks_sql(text), "m", f"array_sort(transform(filter(array({pairs}), c -> contains(m, c.mark)), c -> c.name))")
+    made = spec("'certifications'", items="f", origin="extracted", confidence=0.9, rule="EXT.CERT.VOCAB")
+    return let(found, "f", f"if(size(f) = 0, {NONE}, {made})")
 
 
-def from_attribute(key: Column, value: Column, ord: Column) -> Column:
+def from_attribute(key: str, value: str) -> str:
     """A source attribute: number and unit, number alone, or text; null if blank."""
-    text = F.trim(value)
-    pattern = r"^(-?\d[\d,]*(?:\.\d+)?)\s*([A-Za-z°/³\"%]+.*)?$"
-    number = F.replace(F.regexp_extract(text, pattern, 1), F.lit(","), F.lit("")).try_cast("double")
-    unit = F.trim(F.regexp_extract(text, pattern, 2))
-    one = lambda **k: spec(key, origin="input", confidence=1.0, rule="EXT.ATTR.STRUCTURED", raw=text, ord=ord, **k)
-    measured = lambda r: F.when(text == "", F.lit(None)).when(number.isNotNull() & (unit == ""), one(num=number)).when(number.isNotNull() & r.isNotNull(), one(num=to_canonical(number, r), unit=r["unit"])).otherwise(one(text=text))
-    return F.get(F.transform(F.array(resolve(unit)), measured), 0)
+    p = raw("(?U)" + ATTRIBUTE)
+    parts = f"named_struct('text', v, 'number', try_cast(replace(regexp_extract(v, {p}, 1), ',', '') as double), 'unit', {strip(f'regexp_extract(v, {p}, 2)')})"
+    parsed = f"named_struct('text', a.text, 'number', a.number, 'unit', a.unit, 'known', {resolve_sql('a.unit')})"
+    one = lambda **k: spec(key, origin="input", confidence=1.0, rule="EXT.ATTR.STRUCTURED", raw="a.text", **k)
+    choice = f"CASE WHEN coalesce(a.text, '') = '' THEN {NONE} WHEN a.number IS NOT NULL AND a.unit = '' THEN {one(num='a.number')} WHEN a.number IS NOT NULL AND a.known IS NOT NULL THEN {one(num=canonical_sql('a.number', 'a.known'), unit='a.known.unit')} ELSE {one(text='a.text')} END"
+    return let(strip(value), "v", let(parts, "a", let(parsed, "a", choice)))
 
 
-def best_per_field(hits: Column) -> Column:
-    """Of the hits of a field the most confident one, the earliest on ties, in the place of the field's first hit."""
-    fields = F.array_distinct(F.transform(hits, lambda h: h["field"]))
+def settled(df: DataFrame, *names: str) -> DataFrame:
+    """df with some of its columns handed through a generator of one row.
 
-    def best(f: Column) -> Column:
-        own = F.filter(hits, lambda h: h["field"] == f)
-        top = F.array_max(F.transform(own, lambda h: F.struct(h["confidence"].alias("c"), (-h["ord"]).alias("o"))))
-        winner = F.get(F.filter(own, lambda h: (h["confidence"] == top["c"]) & (h["ord"] == -top["o"])), 0)
-        return winner.withField("ord", F.array_min(F.transform(own, lambda h: h["ord"])))
-
-    return F.transform(fields, best)
-
-
-def merge(lower: Column, higher: Column) -> Column:
-    """Fields of both: a higher one replaces a lower one in its place, new ones follow; of equal fields among higher the first counts."""
-    first = F.filter(higher, lambda h, i: ~F.exists(F.slice(higher, 1, i), lambda e: e["field"] == h["field"]))
-    return F.transform(F.array(F.struct(lower.alias("a"), first.alias("b"))), lambda x: F.concat(
-        F.transform(x["a"], lambda s: F.coalesce(F.get(F.filter(x["b"], lambda h: h["field"] == s["field"]), 0).withField("ord", s["ord"]), s)),
-        F.filter(x["b"], lambda h: ~F.exists(x["a"], lambda s: s["field"] == h["field"])),
-    ))[0]
+    Filters and the search for the origin of join keys do not look behind a generator. Without it, they would unfold a
+    column that long expressions use many times, and planning would grow with the product of their sizes.
+    """
+    rest = [f"`{c}`" for c in df.columns if c not in names]
+    return df.selectExpr(*rest, "inline_outer(array(named_struct(" + ", ".join(f"'{n}', {n}" for n in names) + ")))")
 
 
 def extract(df: DataFrame, rules: list[tuple] = RULES) -> DataFrame:
-    """Adds text_specs, attribute_specs and specs (merged by trust) to rows with text and attributes."""
-    hits = df.withColumns({f"_h{i}": rule_hit(i, "text", rules) for i in range(len(rules))} | {"_hm": material(F.col("text")), "_hc": certifications(F.col("text"))})
-    names = [f"_h{i}" for i in range(len(rules))] + ["_hm", "_hc"]
-    entries = F.map_entries(F.coalesce("attributes", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))))
-    given = F.filter(F.transform(entries, lambda e, i: from_attribute(normalise_key(e["key"]), e["value"], i + 200)), lambda x: x.isNotNull())
-    listed = hits.select("*", F.filter(F.array(*names), lambda x: x.isNotNull()).alias("_hits"), given.alias("attribute_specs")).drop(*names)
-    best = listed.select("*", best_per_field(F.col("_hits")).alias("text_specs")).drop("_hits")
-    return best.select("*", merge(F.col("text_specs"), F.col("attribute_specs")).alias("specs"))
+    """Adds given (attribute values in order), t (a column per field, from the text) and s (the same, merged by trust).
+
+    Of attributes that name one field the first counts. An attribute outranks the text.
+    """
+    entries = f"transform(map_entries(coalesce(attributes, {EMPTY})), e -> {from_attribute(normalise_key_sql('e.key'), 'e.value')})"
+    named = df.selectExpr("*", f"filter({entries}, g -> g IS NOT NULL AND g.field <> '') AS _listed")
+    first = named.selectExpr("*", "filter(_listed, (g, i) -> NOT exists(slice(_listed, 1, i), e -> e.field = g.field)) AS given").drop("_listed")
+    ordered = sorted(rules, key=lambda r: -round(min(r[3], TRUST["extracted"]), 4))
+    best = {f: [rule_hit(r) for r in ordered if r[1] == f] for f in FIELDS} | {"material": [material()], "certifications": [certifications()]}
+    columns = ", ".join(f"'{f}', cast({'coalesce(' + ', '.join(best[f]) + ')' if best[f] else NONE} as {SPEC})" for f in FIELDS)
+    read = first.selectExpr("*", f"named_struct({columns}) AS t", "map_from_entries(transform(given, g -> struct(g.field, g))) AS _given")
+    merged = ", ".join(f"'{f}', coalesce(try_element_at(_given, '{f}'), t.{f})" for f in FIELDS)
+    return settled(read.selectExpr("*", f"named_struct({merged}) AS s").drop("_given"), "given", "t", "s")
+
+
+def listed(fields: str = "s") -> str:
+    """SQL of all values in order: fields as the rules stand, attributes alone after them, computed values last."""
+    schema = ", ".join(f"{fields}.{f}" for f in FIELDS)
+    of_text = ", ".join(f"if(t.{f} IS NOT NULL, {fields}.{f}, null)" for f in FIELDS)
+    found = "array_compact(array(" + ", ".join(f"t.{f}.field" for f in FIELDS) + "))"
+    alone = f"filter(given, g -> NOT array_contains({found}, g.field))"
+    computed = f"filter(array({schema}), x -> x.origin IN ('derived', 'llm', 'default'))"
+    return f"concat(array_compact(array({of_text})), {alone}, {computed})"

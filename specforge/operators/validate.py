@@ -4,110 +4,109 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from ..fixed import CATEGORY_RANGES, GLOBAL_RANGES, PENALTY, STANDARD_VOLTAGES, SYNCHRONOUS_SPEEDS
-from .derive import three_phase
-from .extract import get
+from .. import fixed as fx
+from ..functions.sql import let, quote, strip
+from .derive import phase_factor
 
-FINDING = "struct<rule:string,severity:string,field:string,observed:double,detail:string>"
+FINDING = "struct<rule:string,severity:string,field:string,observed:double,expected:string,suggestion:string>"
 
 
-def finding(rule: Column | str, severity: Column | str, field: Column | str, observed: Column | None = None, detail: Column | str | None = None) -> Column:
-    as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return F.struct(as_col(rule).alias("rule"), as_col(severity).alias("severity"), as_col(field).alias("field"), (F.lit(None) if observed is None else observed).cast("double").alias("observed"), as_col(detail).cast("string").alias("detail")).cast(FINDING)
+def finding(rule: str, severity: str, field: str, observed: str = "null", expected: str = "null", suggestion: str = "null") -> str:
+    return f"named_struct('rule', {rule}, 'severity', {severity}, 'field', {field}, 'observed', cast({observed} as double), 'expected', cast({expected} as string), 'suggestion', cast({suggestion} as string))"
 
 
-def ranges(code: Column, field: Column) -> Column:
-    """lo, hi and whether they are the category's own; null without a range."""
-    pair = lambda lo, hi, own: F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(own).alias("own"))
-    own = F.create_map(*[x for c, fields in CATEGORY_RANGES.items() for f, (lo, hi) in fields.items() for x in (F.lit(f"{c}/{f}"), pair(lo, hi, True))])
-    all_ = F.create_map(*[x for f, (lo, hi) in GLOBAL_RANGES.items() for x in (F.lit(f), pair(lo, hi, False))])
-    return F.coalesce(F.try_element_at(own, F.concat(code, F.lit("/"), field)), F.try_element_at(all_, field))
+def _fixed(rule: str, severity: str, field: str, **k: str) -> str:
+    return finding(quote(rule), quote(severity), quote(field), **k)
 
 
-def unit_slip(value: Column, lo: Column, hi: Column) -> Column:
-    hint = F.lit(None).cast("string")
-    for factor, label in reversed([(1000.0, "x1000"), (0.001, "/1000"), (0.01, "/100"), (100.0, "x100")]):
-        hint = F.when((value * factor >= lo) & (value * factor <= hi), F.lit(label)).otherwise(hint)
-    return hint
+def identity() -> list[str]:
+    name = strip("coalesce(name, '')")
+    return [
+        f"CASE WHEN {name} = '' THEN {_fixed('VAL.ID.NAME_MISSING', 'critical', 'name')} WHEN length({name}) < 3 THEN {_fixed('VAL.ID.NAME_SHORT', 'major', 'name', suggestion=quote('name the kind of product and its model'))} END",
+        f"CASE WHEN category IS NULL THEN {_fixed('VAL.ID.NO_CATEGORY', 'major', 'category')} WHEN category.confidence < {fx.WEAK_CATEGORY!r}D THEN {_fixed('VAL.ID.WEAK_CATEGORY', 'minor', 'category', observed='category.confidence', expected=quote(f'>= {fx.WEAK_CATEGORY}'), suggestion=quote('say the kind of product in the name or description'))} END",
+    ]
 
 
-def identity_findings() -> Column:
-    name = F.trim(F.coalesce("name", F.lit("")))
-    return F.array(
-        F.when(name == "", finding("VAL.ID.NAME_MISSING", "critical", "name")),
-        F.when((name != "") & (F.length(name) < 3), finding("VAL.ID.NAME_SHORT", "major", "name")),
-        F.when(F.col("category").isNull(), finding("VAL.ID.NO_CATEGORY", "major", "category")),
-        F.when(F.col("category.confidence") < 0.35, finding("VAL.ID.WEAK_CATEGORY", "minor", "category", F.col("category.confidence"))),
-    )
+def _slip(lo: str, hi: str, v: str) -> str:
+    return "CASE " + " ".join(f"WHEN {v} * {factor!r}D BETWEEN {lo} AND {hi} THEN '{label}'" for factor, label in fx.UNIT_SLIPS) + " END"
 
 
-def required_findings() -> Column:
-    fields = F.transform("specs", lambda s: s["field"])
-    missing = F.transform(F.array_except("category.required", fields), lambda f: finding(F.concat(F.lit("VAL.REQ."), F.upper(f)), "major", f))
-    gaps = F.array_except(F.array_except("category.expected", "category.required"), fields)
-    return F.concat(missing, F.array(F.when(F.size(gaps) > 0, finding("VAL.REQ.EXPECTED_GAPS", "minor", "specifications", F.size(gaps), F.array_join(gaps, ",")))))
+def ranges() -> list[str]:
+    """A finding per measured field of the schema that is negative, or outside its category's range or the one for all."""
+    found = []
+    for f in fx.FIELDS:
+        v = f"s.{f}.num"
+        own = [(c, r[f]) for c, r in fx.CATEGORY_RANGES.items() if f in r]
+        lo, hi = fx.GLOBAL_RANGES.get(f, (None, None))
+        pick = lambda i, rest: f"CASE category.code {' '.join(f'WHEN {quote(c)} THEN {r[i]!r}D' for c, r in own)} ELSE {rest} END" if own else rest  # noqa: E731, B023
+        low, high = pick(0, f"{lo!r}D" if lo is not None else "null"), pick(1, f"{hi!r}D" if hi is not None else "null")
+        case = f"WHEN {v} < 0 THEN {_fixed(f'VAL.RANGE.NEGATIVE.{f.upper()}', 'critical', f, observed=v, expected=quote('> 0'))}" if f != "max_temperature" else ""
+        if lo is not None:
+            severity = f"if(category.code IN ({', '.join(quote(c) for c, _ in own)}), 'major', 'minor')" if own else "'minor'"
+            wide = finding(quote(f"VAL.RANGE.{f.upper()}"), severity, quote(f), v, f"concat(cast({low} as string), ' - ', cast({high} as string))", _slip(low, high, v))
+            case += f" WHEN NOT {v} BETWEEN {low} AND {high} THEN {wide}"
+        if case:
+            found.append(f"CASE {case} END")
+    return found
 
 
-def range_findings() -> Column:
-    def check(s: Column) -> Column:
-        r, v = ranges(F.col("category.code"), s["field"]), s["num"]
-        outside = (v < r["lo"]) | (v > r["hi"])
-        return F.when(v.isNull(), F.lit(None)).when((v < 0) & (s["field"] != "max_temperature"), finding(F.concat(F.lit("VAL.RANGE.NEGATIVE."), F.upper(s["field"])), "critical", s["field"], v)).when(
-            outside, finding(F.concat(F.lit("VAL.RANGE."), F.upper(s["field"])), F.when(r["own"], "major").otherwise("minor"), s["field"], v, unit_slip(v, r["lo"], r["hi"])))
+def voltage() -> str:
+    v, all_ = "s.voltage.num", "array(" + ", ".join(f"{float(x)!r}D" for x in fx.STANDARD_VOLTAGES) + ")"
+    near = " OR ".join(f"abs({v} - {float(x)!r}D) / {float(x)!r}D <= {fx.VOLTAGE_TOLERANCE!r}D" for x in fx.STANDARD_VOLTAGES)
+    nearest = f"cast(cast(array_min(transform({all_}, (x, i) -> named_struct('apart', abs(x - {v}), 'i', i, 'x', x))).x as int) as string)"
+    return f"CASE WHEN {v} > {fx.LOWEST_MAINS!r}D AND NOT ({near}) THEN {_fixed('VAL.RANGE.NONSTANDARD_VOLTAGE', 'minor', 'voltage', observed=v, expected=nearest, suggestion=quote('verify against the nameplate'))} END"
 
-    v = get(F.col("specs"), "voltage")["num"]
-    standards = F.array(*[F.lit(float(x)) for x in STANDARD_VOLTAGES])
-    nearest = F.array_min(F.transform(standards, lambda s, i: F.struct(F.abs(s - v).alias("apart"), i.alias("rank"), s.alias("standard"))))["standard"]
-    odd = (v > 60) & ~F.exists(standards, lambda s: F.abs(v - s) / s <= 0.12)
-    return F.concat(F.transform("specs", check), F.array(F.when(odd, finding("VAL.RANGE.NONSTANDARD_VOLTAGE", "minor", "voltage", v, nearest.cast("int").cast("string")))))
 
+def coherence() -> list[str]:
+    p, v, i, f, n, t = (f"s.{x}.num" for x in ("power", "voltage", "current", "frequency", "rotational_speed", "torque"))
+    factor = f"if({v} > 0 AND {i} > 0, {p} / ({v} * {i} * {phase_factor()}), null)"
+    ratio = f"if({n} > 0 AND {t} > 0, {p} / ({t} * ({n} * {2 * math.pi!r}D / 60.0D)), null)"
+    box = "s.length.num * s.width.num * s.height.num"
+    density = f"if({box} > 0, s.weight.num * 1e6D / ({box}), null)"
+    speeds = "array(" + ", ".join(f"{float(x)!r}D" for x in fx.SYNCHRONOUS_SPEEDS) + ")"
+    nearest = f"array_min(transform({speeds}, (x, k) -> named_struct('apart', abs(x - {n}), 'k', k, 'x', x))).x"
+    (low_f, high_f), (low_r, high_r), (low_d, high_d), (low_s, high_s) = fx.POWER_FACTOR_RANGE, fx.TORQUE_RATIO_RANGE, fx.DENSITY_RANGE, fx.SLIP_RANGE
+    return [
+        let(factor, "r", f"CASE WHEN r > {high_f!r}D THEN {_fixed('VAL.COH.POWER_TOO_HIGH', 'major', 'power', observed='r', expected=quote(f'<= {high_f}'), suggestion=quote('the power may be an input figure, or the current one phase'))} WHEN r < {low_f!r}D THEN {_fixed('VAL.COH.POWER_TOO_LOW', 'minor', 'current', observed='r', expected=quote(f'>= {low_f}'), suggestion=quote('the current may include inrush'))} END"),
+        f"CASE WHEN {f} IN (50.0D, 60.0D) AND {n} > 0 THEN {let(nearest, 'z', f'CASE WHEN NOT {n} BETWEEN z * {low_s!r}D AND z * {high_s!r}D THEN {_fixed("VAL.COH.SPEED_VS_FREQ", "minor", "rotational_speed", observed=n, expected="concat(" + quote("near ") + ", cast(cast(z as int) as string))")} END')} END",
+        let(ratio, "r", f"CASE WHEN r > {high_r!r}D OR r < {low_r!r}D THEN {_fixed('VAL.COH.POWER_TORQUE_SPEED', 'major', 'torque', observed='r', expected=quote(f'{low_r} - {high_r}'), suggestion=quote('the torque may be a peak figure'))} END"),
+        f"CASE WHEN s.width.num > s.diameter.num * {fx.WIDEST_ASPECT!r}D THEN {_fixed('VAL.COH.ASPECT_RATIO', 'minor', 'width', observed='s.width.num', suggestion=quote('check that both have one unit'))} END",
+        let(density, "r", f"CASE WHEN r > {high_d!r}D OR r < {low_d!r}D THEN {_fixed('VAL.COH.DENSITY', 'minor', 'weight', observed='r', expected=quote(f'{low_d} - {high_d}'))} END"),
+    ]
 
-def coherence_findings() -> Column:
-    specs = F.col("specs")
-    value = lambda f: get(specs, f)["num"]
-    p, v, i, f, n, t = (value(x) for x in ("power", "voltage", "current", "frequency", "rotational_speed", "torque"))
-    factor = F.when((v > 0) & (i > 0), p / (v * i * F.when(three_phase(specs), F.lit(math.sqrt(3))).otherwise(F.lit(1.0))))
-    speeds = F.array(*[F.lit(float(x)) for x in SYNCHRONOUS_SPEEDS])
-    nearest = F.array_min(F.transform(speeds, lambda s, k: F.struct(F.abs(s - n).alias("apart"), k.alias("rank"), s.alias("speed"))))["speed"]
-    ratio = F.when((n > 0) & (t > 0), p / (t * (n * (2 * math.pi) / 60.0)))
-    box = value("length") * value("width") * value("height")
-    density = F.when(box > 0, value("weight") * 1e6 / box)
-    return F.array(
-        F.when(factor > 1.05, finding("VAL.COH.POWER_TOO_HIGH", "major", "power", factor)).when(factor < 0.35, finding("VAL.COH.POWER_TOO_LOW", "minor", "current", factor)),
-        F.when(f.isin(50.0, 60.0) & (n > 0) & ~((n >= nearest * 0.90) & (n <= nearest * 1.02)), finding("VAL.COH.SPEED_VS_FREQ", "minor", "rotational_speed", n)),
-        F.when((ratio > 1.35) | (ratio < 0.65), finding("VAL.COH.POWER_TORQUE_SPEED", "major", "torque", ratio)),
-        F.when(value("width") > value("diameter") * 6, finding("VAL.COH.ASPECT_RATIO", "minor", "width", value("width"))),
-        F.when((density > 25) | (density < 0.02), finding("VAL.COH.DENSITY", "minor", "weight", density)),
-    )
 
+def confidence() -> list[str]:
+    count = lambda test: f"size(filter(specs, v -> {test}))"
+    return [
+        let(count("v.origin = 'llm'"), "c", f"CASE WHEN c > 0 THEN {_fixed('VAL.CONF.LLM_INFERRED', 'info', 'specifications', observed='c', suggestion=quote('confirm against a datasheet'))} END"),
+        let(count(f"v.confidence < {fx.LOW_CONFIDENCE!r}D"), "c", f"CASE WHEN c > 0 THEN {_fixed('VAL.CONF.LOW', 'minor', 'specifications', observed='c')} END"),
+    ]
 
-def confidence_findings() -> Column:
-    model = F.size(F.filter("specs", lambda s: s["origin"] == "llm"))
-    weak = F.size(F.filter("specs", lambda s: s["confidence"] < 0.5))
-    return F.array(F.when(model > 0, finding("VAL.CONF.LLM_INFERRED", "info", "specifications", model)), F.when(weak > 0, finding("VAL.CONF.LOW", "minor", "specifications", weak)))
 
-
-def score(findings: Column, prefix: str = "") -> Column:
-    """One minus the penalties of the findings whose rule starts with prefix, within 0 and 1."""
-    penalty = F.create_map(*[F.lit(x) for kv in PENALTY.items() for x in kv])
-    lost = F.aggregate(F.filter(findings, lambda f: f["rule"].startswith(prefix)), F.lit(0.0), lambda s, f: s + F.coalesce(F.try_element_at(penalty, f["severity"]), F.lit(0.0)))
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.0) - lost)), 4)
+def penalties(test: str = "true") -> str:
+    """SQL of one minus the penalties of the findings that pass a test, within 0 and 1."""
+    case = "CASE f.severity " + " ".join(f"WHEN '{k}' THEN {v!r}D" for k, v in fx.PENALTY.items()) + " ELSE 0.0D END"
+    return f"round(greatest(0.0D, least(1.0D, aggregate(filter(findings, f -> {test}), 1.0D, (n, f) -> n - {case}))), 4)"
 
 
 def validate(df: DataFrame, strict: bool = False) -> DataFrame:
-    """Adds findings, validation (is_valid, score, consistency, counts, checked_rules), completeness and mean_confidence."""
-    found = F.filter(F.concat(identity_findings(), required_findings(), range_findings(), coherence_findings(), confidence_findings()), lambda f: f.isNotNull())
-    df = df.select("*", found.alias("findings"))
-    count = lambda s: F.size(F.filter("findings", lambda f: f["severity"] == s))
-    blocking = count("critical") + count("major") + (count("minor") if strict else F.lit(0))
-    own = F.create_map(*[F.lit(x) for c, fields in CATEGORY_RANGES.items() for x in (c, len(fields))])
-    report = F.struct(
-        (blocking == 0).alias("is_valid"), score(F.col("findings")).alias("score"), score(F.col("findings"), "VAL.COH.").alias("consistency"),
-        *[count(s).alias(s) for s in PENALTY], (F.lit(14) + F.size("category.required") + F.coalesce(F.try_element_at(own, F.col("category.code")), F.lit(0))).alias("checked_rules"),
-    )
-    filled = (F.coalesce("enriched_description", F.lit("")) != "").cast("int") + F.col("category").isNotNull().cast("int") + (F.size("keywords") > 0).cast("int")
-    confidences = F.concat(F.transform("specs", lambda s: s["confidence"]), F.array("category.confidence"))
-    return df.select("*", report.alias("validation"), F.round((F.lit(1) + filled + F.size("specs")) / (F.lit(4) + F.size("specs")), 4).alias("completeness"), F.round(F.aggregate(confidences, F.lit(0.0), lambda s, c: s + c) / F.size(confidences), 4).alias("mean_confidence"))
+    """Adds findings, validation (is_valid, status, score, consistency, counts, checked_rules), completeness, mean_confidence."""
+    fields = "transform(specs, v -> v.field)"
+    single = [*identity(), *ranges(), voltage(), *coherence(), *confidence()]
+    missing = f"transform(array_except(category.required, {fields}), f -> {finding('concat(' + quote('VAL.REQ.') + ', upper(f))', quote('major'), 'f', suggestion=quote('add it to the source data'))})"
+    gaps = let(f"array_except(array_except(category.expected, category.required), {fields})", "g", f"if(size(g) > 0, array({_fixed('VAL.REQ.EXPECTED_GAPS', 'minor', 'specifications', observed='size(g)', expected='array_join(g, ' + quote(',') + ')')}), cast(array() as array<{FINDING}>))")
+    negative = f"transform(filter(given, g -> g.num < 0 AND g.field NOT IN ({', '.join(map(quote, fx.FIELDS))})), g -> {finding('concat(' + quote('VAL.RANGE.NEGATIVE.') + ', upper(g.field))', quote('critical'), 'g.field', 'g.num', quote('> 0'))})"
+    cast = lambda x: f"cast({x} as {FINDING})"
+    parts = [f"array_compact(array({', '.join(map(cast, single))}))", f"coalesce({missing}, cast(array() as array<{FINDING}>))", f"coalesce({gaps}, cast(array() as array<{FINDING}>))", negative]
+    df = df.selectExpr("*", f"concat({', '.join(parts)}) AS findings")
+    count = lambda kind: f"size(filter(findings, f -> f.severity = '{kind}'))"
+    blocking = " AND ".join(f"{count(k)} = 0" for k in ("critical", "major", *(["minor"] if strict else [])))
+    own = "CASE category.code " + " ".join(f"WHEN {quote(c)} THEN {len(r)}" for c, r in fx.CATEGORY_RANGES.items()) + " ELSE 0 END"
+    counts = ", ".join(f"'{k}', {count(k)}" for k in fx.PENALTY)
+    report = f"named_struct('is_valid', {blocking}, 'status', if({blocking}, 'valid', 'invalid'), 'score', {penalties()}, 'consistency', {penalties('startswith(f.rule, ' + quote('VAL.COH.') + ')')}, {counts}, 'checked_rules', {fx.BASE_RULES} + coalesce(size(category.required), 0) + {own})"
+    filled = "1 + if(coalesce(enriched_description, '') = '', 0, 1) + if(category IS NULL, 0, 1) + if(size(keywords) > 0, 1, 0) + size(specs)"
+    held = "if(category IS NULL, transform(specs, v -> v.confidence), concat(transform(specs, v -> v.confidence), array(category.confidence)))"
+    mean = let(held, "c", "if(size(c) = 0, 0.0D, round(aggregate(c, 0.0D, (n, x) -> n + x) / size(c), 4))")
+    return df.selectExpr("*", f"{report} AS validation", f"round(({filled}) / (4 + size(specs)), 4) AS completeness", f"{mean} AS mean_confidence")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import math
 
-from .fixed import CATEGORY_RANGES, CERTIFICATIONS, FALLBACK, GLOBAL_RANGES, MATERIALS, PENALTY, RULES, STANDARD_VOLTAGES, SYNCHRONOUS_50, SYNCHRONOUS_60, SYNCHRONOUS_SPEEDS, TAXONOMY, TRUST, UNITS, WEIGHTS
+from .fixed import CATEGORY_RANGES, CERTIFICATIONS, DESCRIBED, FALLBACK, GLOBAL_RANGES, KEYWORD, MATERIALS, PENALTY, RULES, STANDARD_VOLTAGES, STOPWORDS, SYNCHRONOUS_50, SYNCHRONOUS_60, SYNCHRONOUS_SPEEDS, TAXONOMY, TRUST, UNITS, WEIGHTS
 from .functions.text import marked
-from .sources.catalog import catalog_sql
+from .sources.catalog import ATTRIBUTES, TRUTH, catalog_sql, truth_columns
 
 
 def q(x: str) -> str:
@@ -14,7 +14,7 @@ def q(x: str) -> str:
 
 
 def _re2(pattern: str, any_case: bool) -> str:
-    """The pattern without lookarounds, which this dialect lacks; the catalogue's texts hold no frame sizes."""
+    """The pattern without lookarounds, which this dialect lacks."""
     for size in ("frame ", "frame: ", "frame size ", "frame size: "):
         pattern = pattern.replace(f"(?<!{size})", "")
     pattern = pattern.replace(r"\b(?![-\w])", r"(?:$|[^-\w])").replace(r"(?!\w)", "").replace(r"(?!\d)", "")
@@ -32,10 +32,11 @@ def _hit(index: int) -> str:
             "mounting": f"array_to_string(list_transform(string_split({token}, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')", "protection_class": f"replace(upper({token}), '  ', ' ')",
         }.get(field, f"CASE WHEN length({token}) <= 4 THEN upper({token}) ELSE {token} END")
         return f"SELECT {head}, CAST(NULL AS DOUBLE) AS num, {text} AS str, CAST(NULL AS VARCHAR) AS unit FROM (SELECT product_id, regexp_extract(text, {p}, 1) AS m FROM txt) WHERE m <> ''"
+    text = "regexp_replace(text, '(?i)(frame:? |frame size:? )-?[0-9.,]+', '', 'g')" if rule == "EXT.VOLUME.BARE" else "text"
     key = "rtrim(replace(replace(replace(lower(trim(u)), ' ', ''), '³', '3'), '^3', '3'), '.')"
     return f"""SELECT {head}, num, CAST(NULL AS VARCHAR) AS str, unit FROM (
   SELECT m.product_id, round(TRY_CAST(replace(m.n, ',', '') AS DOUBLE) * d.multiplier + d.shift, 10) AS num, d.unit, row_number() OVER (PARTITION BY m.product_id ORDER BY m.i) AS rn
-  FROM (SELECT product_id, unnest(regexp_extract_all(text, {p}, 1)) AS n, unnest(regexp_extract_all(text, {p}, 2)) AS u, generate_subscripts(regexp_extract_all(text, {p}, 1), 1) AS i FROM txt) m
+  FROM (SELECT product_id, unnest(regexp_extract_all({text}, {p}, 1)) AS n, unnest(regexp_extract_all({text}, {p}, 2)) AS u, generate_subscripts(regexp_extract_all({text}, {p}, 1), 1) AS i FROM txt) m
   JOIN units d ON d.alias = {key} AND d.dimension = {q(dimension)}) WHERE rn = 1"""
 
 
@@ -52,25 +53,28 @@ def _near(speeds) -> str:
     return f"len(list_filter({_numbers(speeds)}, lambda s: n >= s * 0.9::DOUBLE AND n <= s * 1.02::DOUBLE)) > 0"
 
 
+_SPELLINGS = [(name, alias) for name, aliases in MATERIALS.items() for alias in aliases]
 _MARK = "regexp_replace(lower({}), '([a-z0-9]+)', chr(1) || '\\1' || chr(2), 'g')"
 _TERMS = [(x["code"], marked(t), WEIGHTS[a], WEIGHTS[b]) for x in TAXONOMY for kind, a, b in (("strong", "name_strong", "desc_strong"), ("weak", "name_weak", "desc_weak"), ("negative", "negative", "negative")) for t in x[kind]]
 _ROOT3 = repr(math.sqrt(3))
 _TURN = repr(2 * math.pi)
 
 CATALOG = f"""WITH raw AS ({catalog_sql("part", False)}),
-txt AS (SELECT *, concat_ws(chr(10), name, description, 'Brand: ' || a_brand, 'Rated Power: ' || a_power, 'net weight: ' || a_weight) AS text FROM raw),
+txt AS (SELECT *, replace(concat_ws(chr(10), name, description, {", ".join(f"'{k}: ' || {c}" for k, c in ATTRIBUTES.items())}), chr(160), ' ') AS text FROM raw),
 units(alias, dimension, unit, multiplier, shift) AS ({_values((a, d, u, float(m), float(o)) for a, (d, u, m, o) in UNITS.items())}),
 hits AS ({" UNION ALL ".join(_hit(i) for i in range(len(RULES)))}
  UNION ALL SELECT product_id, 'EXT.MATERIAL.VOCAB', 'material', 0.93::DOUBLE, 100, NULL, name, NULL FROM (
    SELECT t.product_id, m.name, row_number() OVER (PARTITION BY t.product_id ORDER BY length(m.alias) DESC, m.i) AS rn
-   FROM txt t JOIN ({_values((i, n, a) for i, (n, a) in enumerate(MATERIALS))}) m(i, name, alias) ON contains(lower(t.text), m.alias)) WHERE rn = 1
+   FROM txt t JOIN ({_values((i, n, a) for i, (n, a) in enumerate(_SPELLINGS))}) m(i, name, alias) ON contains(lower(t.text), m.alias)) WHERE rn = 1
  UNION ALL SELECT t.product_id, 'EXT.CERT.VOCAB', 'certifications', 0.9::DOUBLE, 101, NULL, string_agg(c.name, ',' ORDER BY c.name), NULL
    FROM (SELECT product_id, {_MARK.format("text")} AS m FROM txt) t JOIN ({_values((c, marked(c)) for c in CERTIFICATIONS)}) c(name, mark) ON contains(t.m, c.mark) GROUP BY t.product_id),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id, field ORDER BY confidence DESC, ord) AS rn FROM hits) WHERE rn = 1),
 attributes AS (
   SELECT product_id, 'brand' AS field, CAST(NULL AS DOUBLE) AS num, trim(a_brand) AS str, CAST(NULL AS VARCHAR) AS unit FROM raw WHERE a_brand IS NOT NULL
-  UNION ALL SELECT product_id, 'power', CAST(regexp_extract(a_power, '^(\\d+) kW$', 1) AS DOUBLE) * 1000, NULL, 'W' FROM raw WHERE a_power IS NOT NULL
-  UNION ALL SELECT product_id, 'weight', CAST(a_weight AS DOUBLE), NULL, NULL FROM raw WHERE a_weight IS NOT NULL),
+  UNION ALL SELECT product_id, 'power', CAST(regexp_extract(a_power, '(\\d+) kW', 1) AS DOUBLE) * 1000, NULL, 'W' FROM raw WHERE a_power IS NOT NULL
+  UNION ALL SELECT product_id, 'weight', CAST(regexp_extract(a_weight, '-?\\d+') AS DOUBLE), NULL, CASE WHEN contains(a_weight, 'kg') THEN 'kg' END FROM raw WHERE a_weight IS NOT NULL
+  UNION ALL SELECT product_id, 'flow_rate', CAST(regexp_extract(a_capacity, '\\d+') AS DOUBLE), NULL, 'L' FROM raw WHERE a_capacity IS NOT NULL
+  UNION ALL SELECT product_id, 'noise_level', CAST(regexp_extract(a_noise, '\\d+') AS DOUBLE), NULL, 'dB' FROM raw WHERE a_noise IS NOT NULL),
 merged AS (
   SELECT product_id, field, num, str, unit, 'input' AS origin, 1.0::DOUBLE AS confidence FROM attributes
   UNION ALL SELECT product_id, field, num, str, unit, 'extracted', confidence FROM best ANTI JOIN attributes USING (product_id, field)),
@@ -111,7 +115,9 @@ coherent AS (
   SELECT *, CASE WHEN v > 0 AND i > 0 THEN p / (v * i * phases) END AS factor, CASE WHEN n > 0 AND t > 0 THEN p / (t * (n * {_TURN}::DOUBLE / 60)) END AS ratio, CASE WHEN l * w * h > 0 THEN kg * 1e6 / (l * w * h) END AS density,
     list_sort(list_transform({_numbers(SYNCHRONOUS_SPEEDS)}, lambda s, k: {{'apart': abs(s - n), 'rank': k, 'speed': s}}))[1].speed AS nearest FROM final),
 findings AS (
-  SELECT product_id, 'VAL.ID.WEAK_CATEGORY' AS rule, 'minor' AS severity, 'category' AS field FROM category WHERE confidence < 0.35
+  SELECT product_id, 'VAL.ID.NAME_MISSING' AS rule, 'critical' AS severity, 'name' AS field FROM raw WHERE trim(name) = ''
+  UNION ALL SELECT product_id, 'VAL.ID.NAME_SHORT', 'major', 'name' FROM raw WHERE length(trim(name)) BETWEEN 1 AND 2
+  UNION ALL SELECT product_id, 'VAL.ID.WEAK_CATEGORY', 'minor', 'category' FROM category WHERE confidence < 0.35
   UNION ALL SELECT c.product_id, 'VAL.REQ.' || upper(x.field), 'major', x.field FROM category c JOIN wanted x ON x.code = c.code AND x.needed = 'true' ANTI JOIN facts f ON f.product_id = c.product_id AND f.field = x.field
   UNION ALL SELECT DISTINCT c.product_id, 'VAL.REQ.EXPECTED_GAPS', 'minor', 'specifications' FROM category c JOIN wanted x ON x.code = c.code AND x.needed = 'false' ANTI JOIN facts f ON f.product_id = c.product_id AND f.field = x.field
   UNION ALL SELECT product_id, 'VAL.RANGE.NEGATIVE.' || upper(field), 'critical', field FROM spans WHERE num < 0 AND field <> 'max_temperature'
@@ -126,26 +132,57 @@ findings AS (
   UNION ALL SELECT product_id, 'VAL.CONF.LOW', 'minor', 'specifications' FROM facts WHERE confidence < 0.5 GROUP BY product_id),
 verdicts AS (
   SELECT r.product_id, count(f.rule) FILTER (f.severity IN ('critical', 'major')) = 0 AS is_valid,
-    round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE - coalesce(sum(CASE f.severity {" ".join(f"WHEN {q(k)} THEN {v}::DOUBLE" for k, v in PENALTY.items())} END), 0))), 4) AS score, count(f.rule) AS n_findings
-  FROM raw r LEFT JOIN findings f USING (product_id) GROUP BY r.product_id)
+    round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE - coalesce(sum(CASE f.severity {" ".join(f"WHEN {q(k)} THEN {v}::DOUBLE" for k, v in PENALTY.items())} END), 0))), 4) AS score, count(f.rule) AS n_findings,
+    round(greatest(0.0::DOUBLE, 1.0::DOUBLE - coalesce(sum(CASE f.severity {" ".join(f"WHEN {q(k)} THEN {v}::DOUBLE" for k, v in PENALTY.items())} END) FILTER (f.rule LIKE 'VAL.COH.%'), 0)), 4) AS consistency,
+    count(f.rule) FILTER (f.severity = 'critical') AS critical, count(f.rule) FILTER (f.severity = 'major') AS major, count(f.rule) FILTER (f.severity = 'minor') AS minor
+  FROM raw r LEFT JOIN findings f USING (product_id) GROUP BY r.product_id),
+tokens AS (SELECT product_id, unnest(regexp_extract_all(lower(text), {q("(" + KEYWORD + ")")}, 1)) AS token FROM txt),
+words AS (
+  SELECT product_id, token, n FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY n DESC, token) AS place FROM (
+    SELECT product_id, token, count(*) AS n FROM tokens WHERE token NOT IN ({", ".join(map(q, STOPWORDS))}) GROUP BY ALL)) WHERE place <= 12),
+measures AS (
+  SELECT r.product_id, round((2 + (len(coalesce(w.words, [])) > 0)::INT + 1 + coalesce(f.n, 0)) / (4 + coalesce(f.n, 0))::DOUBLE, 4) AS completeness,
+    round((coalesce(f.confidences, 0) + c.confidence) / (coalesce(f.n, 0) + 1), 4) AS mean_confidence, coalesce(f.n, 0) AS specs,
+    {", ".join(f"coalesce(f.{o}, 0) AS {o}" for o in ("input", "extracted", "derived"))}, array_to_string(w.words, ',') AS keywords
+  FROM raw r JOIN category c USING (product_id) LEFT JOIN (
+    SELECT product_id, count(*) AS n, sum(confidence) AS confidences, {", ".join(f"count(*) FILTER (origin = '{o}') AS {o}" for o in ("input", "extracted", "derived"))} FROM facts GROUP BY ALL) f USING (product_id)
+  LEFT JOIN (SELECT product_id, list(token ORDER BY n DESC, token) AS words FROM words GROUP BY ALL) w USING (product_id)),
+bits AS (
+  SELECT product_id, list(bit ORDER BY place) AS b FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY pick) AS place FROM (
+    SELECT product_id, d.pick, CASE WHEN num IS NOT NULL AND unit IS NOT NULL THEN d.label || ' of ' || format('{{:g}}', num) || ' ' || unit ELSE d.label || ' ' || coalesce(str, CAST(num AS VARCHAR)) END AS bit
+    FROM facts JOIN ({_values((i, f, f.replace("_", " ")) for i, f in enumerate(DESCRIBED))}) d(pick, field, label) USING (field))) WHERE place <= 4 GROUP BY ALL),
+described AS (
+  SELECT r.product_id, name || ' is a ' || lower(l.name_of) || CASE coalesce(len(b), 0) WHEN 0 THEN '' WHEN 1 THEN ' rated at  ' || b[1] ELSE ' rated at ' || array_to_string(b[1:-2], ', ') || ' and ' || b[-1] END
+    || '. ' || rtrim(description, '.') || '.' AS enriched_description
+  FROM raw r JOIN category c USING (product_id) JOIN (SELECT code, name AS name_of FROM leaf UNION ALL SELECT {q(FALLBACK[0])}, {q(FALLBACK[1][-1])}) l USING (code) LEFT JOIN bits USING (product_id))
 """
-_OUTLYING = """, moments AS (SELECT code, field, count(*) AS n, avg(num) AS mean, stddev_pop(num) AS deviation FROM facts JOIN category USING (product_id) WHERE num IS NOT NULL GROUP BY ALL HAVING count(*) >= 4 AND stddev_pop(num) > 0)"""
+_OUTLYING = """, moments AS (SELECT code, field, count(*) AS n, avg(num) AS mean, stddev_pop(num) AS deviation FROM facts JOIN category USING (product_id) WHERE num IS NOT NULL GROUP BY ALL HAVING count(*) >= 4 AND stddev_pop(num) > 0),
+outlying AS (SELECT product_id, code, field, num, mean, abs((num - mean) / deviation) AS z FROM facts JOIN category USING (product_id) JOIN moments USING (code, field) WHERE abs((num - mean) / deviation) > 3.0)"""
+_CONFLICTS = "(SELECT field FROM facts WHERE unit IS NOT NULL GROUP BY field HAVING count(DISTINCT unit) > 1)"
 _SQUASHED = r"regexp_replace(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}]', '', 'g')"
+_ESCAPED = "replace(replace(replace({}, chr(9), '\\t'), chr(10), '\\n'), chr(160), '\\u00a0')"
 _PRINT = f"substr(sha256({_SQUASHED.format('name')} || '|' || {_SQUASHED.format('category')}), 1, 16)"
 
 SQL = {
-    "raw_catalog": CATALOG + "SELECT product_id, brand, name, description, category, a_brand, a_power, a_weight FROM raw",
+    "raw_catalog": CATALOG + "SELECT product_id, brand, name, description, category, a_brand, a_power, a_weight, a_capacity, a_noise FROM raw",
     "fingerprints": CATALOG + f"SELECT product_id, {_PRINT} AS fingerprint FROM raw",
-    "duplicate_groups": CATALOG + f"SELECT {_PRINT} AS fingerprint, count(*) AS n, min(product_id) AS first_id FROM raw GROUP BY 1 HAVING count(*) > 1",
+    "duplicate_groups": CATALOG + f"SELECT {_PRINT} AS fingerprint, count(*) AS n, string_agg(name, '|' ORDER BY product_id) AS names FROM raw GROUP BY 1 HAVING count(*) > 1",
     "extract_best": CATALOG + "SELECT product_id, field, rule, round(num, 6) AS num, str, unit, confidence FROM best",
     "spec_facts": CATALOG + "SELECT product_id, code, field, round(num, 6) AS num, str, unit, facts.origin, facts.confidence FROM facts JOIN category USING (product_id)",
     "classify_best": CATALOG + "SELECT product_id, code, origin, confidence FROM category",
     "classify_ranked": CATALOG + "SELECT product_id, CAST(place AS INT) AS place, code, score, confidence FROM confident WHERE place <= 5",
     "validation_findings": CATALOG + "SELECT * FROM findings",
-    "validation_scores": CATALOG + "SELECT product_id, is_valid, score, CAST(n_findings AS INT) AS n_findings FROM verdicts",
-    "enrich_summary": CATALOG + "SELECT count(*) AS total, count(*) FILTER (is_valid) AS valid, count(*) FILTER (NOT is_valid) AS invalid, round(avg(score), 6) AS mean_score FROM verdicts",
-    "zscore_outliers": CATALOG + _OUTLYING + "SELECT product_id, code, field FROM facts JOIN category USING (product_id) JOIN moments USING (code, field) WHERE abs((num - mean) / deviation) > 3.0",
-    "unit_conflicts": CATALOG + "SELECT field, count(*) AS units, string_agg(unit, ',' ORDER BY unit) AS names, CAST(sum(n) AS BIGINT) AS n FROM (SELECT field, unit, count(*) AS n FROM facts WHERE num IS NOT NULL AND unit IS NOT NULL GROUP BY ALL) GROUP BY field HAVING count(*) > 1",
+    "validation_scores": CATALOG + "SELECT product_id, is_valid, score, consistency, CAST(n_findings AS INT) AS n_findings, CAST(critical AS INT) AS critical, CAST(major AS INT) AS major, CAST(minor AS INT) AS minor FROM verdicts",
+    "enrich_summary": CATALOG + "SELECT count(*) AS total, count(*) FILTER (is_valid) AS valid, count(*) FILTER (NOT is_valid) AS invalid, round(avg(score), 4) AS mean_score, round(avg(completeness), 4) AS mean_completeness FROM verdicts JOIN measures USING (product_id)",
+    "zscore_outliers": CATALOG + _OUTLYING + "SELECT product_id, code, field, round(num, 6) AS num, round(z, 2) AS z, round(mean, 4) AS mean FROM outlying",
+    "unit_conflicts": CATALOG + f"SELECT field, unit, count(*) AS n, array_to_string(list(name ORDER BY product_id)[1:3], '|') AS examples FROM facts JOIN raw USING (product_id) WHERE unit IS NOT NULL AND field IN {_CONFLICTS} GROUP BY ALL",
+    "content_hash": CATALOG + "SELECT product_id, sha256('{\"attributes\":{' || concat_ws(',', " + ", ".join(f"'\"{k}\":\"' || {_ESCAPED.format(c)} || '\"'" for k, c in ATTRIBUTES.items()) + ") || '},\"description\":\"' || replace(trim(description), '°', chr(92) || 'u00b0') || '\",\"name\":\"' || trim(name) || '\"}') AS content_hash FROM raw",
+    "catalog_score": CATALOG + _OUTLYING + f"SELECT records, duplicates, outliers, conflicts, round(greatest(0.0::DOUBLE, 1 - (duplicates + outliers + conflicts) / records::DOUBLE), 4) AS score FROM (SELECT (SELECT count(*) FROM raw) AS records, (SELECT count(*) FROM (SELECT {_PRINT} FROM raw GROUP BY 1 HAVING count(*) > 1)) AS duplicates, (SELECT count(*) FROM outlying) AS outliers, (SELECT count(*) FROM {_CONFLICTS}) AS conflicts)",
+    "traceability": CATALOG + "SELECT product_id, CAST(specs AS INT) AS specs, round(coalesce((input + extracted + derived) / nullif(specs, 0)::DOUBLE, 0), 4) AS traceable FROM measures",
+    "trust_breakdown": CATALOG + "SELECT product_id, CAST(specs AS INT) AS total_fields, round((input + extracted) / greatest(specs, 1)::DOUBLE, 4) AS verifiable_ratio, round(derived / greatest(specs, 1)::DOUBLE, 4) AS computed_ratio, 0.0::DOUBLE AS model_inferred_ratio, mean_confidence, completeness FROM measures",
+    "keywords_top12": CATALOG + "SELECT product_id, coalesce(keywords, '') AS keywords FROM measures",
+    "describe_template": CATALOG + "SELECT product_id, enriched_description FROM described",
+    "classify_alternatives": CATALOG + "SELECT product_id, CAST(place - 1 AS INT) AS place, confident.code, confident.score, confident.confidence FROM confident JOIN category USING (product_id) WHERE place BETWEEN 2 AND 4 AND category.origin <> 'input'",
     "provenance": CATALOG + "SELECT product_id, origin, count(*) AS n FROM facts GROUP BY ALL",
     "flat_export": CATALOG + "SELECT r.product_id, r.name, c.code, " + ", ".join(f"round(max(num) FILTER (field = '{f}'), 6) AS {f}" for f in ("power", "voltage", "current", "rotational_speed", "torque", "pressure", "flow_rate", "weight")) + " FROM raw r JOIN category c USING (product_id) LEFT JOIN facts f USING (product_id) GROUP BY ALL",
     "attribute_lines": CATALOG + ", lines AS (SELECT product_id, unnest(string_split(text, chr(10))) AS line FROM txt) SELECT product_id, trim(regexp_extract(line, p, 1)) AS key, trim(regexp_extract(line, p, 2)) AS value FROM lines, (SELECT '^\\s*([A-Za-z][A-Za-z0-9 /_().-]{2,40})\\s*[:\\t]\\s*(.+?)\\s*$' AS p) WHERE regexp_extract(line, p, 1) <> '' AND length(regexp_extract(line, p, 2)) < 120",

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .fixed import FIELDS
+from .functions import text
 from .functions.embedding import bucket, trigrams
 from .functions.text import fingerprint, key_value
 from .operators import catalog
@@ -32,29 +33,25 @@ def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.spec_facts(_enriched(spark, sf_dir))
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """df checkpointed: it is computed once, and filters that a join infers are not pushed into the chain by inlining it."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
-
-
 def q_raw_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _table(spark, sf_dir, "part").createOrReplaceTempView("part_rows")
-    return spark.sql(catalog_sql("part_rows", True))
+    return spark.sql(catalog_sql("{part}", True), part=_table(spark, sf_dir, "part"))
 
 
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_catalog(spark, sf_dir).select("product_id", fingerprint(F.col("name"), F.col("category")).alias("fingerprint"))
 
 
+def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_catalog(spark, sf_dir).select("product_id", text.content_hash().alias("content_hash"))
+
+
 def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.duplicate_groups(raw_catalog(spark, sf_dir))
+    return catalog.duplicate_groups(raw_catalog(spark, sf_dir)).withColumn("names", F.array_join("names", "|"))
 
 
 def extract_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = extract(with_text(raw_catalog(spark, sf_dir))).select("product_id", F.explode_outer("text_specs").alias("s")).filter("s IS NOT NULL")
+    found = F.array_compact(F.array(*[F.col(f"t.{f}") for f in FIELDS]))
+    s = extract(with_text(raw_catalog(spark, sf_dir))).select("product_id", found.alias("found")).select("product_id", F.explode_outer("found").alias("s")).filter("s IS NOT NULL")
     return s.select("product_id", "s.field", "s.rule", F.round("s.num", 6).alias("num"), F.coalesce("s.str", F.array_join("s.list", ",")).alias("str"), "s.unit", "s.confidence")
 
 
@@ -66,29 +63,52 @@ def classify_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _enriched(spark, sf_dir).select("product_id", "category.code", "category.origin", "category.confidence")
 
 
-def classify_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _enriched(spark, sf_dir).select("product_id", F.posexplode_outer("ranked").alias("at", "r")).filter("r IS NOT NULL")
+def _placed(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
+    r = _enriched(spark, sf_dir).select("product_id", F.posexplode(column).alias("at", "r"))
     return r.select("product_id", (F.col("at") + 1).alias("place"), "r.code", "r.score", "r.confidence")
 
 
+def classify_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _placed(spark, sf_dir, "ranked")
+
+
+def classify_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _placed(spark, sf_dir, "alternatives")
+
+
+def keywords_top12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _enriched(spark, sf_dir).select("product_id", F.array_join("keywords", ",").alias("keywords"))
+
+
+def describe_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _enriched(spark, sf_dir).select("product_id", "enriched_description")
+
+
 def validation_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _enriched(spark, sf_dir).select("product_id", F.explode_outer("findings").alias("f")).filter("f IS NOT NULL").select("product_id", "f.rule", "f.severity", "f.field")
+    return _enriched(spark, sf_dir).select("product_id", F.explode("findings").alias("f")).select("product_id", "f.rule", "f.severity", "f.field")
 
 
 def validation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _enriched(spark, sf_dir).select("product_id", "validation.is_valid", "validation.score", F.size("findings").alias("n_findings"))
+    v = ["is_valid", "score", "consistency", "critical", "major", "minor"]
+    return _enriched(spark, sf_dir).select("product_id", *[f"validation.{c}" for c in v], F.size("findings").alias("n_findings"))
 
 
 def enrich_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.summary(_enriched(spark, sf_dir)).select("total", "valid", "invalid", "mean_score")
+    return catalog.summary(_enriched(spark, sf_dir))
 
 
 def zscore_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.outliers(_settled(_facts(spark, sf_dir))).select("product_id", "code", "field")
+    found = catalog.outliers(_facts(spark, sf_dir))
+    return found.select("product_id", "code", "field", F.round("num", 6).alias("num"), F.round("z", 2).alias("z"), F.round("mean", 4).alias("mean"))
 
 
 def unit_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.unit_conflicts(_facts(spark, sf_dir))
+    found = catalog.unit_conflicts(_facts(spark, sf_dir), raw_catalog(spark, sf_dir))
+    return found.withColumn("examples", F.array_join("examples", "|"))
+
+
+def catalog_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.catalogue_score(raw_catalog(spark, sf_dir), _facts(spark, sf_dir))
 
 
 def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,13 +120,12 @@ def traceability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flat_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per record and a column per field: arrays are looked up in place, nothing is pivoted or shuffled."""
-    value = lambda f: F.round(F.get(F.filter("specs", lambda s: s["field"] == f), 0)["num"], 6).alias(f)
-    return _enriched(spark, sf_dir).select("product_id", "name", "category.code", *map(value, EXPORTED))
+    """One row per record and a column per field: nothing is pivoted or shuffled."""
+    return _enriched(spark, sf_dir).select("product_id", "name", "category.code", *[F.round(f"s.{f}.num", 6).alias(f) for f in EXPORTED])
 
 
 def attribute_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = with_text(raw_catalog(spark, sf_dir)).select("product_id", F.explode(F.split("text", "\n")).alias("line"))
+    lines = with_text(raw_catalog(spark, sf_dir)).select("product_id", F.explode(F.split(F.replace("text", F.lit("\u00a0"), F.lit(" ")), "\n")).alias("line"))
     return lines.select("product_id", key_value(F.col("line")).alias("kv")).filter("kv IS NOT NULL").select("product_id", "kv.*")
 
 
@@ -149,7 +168,10 @@ def lexical_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (fingerprints, duplicate_groups, extract_best, spec_facts, classify_best, classify_ranked, validation_findings, validation_scores, enrich_summary, zscore_outliers, unit_conflicts, provenance, traceability, flat_export, attribute_lines, never_ordered, latest_event, event_props, job_progress, customer_outliers, quality_agreement, lexical_embedding)
+    own = (
+        fingerprints, content_hash, duplicate_groups, extract_best, spec_facts, classify_best, classify_ranked, classify_alternatives, keywords_top12, describe_template, validation_findings, validation_scores,
+        enrich_summary, zscore_outliers, unit_conflicts, catalog_score, provenance, traceability, flat_export, attribute_lines, latest_event, event_props, lexical_embedding,
+    )
     return {"raw_catalog": q_raw_catalog} | {f.__name__: f for f in own}
 
 
