@@ -29,7 +29,7 @@ def strip(x: str) -> str:
 def general(value: str) -> str:
     """A number with six significant digits and no trailing zeros; very large and small ones with an exponent."""
     zeros = lambda x: f"regexp_replace({x}, r'\\.?0+$', '')"
-    body = f"CASE WHEN {value} = 0 THEN '0' WHEN cast(substring_index(e, 'e', -1) as int) BETWEEN -4 AND 5 THEN {zeros('format_string(\'%.9f\', cast(e as double))')} ELSE concat({zeros('substring_index(e, \'e\', 1)')}, 'e', substring_index(e, 'e', -1)) END"
+    body = f"CASE WHEN {value} IS NULL THEN null WHEN {value} = 0 THEN '0' WHEN try_cast(substring_index(e, 'e', -1) as int) BETWEEN -4 AND 5 THEN {zeros('format_string(\'%.9f\', try_cast(e as double))')} ELSE concat({zeros('substring_index(e, \'e\', 1)')}, 'e', substring_index(e, 'e', -1)) END"
     return let(f"format_string('%.5e', {value})", "e", body)
 
 

@@ -163,6 +163,22 @@ _SQUASHED = r"regexp_replace(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}]', '', '
 _ESCAPED = "replace(replace(replace({}, chr(9), '\\t'), chr(10), '\\n'), chr(160), '\\u00a0')"
 _PRINT = f"substr(sha256({_SQUASHED.format('name')} || '|' || {_SQUASHED.format('category')}), 1, 16)"
 
+_LABELS = {"input": "From source", "extracted": "Extracted", "derived": "Computed", "taxonomy": "Classified", "llm": "Model-inferred", "default": "Fallback"}
+_PATHS = " UNION ALL ".join(f"SELECT {q(c)} AS code, [{', '.join(map(q, p))}] AS path" for c, p in [(x["code"], x["path"]) for x in TAXONOMY] + [FALLBACK])
+_NAMES = f"SELECT code, name AS name_of FROM leaf UNION ALL SELECT {q(FALLBACK[0])}, {q(FALLBACK[1][-1])}"
+_FACTORS = {"power": "CASE WHEN x LIKE '%kW' THEN 1000 ELSE 745.699872 END", "voltage": "1", "rotational_speed": "1"}
+_JUDGED = CATALOG + f""", told AS ({catalog_sql("part", False, truth_columns())}),
+asked AS ({" UNION ALL ".join(f"SELECT product_id AS case_id, {q(f)} AS field, x_{f} AS x FROM told WHERE x_{f} IS NOT NULL" for f in TRUTH)}),
+judged AS (SELECT case_id, a.field, CASE WHEN f.field IS NULL THEN 'fn' WHEN a.field IN ('ip_rating', 'nominal_bore') THEN CASE WHEN lower(f.str) = lower(x) THEN 'tp' ELSE 'mismatch' END
+  WHEN abs(num - y) <= 0.05 * greatest(abs(num), abs(y)) THEN 'tp' ELSE 'mismatch' END AS outcome
+  FROM (SELECT *, CAST(regexp_extract(x, '[0-9.]+') AS DOUBLE) * CASE field {" ".join(f"WHEN {q(k)} THEN {v}" for k, v in _FACTORS.items())} END::DOUBLE AS y FROM asked) a LEFT JOIN facts f ON f.product_id = case_id AND f.field = a.field),
+scored AS (SELECT t.product_id AS case_id, e.name_of AS expected_category, p.name_of AS predicted, e.name_of = p.name_of AS correct, c.confidence,
+  e.name_of = p.name_of OR (c.origin <> 'input' AND EXISTS (SELECT 1 FROM confident a WHERE a.product_id = t.product_id AND a.place IN (2, 3) AND a.code = t.leaf)) AS in_top3,
+  (SELECT count(*) FROM judged j WHERE j.case_id = t.product_id AND outcome = 'tp') AS tp, (SELECT count(*) FROM judged j WHERE j.case_id = t.product_id AND outcome <> 'tp') AS fn,
+  CAST(greatest(1, (t.a_brand IS NOT NULL)::INT + (t.a_power IS NOT NULL)::INT + (t.a_weight IS NOT NULL)::INT + (t.a_capacity IS NOT NULL)::INT + (t.a_noise IS NOT NULL)::INT + 1 + (t.category IS NOT NULL)::INT) AS BIGINT) AS n_in, CAST(m.specs AS BIGINT) AS n_out, v.score
+  FROM told t JOIN category c USING (product_id) JOIN ({_NAMES}) e ON e.code = t.leaf JOIN ({_NAMES}) p ON p.code = c.code JOIN measures m USING (product_id) JOIN verdicts v USING (product_id))
+"""
+
 SQL = {
     "raw_catalog": CATALOG + "SELECT product_id, brand, name, description, category, a_brand, a_power, a_weight, a_capacity, a_noise FROM raw",
     "fingerprints": CATALOG + f"SELECT product_id, {_PRINT} AS fingerprint FROM raw",
@@ -193,4 +209,34 @@ SQL = {
     "customer_outliers": "SELECT c_custkey FROM customer JOIN (SELECT c_nationkey, count(*) AS n, avg(c_acctbal) AS m, stddev_pop(c_acctbal) AS d FROM customer GROUP BY 1) USING (c_nationkey) WHERE n >= 4 AND d > 0 AND abs((c_acctbal - m) / d) > 1.5",
     "quality_agreement": "SELECT sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(tn)::BIGINT AS tn FROM (SELECT (p AND quality = 1)::INT AS tp, (p AND quality = 0)::INT AS fp, (NOT p AND quality = 1)::INT AS fn, (NOT p AND quality = 0)::INT AS tn FROM (SELECT quality, coalesce(length(text), 0) >= 200 AS p FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL))",
     "lexical_embedding": "SELECT p_partkey AS product_id, CAST(CAST('0x' || substr(sha1(g), 1, 8) AS BIGINT) % 256 AS INT) AS bucket, CAST(sum(CASE WHEN CAST('0x' || substr(sha1(g), 10, 1) AS INT) % 2 = 1 THEN 1 ELSE -1 END) AS BIGINT) AS weight FROM (SELECT p_partkey, unnest(CASE WHEN length(j) >= 3 THEN list_transform(range(1, length(j) - 1), lambda i: substr(j, i, 3)) WHEN j <> '' THEN [j] ELSE [''] END) AS g FROM (SELECT p_partkey, array_to_string(regexp_extract_all(lower(coalesce(p_name, '')), '([a-z0-9]+)', 1), ' ') AS j FROM part)) GROUP BY ALL",
+} | {
+    "unit_canonical": CATALOG + "SELECT product_id, key, num, unit FROM (SELECT product_id, 'Rated Power' AS key, num, unit FROM attributes WHERE field = 'power' UNION ALL SELECT product_id, 'net weight', num, unit FROM attributes WHERE field = 'weight' AND unit IS NOT NULL UNION ALL SELECT product_id, 'capacity', num, unit FROM attributes WHERE field = 'flow_rate' UNION ALL SELECT product_id, 'noise', num, unit FROM attributes WHERE field = 'noise_level')",
+    "unit_agreement": CATALOG + "SELECT product_id, abs(b.num - a.num) <= 0.02 * greatest(abs(a.num), abs(b.num)) AS agrees, true AS same_dimension FROM best b JOIN attributes a USING (product_id, field) WHERE field = 'power'",
+    "field_provenance": CATALOG + f"SELECT product_id, field, coalesce(str, CASE WHEN num = floor(num) THEN CAST(CAST(num AS BIGINT) AS VARCHAR) ELSE format('{{:g}}', num) END || coalesce(' ' || unit, '')) AS display, origin, CASE origin {' '.join(f'WHEN {q(k)} THEN {q(v)}' for k, v in _LABELS.items())} END AS origin_label, CASE origin {' '.join(f'WHEN {q(k)} THEN {v}::DOUBLE' for k, v in TRUST.items())} END AS trust, origin IN ('input', 'extracted') AS verifiable, origin = 'input' AND EXISTS (SELECT 1 FROM best WHERE best.product_id = f.product_id AND best.field = f.field) AS overrode FROM (SELECT * REPLACE (replace(str, ',', ', ') AS str) FROM facts) f",
+    "spec_rows": CATALOG + "SELECT product_id, CAST(row_number() OVER (PARTITION BY product_id ORDER BY CASE origin WHEN 'input' THEN 0 WHEN 'extracted' THEN 1 ELSE 2 END, field) AS INT) AS place, field, origin FROM facts",
+    "category_reasoning": CATALOG + f"SELECT c.product_id, c.code, c.origin, CASE WHEN c.origin = 'taxonomy' THEN round(a.score - coalesce(b.score, 0), 4) END AS margin, coalesce(s.fields, '') AS supporting, c.confidence < 0.45 AS doubtful, CASE WHEN c.origin = 'taxonomy' THEN coalesce(p.terms, '') END AS penalised FROM category c LEFT JOIN confident a ON a.product_id = c.product_id AND a.place = 1 LEFT JOIN confident b ON b.product_id = c.product_id AND b.place = 2 LEFT JOIN (SELECT c.product_id, string_agg(w.field, ',' ORDER BY w.field) AS fields FROM category c JOIN wanted w USING (code) JOIN facts f ON f.product_id = c.product_id AND f.field = w.field GROUP BY ALL) s ON s.product_id = c.product_id LEFT JOIN (SELECT c.product_id, string_agg(n.plain, ',' ORDER BY n.plain) AS terms FROM category c JOIN marks m USING (product_id) JOIN ({_values((x['code'], marked(t), t) for x in TAXONOMY for t in x['negative'])}) n(code, term, plain) ON n.code = c.code AND (contains(m.nm, n.term) OR contains(m.dm, n.term)) GROUP BY ALL) p ON p.product_id = c.product_id",
+    "reasoning_chain": CATALOG + "SELECT product_id, 2 AS place, 'classify' AS stage, code || ' (' || origin || ')' AS result FROM category UNION ALL SELECT product_id, 5, 'validate', CASE WHEN is_valid THEN 'valid' ELSE 'invalid' END || ', ' || CAST(n_findings AS VARCHAR) || ' findings' FROM verdicts",
+    "validation_reasoning": CATALOG + f"SELECT v.product_id, CASE WHEN is_valid THEN 'valid' ELSE 'invalid' END AS status, score, CAST(14 + coalesce(w.n, 0) + coalesce(r.n, 0) AS INT) AS checked_rules, CAST(critical + major AS INT) AS blocking, CAST(minor AS INT) AS advisory FROM verdicts v JOIN category c USING (product_id) LEFT JOIN (SELECT code, count(*) AS n FROM wanted WHERE needed = 'true' GROUP BY code) w USING (code) LEFT JOIN ({_values((c, len(r)) for c, r in CATEGORY_RANGES.items())}) r(code, n) USING (code)",
+    "review_queue": CATALOG + "SELECT product_id, 1 AS priority, field, rule AS reason FROM findings WHERE severity IN ('critical', 'major') UNION ALL SELECT product_id, 1, 'category', 'no clear winner' FROM category WHERE confidence < 0.45",
+    "explain_summary": CATALOG + f"SELECT product_id, name || ': ' || l.name_of || ', ' || CASE WHEN specs = 0 THEN 'no values found' ELSE CAST(specs AS VARCHAR) || ' values (' || concat_ws(', ', CASE WHEN input > 0 THEN CAST(input AS VARCHAR) || ' from source' END, CASE WHEN extracted > 0 THEN CAST(extracted AS VARCHAR) || ' extracted' END, CASE WHEN derived > 0 THEN CAST(derived AS VARCHAR) || ' computed' END) || '), ' || CAST(CAST(round_even(100 * (input + extracted) / specs::DOUBLE, 0) AS INT) AS VARCHAR) || ' percent stated by the source' END AS summary FROM raw r JOIN category c USING (product_id) JOIN measures USING (product_id) JOIN (SELECT code, name AS name_of FROM leaf UNION ALL SELECT {q(FALLBACK[0])}, {q(FALLBACK[1][-1])}) l USING (code)",
+    "flat_rows": CATALOG + f"SELECT r.product_id, r.name, l.path[-1] AS category, array_to_string(l.path, ' > ') AS category_path, coalesce(replace(m.keywords, ',', ', '), '') AS keywords, CASE WHEN v.is_valid THEN 'valid' ELSE 'invalid' END AS validation_status, v.score AS validation_score, m.completeness, coalesce(max(CASE WHEN num = floor(num) THEN CAST(CAST(num AS BIGINT) AS VARCHAR) ELSE format('{{:g}}', num) END || ' ' || unit) FILTER (field = 'power'), '') AS spec_power, coalesce(max(str) FILTER (field = 'ip_rating'), '') AS spec_ip_rating, coalesce(replace(max(str) FILTER (field = 'certifications'), ',', ', '), '') AS spec_certifications, coalesce(max(str) FILTER (field = 'brand'), '') AS spec_brand FROM raw r JOIN category c USING (product_id) JOIN measures m USING (product_id) JOIN verdicts v USING (product_id) JOIN ({_PATHS}) l USING (code) LEFT JOIN facts f USING (product_id) GROUP BY ALL",
+    "result_documents": CATALOG + f"SELECT r.product_id, {_PRINT.replace('category', 'r.category')} AS fingerprint, c.code, CAST(m.specs AS INT) AS spec_count, v.score, f.str AS ip_rating FROM raw r JOIN category c USING (product_id) JOIN measures m USING (product_id) JOIN verdicts v USING (product_id) LEFT JOIN facts f ON f.product_id = r.product_id AND f.field = 'ip_rating'",
+    "stored_rows": CATALOG + f"SELECT r.product_id, {_PRINT.replace('category', 'r.category')} AS content_hash, l.path[-1] AS category, CAST(m.specs AS INT) AS spec_count, v.score AS validation_score, m.completeness, false AS llm_used, 'job-1' AS job_id FROM raw r JOIN category c USING (product_id) JOIN measures m USING (product_id) JOIN verdicts v USING (product_id) JOIN ({_PATHS}) l USING (code)",
+    "missing_from_store": CATALOG + f"SELECT product_id FROM (SELECT product_id, {_PRINT} AS h FROM raw) WHERE h NOT IN (SELECT {_PRINT} FROM raw WHERE product_id IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49))",
+    "cached_or_computed": CATALOG + "SELECT product_id, CASE WHEN EXISTS (SELECT 1 FROM raw o WHERE o.product_id % 2 = 0 AND o.product_id % 3 <> 0 AND trim(o.name) = trim(r.name) AND o.description = r.description AND o.a_brand IS NOT DISTINCT FROM r.a_brand AND o.a_power IS NOT DISTINCT FROM r.a_power AND o.a_weight IS NOT DISTINCT FROM r.a_weight AND o.a_capacity IS NOT DISTINCT FROM r.a_capacity AND o.a_noise IS NOT DISTINCT FROM r.a_noise) THEN 'hit' ELSE 'miss' END AS cache FROM raw r WHERE trim(name) <> ''",
+    "recent_topn": "SELECT event_id, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 20",
+    "products_of_jobs": "SELECT event_id, user_id FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY 1 HAVING count(*) >= 3)",
+    "upsert_index": "SELECT key, event_id FROM (SELECT concat_ws('/', user_id, event_type) AS key, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1",
+    "chunk_offsets": "SELECT product_id, CAST(r // 500 AS BIGINT) AS chunk, CAST(r // 500 * 500 AS BIGINT) AS offset, CAST(least(500, n - r // 500 * 500) AS BIGINT) AS count FROM (SELECT p_partkey AS product_id, row_number() OVER (ORDER BY p_partkey) - 1 AS r, count(*) OVER () AS n FROM part)",
+    "value_percentiles": "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, " + ", ".join(f"list_sort(list(value))[CAST(least(floor(count(*) * {p}), count(*) - 1) AS INT) + 1] AS p{n}" for p, n in ((0.5, 50), (0.95, 95), (0.99, 99))) + " FROM events WHERE value IS NOT NULL GROUP BY event_type",
+    "eval_per_field": _JUDGED + "SELECT case_id, field, outcome FROM judged",
+    "eval_per_case": _JUDGED + "SELECT case_id, predicted, correct, in_top3, tp, fn, n_in, n_out, score FROM scored",
+    "eval_metrics": _JUDGED + "SELECT count(*) AS cases, round(avg(correct::INT), 4) AS category_accuracy, round(avg(in_top3::INT), 4) AS top3_accuracy, round(avg(confidence), 4) AS mean_confidence, 1.0::DOUBLE AS precision, round(sum(tp) / sum(tp + fn)::DOUBLE, 4) AS recall, round(2 * (sum(tp) / sum(tp + fn)::DOUBLE) / (1 + sum(tp) / sum(tp + fn)::DOUBLE), 4) AS f1, CAST(sum(tp) AS BIGINT) AS tp, 0::BIGINT AS fp, CAST(sum(fn) AS BIGINT) AS fn, 0.0::DOUBLE AS hallucination_rate, round(sum(n_out) / sum(n_in)::DOUBLE, 2) AS lift, round(avg(score), 4) AS mean_score FROM scored",
+    "eval_confusion": _JUDGED + "SELECT expected_category, predicted, count(*) AS n FROM scored WHERE NOT correct GROUP BY ALL",
+    "embedding_topk": "SELECT query, id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rn FROM (SELECT a.vec_id AS query, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 12) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)) WHERE rn <= 5",
+    "llm_gap_fill": CATALOG + "SELECT r.product_id, CASE WHEN p.field IS NULL THEN 'power' ELSE '' END AS accepted, CAST(CASE WHEN p.field IS NULL THEN 2 ELSE 3 END AS INT) AS rejected, round(coalesce(p.num, (r.product_id % 50 + 1) * 1000.0::DOUBLE), 6) AS power, coalesce(p.origin, 'llm') AS origin FROM raw r LEFT JOIN facts p ON p.product_id = r.product_id AND p.field = 'power'",
+    "llm_prompts": CATALOG + f"SELECT c.product_id, coalesce(string_agg(w.field, ',' ORDER BY w.i) FILTER (f.field IS NULL AND w.field IS NOT NULL), '') AS wanted FROM category c LEFT JOIN ({_values((x['code'], f, i) for x in TAXONOMY for i, f in enumerate(x['expected']))}) w(code, field, i) USING (code) LEFT JOIN facts f ON f.product_id = c.product_id AND f.field = w.field GROUP BY c.product_id",
+    "csv_round_trip": CATALOG + "SELECT product_id, name, description, trim(coalesce(category, '')) AS category, brand AS maker FROM raw WHERE trim(name) <> ''",
+    "json_records": "SELECT conv_id, turn, role AS name, CAST(length(trim(regexp_replace(coalesce(text, ''), '[\\s\\x{00a0}]+', ' ', 'g'))) AS INT) AS size FROM conversations WHERE trim(role) <> ''",
+    "fetch": CATALOG + f"SELECT {_PRINT} AS content_hash, max(product_id) AS product_id FROM raw GROUP BY 1",
 }

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .fixed import FIELDS
-from .functions import text
+from .fixed import FIELDS, TAXONOMY
+from .functions import text, units
 from .functions.embedding import bucket, trigrams
 from .functions.text import fingerprint, key_value
-from .operators import catalog
+from .operators import catalog, evaluate, explain, proposals, similarity
 from .operators.extract import extract
 from .oracle import SQL
+from .plans import service
 from .plans.pipeline import enrich, with_text
-from .sources.catalog import catalog_sql, raw_catalog
+from .sinks import writers
+from .sources import readers
+from .sources.catalog import catalog_sql, raw_catalog, truth
+from .streaming.stream import chunks
 
 Query = Callable[[SparkSession, str], DataFrame]
 EXPORTED = ("power", "voltage", "current", "rotational_speed", "torque", "pressure", "flow_rate", "weight")
@@ -25,6 +31,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; on one machine a temporary one where none is set."""
+    given = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not given and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return given or tempfile.mkdtemp(prefix="spark-")
+
+
 def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich(raw_catalog(spark, sf_dir))
 
@@ -167,10 +181,204 @@ def lexical_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("product_id", bucket(F.col("g")).alias("b")).groupBy("product_id", "b.bucket").agg(F.sum("b.sign").alias("weight"))
 
 
+def unit_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values of attributes that are measurements, in canonical units."""
+    pairs = raw_catalog(spark, sf_dir).select("product_id", F.explode("attributes").alias("key", "value"))
+    return pairs.selectExpr("product_id", "key", f"{evaluate.measurement('value')} AS m").filter("m IS NOT NULL").select("product_id", "key", units.to_canonical(F.col("m.number"), units.resolve(F.col("m.unit"))).alias("num"), units.resolve(F.col("m.unit"))["unit"].alias("unit"))
+
+
+def unit_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Does the power that an attribute gives agree with the text's?"""
+    both = extract(with_text(raw_catalog(spark, sf_dir))).filter("t.power IS NOT NULL AND s.power.origin = 'input'")
+    return both.select("product_id", units.values_agree(F.col("t.power.num"), F.col("t.power.unit"), F.col("s.power.num"), F.col("s.power.unit")).alias("agrees"), units.same_dimension(F.col("t.power.unit"), F.lit("hp")).alias("same_dimension"))
+
+
+def trust_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explain.trust_breakdown(_enriched(spark, sf_dir))
+
+
+def field_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = explain.field_provenance(_enriched(spark, sf_dir))
+    return p.select("product_id", "field", "display", "origin", "origin_label", "trust", "verifiable", (F.size("evidence") > 1).alias("overrode"))
+
+
+def spec_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = explain.spec_rows(_enriched(spark, sf_dir)).select("product_id", F.posexplode("rows").alias("at", "r"))
+    return r.select("product_id", (F.col("at") + 1).alias("place"), "r.field", "r.origin")
+
+
+def category_reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explain.category_reasoning(_enriched(spark, sf_dir)).select("product_id", "code", "origin", F.round("margin", 4).alias("margin"), F.array_join("supporting", ",").alias("supporting"), "doubtful", F.array_join(F.array_sort("penalised"), ",").alias("penalised"))
+
+
+def reasoning_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explain.reasoning_chain(_enriched(spark, sf_dir)).filter("stage IN ('classify', 'validate')").select("product_id", "place", "stage", "result")
+
+
+def validation_reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = explain.validation_reasoning(_enriched(spark, sf_dir))
+    return v.select("product_id", "status", "score", "checked_rules", F.size("blocking").alias("blocking"), F.size("advisory").alias("advisory"))
+
+
+def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explain.review_queue(_enriched(spark, sf_dir)).select("product_id", "priority", "field", "reason")
+
+
+def explain_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explain.summary(_enriched(spark, sf_dir))
+
+
+def flat_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = writers.flat_rows(_enriched(spark, sf_dir), ["brand"])
+    return f.select("product_id", "name", "category", "category_path", "keywords", "validation_status", "validation_score", "completeness", "spec_power", "spec_ip_rating", "spec_certifications", "spec_brand")
+
+
+def result_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = writers.documents(_enriched(spark, sf_dir))
+    part = lambda path, kind="string": F.get_json_object("result", path).cast(kind)
+    return d.select("product_id", part("$.fingerprint").alias("fingerprint"), part("$.category.code").alias("code"), part("$.metrics.spec_count", "int").alias("spec_count"), part("$.validation.score", "double").alias("score"), part("$.specifications.ip_rating.str").alias("ip_rating"))
+
+
+def stored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = writers.stored_rows(_enriched(spark, sf_dir).withColumn("result", F.lit(None).cast("string")), "job-1")
+    return rows.select("product_id", "content_hash", "category", "spec_count", "validation_score", "completeness", "llm_used", "job_id")
+
+
+def missing_from_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that a store of the parts that were ever ordered for 5 dollars or less a piece lacks."""
+    records = raw_catalog(spark, sf_dir)
+    ordered = _table(spark, sf_dir, "lineitem").filter("l_quantity >= 49").select(F.col("l_partkey").alias("product_id")).distinct()
+    store = records.join(ordered, "product_id", "left_semi").select(fingerprint(F.col("name"), F.col("category")).alias("content_hash"))
+    return service.missing_from_store(records, store).select("product_id")
+
+
+def cached_or_computed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which records a cache of even-numbered ones serves; entries of every third have expired."""
+    records = service.keyed(service.named(raw_catalog(spark, sf_dir)))
+    cache = records.filter("product_id % 2 = 0").select("cache_key", F.lit("{}").alias("result"), F.when(F.col("product_id") % 3 == 0, F.lit("2020-01-01").cast("timestamp")).alias("expires_at"))
+    hit, miss = service.split_cached(records, cache)
+    return hit.select("product_id", F.lit("hit").alias("cache")).union(miss.select("product_id", F.lit("miss").alias("cache")))
+
+
+def recent_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature is a report of the newest rows; it is limited by what it is."""
+    e = _table(spark, sf_dir, "events").select("event_id", "user_id", F.struct("ts", "event_id").alias("created_at"))
+    return service.recent(e, 20).select("event_id", "user_id")
+
+
+def products_of_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of users that ever did a purchase-like thing: rows of a store by the jobs that wrote them."""
+    e = _table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("job_id"), "event_type")
+    first = e.groupBy("job_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
+    return service.of_job(e, first).select("event_id", F.col("job_id").alias("user_id"))
+
+
+def upsert_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as writes to an index by user and kind: the last write of each stays."""
+    e = _table(spark, sf_dir, "events").select(F.concat_ws("/", "user_id", "event_type").alias("key"), "event_id", F.struct("ts", "event_id").alias("seq"))
+    return writers.upsert(e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1"), "key").select("key", "event_id")
+
+
+def chunk_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks(_table(spark, sf_dir, "part").select("p_partkey"), 500, "p_partkey").select(F.col("p_partkey").alias("product_id"), "chunk", "offset", "count")
+
+
+def value_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = evaluate.percentiles(_table(spark, sf_dir, "events"), "value", ["event_type"])
+    return p.select("event_type", "n", F.round("mean", 6).alias("mean"), "p50", "p95", "p99")
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = spark.createDataFrame([(x["code"], x["path"][-1]) for x in TAXONOMY] + [("GEN.UNK", "General Industrial Equipment")], "leaf string, expected_category string")
+    raw = raw_catalog(spark, sf_dir).select("product_id", "description", F.col("category").alias("input_category"), "attributes")
+    return truth(spark, sf_dir).join(F.broadcast(names), "leaf").join(raw, "product_id").select(F.col("product_id").alias("case_id"), "expected_category", F.col("expected").alias("expected_specs"), "description", "input_category", "attributes")
+
+
+def eval_per_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.per_field(_cases(spark, sf_dir), _enriched(spark, sf_dir)).select("case_id", "field", "outcome")
+
+
+def eval_per_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.per_case(_cases(spark, sf_dir), _enriched(spark, sf_dir)).select("case_id", "predicted", "correct", "in_top3", "tp", "fn", "n_in", "n_out", "score")
+
+
+def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.aggregate(evaluate.per_case(_cases(spark, sf_dir), _enriched(spark, sf_dir)))
+
+
+def eval_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.confusion(evaluate.per_case(_cases(spark, sf_dir), _enriched(spark, sf_dir)))
+
+
+def embedding_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar vectors of every query; queries are the ids divisible by 20."""
+    e = _table(spark, sf_dir, "embeddings")
+    return similarity.top_k(e.filter("vec_id % 20 = 0"), e, "vec_id", "embedding", 5).select("query", "id", F.round("score", 4).alias("score"))
+
+
+def confirmed_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records like those with ids divisible by 20, with the field on which the two disagree, if any."""
+    v = similarity.vectors(_enriched(spark, sf_dir)).persist()
+    return similarity.candidates(v.filter("product_id % 20 = 0"), v).select("query", "id", "score", "conflict")
+
+
+def llm_gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of proposals for every record: a power and an impossible field, in replies with fences and prose."""
+    reply = "concat('Here you are: ```json {\"specifications\": {\"rated power\": {\"value\": ', cast(product_id % 50 + 1 as string), ', \"unit\": \"kW\", \"basis\": \"typical\"}, \"colour\": \"red\", \"weight\": {\"value\": 3, \"unit\": \"parsec\"}}}```')"
+    e = _enriched(spark, sf_dir)
+    m = proposals.merge(e, e.selectExpr("product_id", f"{reply} AS reply"))
+    return m.select("product_id", F.array_join("accepted", ",").alias("accepted"), F.size("rejected").alias("rejected"), F.round("s.power.num", 6).alias("power"), "s.power.origin")
+
+
+def llm_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _enriched(spark, sf_dir).selectExpr("product_id", f"array_join({proposals.wanted()}, ',') AS wanted")
+
+
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue written as CSV and read again as a user's file."""
+    raw = raw_catalog(spark, sf_dir)
+    path = f"{shared_dir(spark)}/catalogue-{uuid.uuid4().hex}"
+    raw.selectExpr("product_id AS `Serial`", "name AS `Product Name`", "description AS `Details`", "category AS `Product Category`", "brand AS `Maker`").write.option("header", True).option("escape", '"').csv(path)
+    records, _ = readers.read_csv(spark, path)
+    return records.select(F.col("attributes")["Serial"].cast("long").alias("product_id"), "name", "description", "category", F.col("attributes")["Maker"].alias("maker"))
+
+
+def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages as JSON records with a nested sender."""
+    c = _table(spark, sf_dir, "conversations")
+    docs = c.select(F.concat_ws("/", "conv_id", "turn").alias("source_ref"), F.to_json(F.struct(F.col("role").alias("name"), F.struct("conv_id", "turn").alias("at"), F.col("text").alias("notes"))).alias("content"))
+    records, _ = readers.from_json(docs)
+    return records.select(F.col("attributes")["at_conv_id"].cast("long").alias("conv_id"), F.col("attributes")["at_turn"].cast("long").alias("turn"), "name", F.length("description").alias("size"))
+
+
+def html_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the page reader makes of every page: names, attributes and rejects."""
+    docs = _table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("source_ref"), F.col("html").alias("content"))
+    records, rejects = readers.from_html(docs)
+    done = records.select(F.col("source_ref").cast("long").alias("page_id"), "name", F.size("attributes").alias("attributes"))
+    return done.union(rejects.select(F.col("source_ref").cast("long"), F.lit(None).cast("string"), F.lit(0)))
+
+
+def heading_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_ref"), F.col("text").alias("content"))
+    records, _ = readers.from_text(docs)
+    at = F.split("source_ref", "#block")
+    return records.select(at[0].cast("long").alias("doc_id"), at[1].cast("int").alias("block"), F.col("name"))
+
+
+def fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest row of each fingerprint, as a store is asked by hash."""
+    rows = raw_catalog(spark, sf_dir).select("product_id", fingerprint(F.col("name"), F.col("category")).alias("content_hash"), F.col("product_id").alias("created_at"))
+    return service.latest_by_hash(rows).select("content_hash", "product_id")
+
+
 def queries() -> dict[str, Query]:
     own = (
         fingerprints, content_hash, duplicate_groups, extract_best, spec_facts, classify_best, classify_ranked, classify_alternatives, keywords_top12, describe_template, validation_findings, validation_scores,
-        enrich_summary, zscore_outliers, unit_conflicts, catalog_score, provenance, traceability, flat_export, attribute_lines, latest_event, event_props, lexical_embedding,
+        enrich_summary, zscore_outliers, unit_conflicts, catalog_score, provenance, traceability, flat_export, attribute_lines, latest_event, event_props, lexical_embedding, unit_canonical, unit_agreement, trust_breakdown,
+        field_provenance, spec_rows, category_reasoning, reasoning_chain, validation_reasoning, review_queue, explain_summary, flat_rows, result_documents, stored_rows, missing_from_store, cached_or_computed, recent_topn,
+        products_of_jobs, upsert_index, chunk_offsets, value_percentiles, eval_per_field, eval_per_case, eval_metrics, eval_confusion, embedding_topk, confirmed_duplicates, llm_gap_fill, llm_prompts, csv_round_trip,
+        json_records, html_titles, heading_blocks, fetch, never_ordered, job_progress, customer_outliers, quality_agreement,
     )
     return {"raw_catalog": q_raw_catalog} | {f.__name__: f for f in own}
 
