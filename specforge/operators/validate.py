@@ -108,5 +108,7 @@ def validate(df: DataFrame, strict: bool = False) -> DataFrame:
     report = f"named_struct('is_valid', {blocking}, 'status', if({blocking}, 'valid', 'invalid'), 'score', {penalties()}, 'consistency', {penalties('startswith(f.rule, ' + quote('VAL.COH.') + ')')}, {counts}, 'checked_rules', {fx.BASE_RULES} + coalesce(size(category.required), 0) + {own})"
     filled = "1 + if(coalesce(enriched_description, '') = '', 0, 1) + if(category IS NULL, 0, 1) + if(size(keywords) > 0, 1, 0) + size(specs)"
     held = "if(category IS NULL, transform(specs, v -> v.confidence), concat(transform(specs, v -> v.confidence), array(category.confidence)))"
-    mean = let(held, "c", "if(size(c) = 0, 0.0D, round(aggregate(c, 0.0D, (n, x) -> n + x) / size(c), 4))")
+    # In whole ten-thousandths: the mean does not depend on the order of a sum.
+    total = "aggregate(c, 0L, (n, x) -> n + cast(round(x * 10000.0D) as bigint))"
+    mean = let(held, "c", f"if(size(c) = 0, 0.0D, cast((2 * {total} + size(c)) div (2 * size(c)) as double) / 10000.0D)")
     return df.selectExpr("*", f"{report} AS validation", f"round(({filled}) / (4 + size(specs)), 4) AS completeness", f"{mean} AS mean_confidence")

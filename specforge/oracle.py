@@ -142,10 +142,10 @@ words AS (
     SELECT product_id, token, count(*) AS n FROM tokens WHERE token NOT IN ({", ".join(map(q, STOPWORDS))}) GROUP BY ALL)) WHERE place <= 12),
 measures AS (
   SELECT r.product_id, round((2 + (len(coalesce(w.words, [])) > 0)::INT + 1 + coalesce(f.n, 0)) / (4 + coalesce(f.n, 0))::DOUBLE, 4) AS completeness,
-    round((coalesce(f.confidences, 0) + c.confidence) / (coalesce(f.n, 0) + 1), 4) AS mean_confidence, coalesce(f.n, 0) AS specs,
+    ((2 * (coalesce(f.confidences, 0) + CAST(round(c.confidence * 10000) AS BIGINT)) + coalesce(f.n, 0) + 1) // (2 * (coalesce(f.n, 0) + 1))) / 10000.0::DOUBLE AS mean_confidence, coalesce(f.n, 0) AS specs,
     {", ".join(f"coalesce(f.{o}, 0) AS {o}" for o in ("input", "extracted", "derived"))}, array_to_string(w.words, ',') AS keywords
   FROM raw r JOIN category c USING (product_id) LEFT JOIN (
-    SELECT product_id, count(*) AS n, sum(confidence) AS confidences, {", ".join(f"count(*) FILTER (origin = '{o}') AS {o}" for o in ("input", "extracted", "derived"))} FROM facts GROUP BY ALL) f USING (product_id)
+    SELECT product_id, count(*) AS n, CAST(sum(CAST(round(confidence * 10000) AS BIGINT)) AS BIGINT) AS confidences, {", ".join(f"count(*) FILTER (origin = '{o}') AS {o}" for o in ("input", "extracted", "derived"))} FROM facts GROUP BY ALL) f USING (product_id)
   LEFT JOIN (SELECT product_id, list(token ORDER BY n DESC, token) AS words FROM words GROUP BY ALL) w USING (product_id)),
 bits AS (
   SELECT product_id, list(bit ORDER BY place) AS b FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY pick) AS place FROM (

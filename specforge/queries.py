@@ -318,7 +318,9 @@ def embedding_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def confirmed_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records like those with ids divisible by 20, with the field on which the two disagree, if any."""
-    v = similarity.vectors(_enriched(spark, sf_dir)).persist()
+    path = f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    similarity.vectors(_enriched(spark, sf_dir)).write.parquet(path)
+    v = spark.read.parquet(path)
     return similarity.candidates(v.filter("product_id % 20 = 0"), v).select("query", "id", "score", "conflict")
 
 
