@@ -1,10 +1,11 @@
 """Token sequences in training order: a keyed Feistel permutation gives every sequence a global slot.
 
-Documents become sequences of a fixed stride (ids, an end id, padding). Once staged they are numbered densely: the
-first number of each staged part comes from a sum over part sizes, so no row moves. A balanced Feistel network over the
+Documents become sequences of a fixed stride (ids, an end id, padding). Once staged they are numbered densely in the order
+of doc_id and the text's hash: only a row of numbers per document is sorted, and a document's numbers depend on the
+documents alone, not on how the input was cut. A balanced Feistel network over the
 next power of four permutes the numbers; values that fall outside are walked on until they are inside, which keeps it a
 bijection of [0, n). Slots are dealt to shards by range: shard k holds slots [k * rows, (k + 1) * rows), each row of the
-same width, in order. Reading can start at any slot, and (key, n) alone say what comes next.
+same width, in order. Reading can start at any slot, and the key and the documents alone say what comes next.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shared_dir, staged
+from .common import shared_dir, small, staged
 from .tokens import encoder
 
 SEQUENCE = 512
@@ -79,45 +80,66 @@ def invert(slot: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 def tokenise(docs: DataFrame, length: int = SEQUENCE, tokenizer: str | None = None) -> DataFrame:
-    """doc_id, start, n_ids, ids: a row per sequence; ids are little-endian 16-bit numbers, padded to the stride."""
+    """doc, doc_id, hash, sequences, start, n_ids, ids: a row per sequence; ids are little-endian 16-bit numbers without padding.
+
+    doc tells input rows apart, hash is the text's, sequences how many the document has.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
+        names = ["doc", "doc_id", "hash", "sequences", "start", "n_ids", "ids"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                doc, start, n, ids = [], [], [], []
-                for d, own in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
-                    size = len(own) + 1
-                    padded = np.full(-(-size // length) * length, PAD_ID, "<u2")
-                    padded[: size - 1], padded[size - 1] = own, END_ID
-                    for a in range(0, size, length):
-                        doc.append(d), start.append(a), n.append(min(length, size - a)), ids.append(padded[a : a + length].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "start", "n_ids", "ids"])
-
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return named.mapInArrow(run, "doc_id long, start long, n_ids int, ids binary")
+                rows: list[tuple] = []
+                for *key, own in zip(*(part.column(i).to_pylist() for i in (0, 1, 2)), encode(part.column(3).to_pylist()), strict=True):
+                    if len(own) and int(np.max(own)) > 0xFFFF:
+                        raise ValueError("the tokenizer has ids beyond 16 bits")
+                    whole = np.append(own, END_ID).astype("<u2")
+                    for a in range(0, len(whole), length):
+                        piece = whole[a : a + length]
+                        rows.append((*key, -(-len(whole) // length), a, len(piece), piece.tobytes()))
+                columns = list(zip(*rows, strict=True)) or [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    text = F.col("text").cast("string")
+    named = docs.select(F.monotonically_increasing_id().alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    return named.mapInArrow(run, "doc long, doc_id long, hash long, sequences long, start long, n_ids int, ids binary")
+
+
+def first_numbers(sequences: DataFrame) -> DataFrame:
+    """doc, first: the number of each document's first sequence, in the order of doc_id and hash. Rows that repeat both are alike."""
+    order = ["doc_id", "hash", "doc"]
+    docs = sequences.filter("start = 0").select("doc", "doc_id", "hash", "sequences")
+    ranged = docs.repartitionByRange(*order).select(F.spark_partition_id().alias("part"), "*")
+    ranged = staged(ranged, "order")
+    sizes = ranged.groupBy("part").agg(F.sum("sequences").alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    within = F.sum("sequences").over(Window.partitionBy("part").orderBy(*order)) - F.col("sequences")
+    placed = ranged.withColumn("within", within).join(F.broadcast(before), "part")
+    return staged(placed.select("doc", (F.col("before") + F.col("within")).alias("first")), "first")
 
 
 def materialise(docs: DataFrame, key: int = KEY, length: int = SEQUENCE, shard_rows: int = SHARD_ROWS, tokenizer: str | None = None) -> DataFrame:
-    """slot, shard, row, doc_id, start, n_ids, ids: every sequence once, shards in partitions, rows in slot order.
+    """slot, shard, row, doc_id, start, n_ids, ids: every sequence once, padded, shards in partitions, rows in slot order.
 
     Null and empty texts are a sequence with the end id alone; a null doc_id stays null; repeated rows have sequences of
     their own; a very long text has as many as it needs. An empty table gives no rows. Other columns are ignored.
     """
-    parts = staged(tokenise(docs, length, tokenizer).select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at"), "*"), "sequences")
-    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    first = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"))
-    n = parts.count()
+    sequences = staged(tokenise(docs, length, tokenizer), "sequences")
+    n = sequences.count()
 
     @F.pandas_udf("long")
     def slot(index: pd.Series) -> pd.Series:
         return pd.Series(permute(index.to_numpy(), n, key))
 
     shards = max(1, -(-n // shard_rows))
-    placed = parts.join(F.broadcast(first), "part").withColumn("slot", slot(F.col("first") + F.col("at")))
+    placed = sequences.join(small(first_numbers(sequences)), "doc").withColumn("slot", slot(F.col("first") + F.floor(F.col("start") / length)))
     placed = placed.select("slot", F.floor(F.col("slot") / shard_rows).cast("int").alias("shard"), (F.col("slot") % shard_rows).cast("int").alias("row"), "doc_id", "start", "n_ids", "ids")
-    return placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "slot")
+    ordered = placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "slot")
+    padding = np.array([PAD_ID], "<u2").tobytes().hex()
+    return ordered.withColumn("ids", F.expr(f"rpad(ids, {2 * length}, X'{padding}')"))
 
 
 def write_shards(sequences: DataFrame, path: str, shards: list[int] | None = None) -> None:

@@ -65,3 +65,10 @@ def test_repeating_a_shard_leaves_the_others(spark, written):
     assert len(after) == len(before) and kept.items() <= after.items()
     again = trainorder.read_from(spark, path, 0, len(rows), ROWS).select(*sequences.columns)
     assert [tuple(r) for r in again.collect()] == rows
+
+
+def test_one_order_however_the_input_is_cut(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = {(r["doc_id"], r["start"]): r["slot"] for r in trainorder.materialise(docs).collect()}
+    for parts in (3, 5):
+        assert {(r["doc_id"], r["start"]): r["slot"] for r in trainorder.materialise(docs.repartition(parts)).collect()} == want
