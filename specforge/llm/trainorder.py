@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shared_dir, small, staged
+from .common import shared_dir, shuffles_freed, small, staged
 from .tokens import encoder
 
 SEQUENCE = 512
 SHARD_ROWS = 16_384
+#: Jobs that write the shards, a range of them each: the shuffle of the ids holds that part of them at a time.
+PASSES = 4
 END_ID = PAD_ID = 50_256
 KEY = 20_240_607
 ROUNDS = 4
@@ -121,12 +123,8 @@ def first_numbers(sequences: DataFrame) -> DataFrame:
     return staged(placed.select("doc", (F.col("before") + F.col("within")).alias("first")), "first")
 
 
-def materialise(docs: DataFrame, key: int = KEY, length: int = SEQUENCE, shard_rows: int = SHARD_ROWS, tokenizer: str | None = None) -> DataFrame:
-    """slot, shard, row, doc_id, start, n_ids, ids: every sequence once, padded, shards in partitions, rows in slot order.
-
-    Null and empty texts are a sequence with the end id alone; a null doc_id stays null; repeated rows have sequences of
-    their own; a very long text has as many as it needs. An empty table gives no rows. Other columns are ignored.
-    """
+def _placed(docs: DataFrame, key: int, length: int, shard_rows: int, tokenizer: str | None) -> tuple[DataFrame, int]:
+    """Every sequence with its slot, shard and row, in no order and without padding, and the number of shards."""
     sequences = staged(tokenise(docs, length, tokenizer), "sequences")
     n = sequences.count()
 
@@ -134,14 +132,28 @@ def materialise(docs: DataFrame, key: int = KEY, length: int = SEQUENCE, shard_r
     def slot(index: pd.Series) -> pd.Series:
         return pd.Series(permute(index.to_numpy(), n, key))
 
-    shards = max(1, -(-n // shard_rows))
     placed = sequences.join(small(first_numbers(sequences)), "doc").withColumn("slot", slot(F.col("first") + F.floor(F.col("start") / length)))
     placed = placed.select("slot", F.floor(F.col("slot") / shard_rows).cast("int").alias("shard"), (F.col("slot") % shard_rows).cast("int").alias("row"), "doc_id", "start", "n_ids", "ids")
-    ordered = placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "slot")
+    return placed, max(1, -(-n // shard_rows))
+
+
+def _ordered(placed: DataFrame, first: int, shards: int, length: int) -> DataFrame:
+    """The sequences of shards from first on, a shard to a partition, in slot order and padded."""
+    ordered = placed.repartitionById(shards, F.col("shard") - first).sortWithinPartitions("shard", "slot")
     padding = np.array([PAD_ID], "<u2").tobytes().hex()
     return ordered.withColumn("ids", F.expr(f"rpad(ids, {2 * length}, X'{padding}')"))
 
 
+def materialise(docs: DataFrame, key: int = KEY, length: int = SEQUENCE, shard_rows: int = SHARD_ROWS, tokenizer: str | None = None) -> DataFrame:
+    """slot, shard, row, doc_id, start, n_ids, ids: every sequence once, padded, shards in partitions, rows in slot order.
+
+    Null and empty texts are a sequence with the end id alone; a null doc_id stays null; repeated rows have sequences of
+    their own; a very long text has as many as it needs. An empty table gives no rows. Other columns are ignored.
+    """
+    placed, shards = _placed(docs, key, length, shard_rows, tokenizer)
+    return _ordered(placed, 0, shards, length)
+
+
 def write_shards(sequences: DataFrame, path: str, shards: list[int] | None = None) -> None:
     """One uncompressed file per shard, rows of one width in slot order. A second attempt at a task replaces the first.
 
@@ -149,14 +161,27 @@ def write_shards(sequences: DataFrame, path: str, shards: list[int] | None = Non
     """
     own = sequences if shards is None else sequences.filter(F.col("shard").isin(shards)).sortWithinPartitions("shard", "slot")
     mode = "static" if shards is None else "dynamic"
-    own.write.mode("overwrite").option("partitionOverwriteMode", mode).option("compression", "none").option("parquet.enable.dictionary", "false").partitionBy("shard").parquet(path)
+    _write(own, path, mode)
+
+
+def _write(own: DataFrame, path: str, mode: str) -> None:
+    with shuffles_freed(own.sparkSession):
+        own.write.mode("overwrite").option("partitionOverwriteMode", mode).option("compression", "none").option("parquet.enable.dictionary", "false").partitionBy("shard").parquet(path)
 
 
-def sharded(docs: DataFrame) -> DataFrame:
-    """The rows of materialise(), from shards written to the shared folder and read back; files are in slot order, the rows of the table in none."""
-    sequences, path = materialise(docs), os.path.join(shared_dir(docs.sparkSession), f"shards-{uuid.uuid4().hex}")
-    write_shards(sequences, path)
-    return docs.sparkSession.read.schema(sequences.schema).parquet(path).select(*sequences.columns)
+def sharded(docs: DataFrame, key: int = KEY, length: int = SEQUENCE, shard_rows: int = SHARD_ROWS, tokenizer: str | None = None) -> DataFrame:
+    """The rows of materialise(), from shards written to the shared folder and read back; files are in slot order, the rows of the table in none.
+
+    The shards are written in PASSES jobs. One that failed can be repeated without the others: it replaces its own shards.
+    """
+    placed, shards = _placed(docs, key, length, shard_rows, tokenizer)
+    path = os.path.join(shared_dir(docs.sparkSession), f"shards-{uuid.uuid4().hex}")
+    each = -(-shards // PASSES)
+    for first in range(0, shards, each):
+        count = min(each, shards - first)
+        own = placed.filter((F.col("shard") >= first) & (F.col("shard") < first + count))
+        _write(_ordered(own, first, count, length), path, "dynamic")
+    return docs.sparkSession.read.schema(placed.schema).parquet(path).select(*placed.columns)
 
 
 def read_from(spark: SparkSession, path: str, slot: int, rows: int, shard_rows: int = SHARD_ROWS) -> DataFrame:

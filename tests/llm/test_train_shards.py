@@ -72,3 +72,14 @@ def test_one_order_however_the_input_is_cut(spark):
     want = {(r["doc_id"], r["start"]): r["slot"] for r in trainorder.materialise(docs).collect()}
     for parts in (3, 5):
         assert {(r["doc_id"], r["start"]): r["slot"] for r in trainorder.materialise(docs.repartition(parts)).collect()} == want
+
+
+def test_shards_written_in_passes_are_those_of_one_job(spark, written):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for rows in (7, ROWS):
+        want = written[2] if rows == ROWS else sorted(map(tuple, trainorder.materialise(docs, shard_rows=rows).collect()))
+        got = trainorder.sharded(docs, shard_rows=rows)
+        assert len(got.inputFiles()) == -(-len(want) // rows)
+        assert sorted(map(tuple, got.collect())) == want
+    assert trainorder.sharded(docs.limit(0)).collect() == []
+    assert len(trainorder.sharded(docs.limit(1), shard_rows=10**6).collect()) > 0
