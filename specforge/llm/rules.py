@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import staged
+from .common import look_up, staged
 from .docstats import rule_stats
 
 GAMMA = 1.02
@@ -110,9 +110,22 @@ def _breaks(k: str) -> Column:
     return over | (F.col(k) < F.col(f"{k}_lowest")) if RULES[k] else over
 
 
-def limits(stats: DataFrame, group_docs: int = GROUP_DOCS) -> DataFrame:
-    """One row per language and source: the lowest and highest value allowed of each statistic."""
-    groups = staged(stats.select("lang", "source").distinct(), "groups")
+def _named(df: DataFrame) -> DataFrame:
+    """df with two hashes of language and source, 128 bits in all: a key of fixed width."""
+    return df.withColumns({"group": F.xxhash64("lang", "source"), "group2": F.xxhash64(F.lit(1), "lang", "source")})
+
+
+def with_limits(stats: DataFrame, allowed: DataFrame, groups: DataFrame) -> DataFrame:
+    """stats with the limits of each document's language and source. A group that holds many documents is no hot key: see look_up.
+
+    groups has n, the number of documents of each language and source.
+    """
+    table = _named(allowed.join(groups, ["lang", "source"])).drop("lang", "source")
+    return look_up(_named(stats), staged(table, "allowed"), ["group", "group2"]).drop("group", "group2")
+
+
+def limits(stats: DataFrame, groups: DataFrame, group_docs: int = GROUP_DOCS) -> DataFrame:
+    """One row per language and source of groups: the lowest and highest value allowed of each statistic."""
     spread = F.col("q75") - F.col("q25")
     varied = (F.col("q25") > 0) & (spread > 0)
     fences = staged(by_group(staged(sketches(stats), "sketch"), groups, group_docs), "fences")
@@ -120,7 +133,7 @@ def limits(stats: DataFrame, group_docs: int = GROUP_DOCS) -> DataFrame:
     outside = F.lit(False)
     for k in RULES:
         outside = outside | F.coalesce(_breaks(k), F.lit(False))
-    core = by_group(staged(sketches(stats.join(inner, ["lang", "source"]).filter(~outside)), "core"), groups, group_docs).select("lang", "source", "stat", F.col("low").alias("core_low"), F.col("high").alias("core_high"))
+    core = by_group(staged(sketches(with_limits(stats, inner, groups).filter(~outside)), "core"), groups, group_docs).select("lang", "source", "stat", F.col("low").alias("core_low"), F.col("high").alias("core_high"))
     halfway = F.greatest(F.col("core_high"), (F.col("core_high") + F.col("begin")) / 2)
     use = fences.join(core, ["lang", "source", "stat"], "left")
     return _wide(use.withColumns({"highest": F.when(varied, F.col("q75") + spread * FENCE).otherwise(halfway), "lowest": F.when(varied, F.col("q25") - spread * FENCE).otherwise(F.col("core_low"))}))
@@ -133,7 +146,8 @@ def apply_rules(docs: DataFrame, group_docs: int = GROUP_DOCS) -> DataFrame:
     rows get equal verdicts. An empty table gives no rows. Other columns are ignored.
     """
     stats = staged(statistics(docs), "stats")
-    judged = stats.join(limits(stats, group_docs), ["lang", "source"], "left")
+    groups = staged(stats.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")), "groups")
+    judged = with_limits(stats, limits(stats, groups, group_docs), groups)
     broken = F.filter(F.array(*[F.when(_breaks(k), F.lit(k)) for k in RULES]), lambda x: x.isNotNull())
     judged = judged.withColumn("broken", broken)
     return judged.withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "broken")
