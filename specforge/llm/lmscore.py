@@ -5,7 +5,7 @@ into 64-bit hashes and asks for each of its distinct words and word pairs once.
 per chunk and bucket of the hash space, so what is shuffled is sorted keys, not a row per word; a bucket adds the
 counts of its chunks and answers each with the totals of its own keys. A key's total is one number however often it
 occurs, so a very frequent word is no hot spot. The mixture weights depend on how often the context was seen: one set
-per frequency bucket, fitted by expectation-maximisation on held-out training texts: every sixth chunk, each with its
+per frequency bucket, fitted by expectation-maximisation on held-out counts: each chunk in turn is held out, with its
 own counts deleted from the totals. Scores then use the totals of all training texts.
 """
 
@@ -29,7 +29,6 @@ CONTEXT_BUCKETS = 12
 BINS = 40
 EM_ROUNDS = 50
 LEAST_CHUNKS = 24
-HELD_CHUNKS = 6
 END = 0x5851F42D4C957F2D
 DOCS = "doc_id long, learn boolean, held_out boolean, text string"
 
@@ -135,7 +134,7 @@ def _held_counts(n: float, v: float):
         chunk = Chunk(texts, rows["learn"].to_numpy(bool))
         word, pair = _totals(answers, 0) - chunk.word_counts, _totals(answers, 1) - chunk.pair_counts
         context = chunk.before(word)
-        two, one, _ = estimates(pair[chunk.pair_at], context, word[chunk.word_at], n, v)
+        two, one, _ = estimates(pair[chunk.pair_at], context, word[chunk.word_at], n - chunk.counted.sum(), v)
         code = (context_bucket(context) * (BINS + 1) + _bin(two)) * (BINS + 1) + _bin(one)
         code, two, one = code[chunk.counted], two[chunk.counted], one[chunk.counted]
         size = CONTEXT_BUCKETS * (BINS + 1) ** 2
@@ -210,9 +209,9 @@ def score_texts(docs: DataFrame, learn: Column, held: Column, chunk_chars: int =
     answers = staged(asked.groupBy("kind", "bucket").applyInPandas(_answer, "kind int, bucket int, chunk long, totals binary, distinct long, tokens long"), "answers")
     seen = answers.filter("kind = 0").agg(F.coalesce(F.sum("distinct"), F.lit(0)).alias("v"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first()
     n, v = float(seen["n"]), float(seen["v"])
-    some = F.pmod(F.col("chunk"), F.lit(HELD_CHUNKS)) == 0
-    held_counts = dealt.filter(some).groupBy("chunk").cogroup(answers.filter(some).groupBy("chunk")).applyInPandas(_held_counts(n, v), "code long, n long, two double, one double")
-    held_pdf = held_counts.groupBy("code").agg(F.sum("n").alias("n"), F.sum("two").alias("two"), F.sum("one").alias("one")).toPandas().sort_values("code", ignore_index=True)
+    held_counts = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_held_counts(n, v), "code long, n long, two double, one double")
+    held_counts = staged(held_counts.groupBy("code").agg(F.sum("n").alias("n"), F.sum("two").alias("two"), F.sum("one").alias("one")), "held")
+    held_pdf = held_counts.toPandas().sort_values("code", ignore_index=True)
     weights = expectation_maximisation(held_pdf, 1.0 / (v + 1.0))
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_scores(n, v, weights), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
