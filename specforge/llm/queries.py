@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, langid, linededup, lmscore, packing, quality_model, rules, simhash, tokencount, trainorder
+from . import decontam, langid, linededup, lmscore, packing, pieces, quality_model, rules, simhash, tokencount, trainorder
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,8 +98,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pieces.encode_and_decode(table(spark, sf_dir, "documents"))
+    return done.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Query]:
-    found: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_decontamination, op4_lm_scoring, op5_token_counts, op6_quality_classifier, op7_train_order, op8_quality_rules, op9_simhash, op10_packing)}
+    found: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_decontamination, op4_lm_scoring, op5_token_counts, op6_quality_classifier, op7_train_order, op8_quality_rules, op9_simhash, op10_packing, op11_sentencepiece)}
     return found
 
 
