@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linededup, lmscore, packing, pieces, quality_model, rules, simhash, tokencount, trainorder
+from . import decontam, hardneg, langid, linededup, lmscore, packing, pieces, quality_model, rules, simhash, tokencount, trainorder
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,10 +108,31 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(own.select("vec_id", label.alias("label"), hardneg.whole_parts(F.col("embedding")).alias("parts")))
+
+
+OP12_SQL = f"""
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id AS vec_id, b.label AS label, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, own, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {hardneg.POSITIVES})
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INT) AS rank, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> p.own
+WHERE {hardneg.LOW} * p.positive_score <= 100 * s.score AND 100 * s.score <= {hardneg.HIGH} * p.positive_score
+QUALIFY rank <= {hardneg.NEGATIVES}
+"""
+
+
 def queries() -> dict[str, Query]:
-    found: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_decontamination, op4_lm_scoring, op5_token_counts, op6_quality_classifier, op7_train_order, op8_quality_rules, op9_simhash, op10_packing, op11_sentencepiece)}
+    found: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_decontamination, op4_lm_scoring, op5_token_counts, op6_quality_classifier, op7_train_order, op8_quality_rules, op9_simhash, op10_packing, op11_sentencepiece, op12_hard_negatives)}
     return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op3_decontamination": OP3_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op3_decontamination": OP3_SQL, "op12_hard_negatives": OP12_SQL}
