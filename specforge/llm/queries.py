@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hardneg, langid, linededup, lmscore, packing, pieces, quality_model, rules, simhash, tokencount, trainorder
+from . import decontam, hardneg, langid, linededup, lmscore, packing, pieces, quality_model, rules, simhash, tokencount, trainorder, turns
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,10 +129,72 @@ QUALIFY rank <= {hardneg.NEGATIVES}
 """
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair(turns.damaged(table(spark, sf_dir, "conversations")))
+
+
+def _after(state: str, cost: str, letter: str, line: str | None = None) -> str:
+    text = f"{state}.r || chr(10) || {line}" if line else f"{state}.r"
+    return f"struct_pack(c := {state}.c + {cost}, a := {state}.a || '{letter}', r := {text})"
+
+
+def _least(*states: str) -> str:
+    return f"list_sort([{', '.join(states)}])[1]"
+
+
+def _when(test: str, value: str) -> str:
+    return f"CASE WHEN {test} THEN {value} ELSE struct_pack(c := {turns.FAR}, a := '', r := '') END"
+
+
+def _stepped() -> str:
+    """The states after one row, before rows are put in behind it."""
+    fee = f"{turns.UNFINISHED} * CAST(m.open_end AS INT)"
+    keep = lambda state, initial: _when(f"m.initial = '{initial}' AND NOT m.must_go", _after(state, fee, "K", "m.role || ':' || m.text"))
+    rename = lambda state, role: _when("NOT m.must_go", _after(state, f"{turns.RENAME} + {fee}", "R", f"'{role}:' || m.text"))
+    drop = [_after(f"w.s{i}", str(turns.DELETE), "D") for i in range(4)]
+    to_user = [f(f"w.s{i}", x) for i in (0, 1, 3) for f, x in ((keep, "u"), (rename, "user"))]
+    return f"{drop[0]} AS t0, {_least(drop[1], keep('w.s0', 's'))} AS t1, {_least(drop[2], *to_user)} AS t2, {_least(drop[3], keep('w.s2', 'a'), rename('w.s2', 'assistant'))} AS t3"
+
+
+_PUT = [f"{_least('t2', *[_after(f't{i}', str(turns.INSERT), 'I', repr('user:')) for i in (0, 1, 3)])} AS p2", _after("p2", str(turns.INSERT), "I", "'assistant:'")]
+_WHITE = "\\x20\\x09-\\x0D"
+
+OP13_SQL = f"""
+WITH RECURSIVE codes AS (
+  SELECT list(list_reduce([i] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS t FROM range(256) AS r(i)),
+named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS g,
+         list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS bytes FROM conversations),
+hashed AS (
+  SELECT named.*, xor(list_reduce([4294967295] || bytes, lambda c, b: xor(c >> 8, codes.t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS fault FROM named, codes),
+hurt AS (
+  SELECT g, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM hashed),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, text, copy) AS i, substr(role, 1, 1) AS initial, NOT regexp_matches(text, '[^{_WHITE}]') AS blank FROM hurt),
+m AS (
+  SELECT *, twice AND NOT blank AS duplicate, blank OR twice AS must_go, unended AND NOT blank AND NOT twice AS open_end, coalesce(previous || initial NOT IN ('su', 'ua', 'au'), false) AS illegal FROM (
+    SELECT *, row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 AS twice, regexp_matches(text, '[^.!?{_WHITE}][{_WHITE}]*$') AS unended, lag(initial) OVER (PARTITION BY g ORDER BY i) AS previous FROM placed)),
+w AS (
+  SELECT g, CAST(0 AS BIGINT) AS i, t0 AS s0, t1 AS s1, p2 AS s2, {_least('t3', _PUT[1])} AS s3 FROM (
+    SELECT *, {_PUT[0]} FROM (
+      SELECT DISTINCT g, struct_pack(c := 0::BIGINT, a := '', r := '') AS t0, struct_pack(c := {turns.FAR}, a := '', r := '') AS t1, struct_pack(c := {turns.FAR}, a := '', r := '') AS t2, struct_pack(c := {turns.FAR}, a := '', r := '') AS t3 FROM named))
+  UNION ALL
+  SELECT g, i, t0, t1, p2, {_least('t3', _PUT[1])} FROM (
+    SELECT *, {_PUT[0]} FROM (SELECT w.g, m.i, {_stepped()} FROM w JOIN m ON m.g = w.g AND m.i = w.i + 1))),
+totals AS (
+  SELECT g, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (open_end) AS truncated, count(*) FILTER (illegal) AS illegal FROM m GROUP BY g),
+best AS (SELECT w.g, {_least('s0', 's3')} AS b FROM w LEFT JOIN totals USING (g) WHERE w.i = coalesce(totals.n, 0))
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       b.c AS cost, b.a AS audit, sha256(substr(b.r, 2)) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, g FROM named) c JOIN best USING (g) LEFT JOIN totals USING (g)
+"""
+
+
 def queries() -> dict[str, Query]:
-    found: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_decontamination, op4_lm_scoring, op5_token_counts, op6_quality_classifier, op7_train_order, op8_quality_rules, op9_simhash, op10_packing, op11_sentencepiece, op12_hard_negatives)}
+    found: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_decontamination, op4_lm_scoring, op5_token_counts, op6_quality_classifier, op7_train_order, op8_quality_rules, op9_simhash, op10_packing, op11_sentencepiece, op12_hard_negatives, op13_conversation_repair)}
     return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op3_decontamination": OP3_SQL, "op12_hard_negatives": OP12_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op3_decontamination": OP3_SQL, "op12_hard_negatives": OP12_SQL, "op13_conversation_repair": OP13_SQL}

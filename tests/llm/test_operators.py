@@ -14,6 +14,7 @@ from specforge.llm.queries import oracle_sql, queries
 from specforge.llm.tokens import PATTERN  # noqa: F401
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long, score double, label string"
+TALK = "conv_id long, turn long, role string, text string"
 BASE = "The quick brown fox jumps over the lazy dog while seven clever judges watch the quiet harbour at dawn and write long letters home"
 
 
@@ -32,13 +33,15 @@ def odd(spark, tmp_path_factory):
     spark.createDataFrame(data, KIND).write.parquet(f"{sf}/documents.parquet")
     spark.createDataFrame([(1, BASE), (2, None), (None, "x y"), (4, "")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
     spark.createDataFrame([(i, i % 2, 0) for i in range(1, 12)] + [(12, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(i, i % 4, [0.1 * i, -0.2, 0.5], "x") for i in range(0, 300, 10)] + [(None, 1, [1.0], None), (1, None, None, None)], "vec_id long, label int, embedding array<float>, parts string").write.parquet(f"{sf}/embeddings.parquet")
+    spark.createDataFrame([(1, 0, "user", "Hi."), (1, 1, None, None), (None, None, None, None), (2, 3, "assistant", "x" * 100_000), (2, 3, "assistant", "x")], TALK).write.parquet(f"{sf}/conversations.parquet")
     return str(sf), data
 
 
 @pytest.fixture(scope="module")
 def empty(spark, tmp_path_factory):
     sf = tmp_path_factory.mktemp("empty")
-    for name, kind in (("documents", KIND), ("benchmark", "item_id long, text string"), ("labels", "doc_id long, quality int, toxic int")):
+    for name, kind in (("documents", KIND), ("benchmark", "item_id long, text string"), ("labels", "doc_id long, quality int, toxic int"), ("embeddings", "vec_id long, label int, embedding array<float>"), ("conversations", TALK)):
         spark.createDataFrame([], kind).write.parquet(f"{sf}/{name}.parquet")
     return str(sf)
 
