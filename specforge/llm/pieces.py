@@ -13,7 +13,6 @@ from __future__ import annotations
 import functools
 import itertools
 import re
-import string
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,6 +22,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 NONE = np.int64(1) << 40
+_CUT = "\x1f"
 _KNOWN_MOST = 500_000
 _CHARS_MOST = 4_000_000
 
@@ -33,6 +33,61 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+class _Pool(dict):
+    """Slots of words; a word asked for the first time gets the next one and is noted."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        slot = self[word] = len(self)
+        self.fresh.append(word)
+        return slot
+
+
+class _Pairs:
+    """Pairs of symbols to rank and merged symbol, looked up for whole arrays: a hash table, and a second one for slots hit twice."""
+
+    BITS = 19
+
+    def __init__(self, key: np.ndarray, rank: np.ndarray, merged: np.ndarray):
+        self.key, self.rank, self.merged = (np.append(x, last) for x, last in ((key, -1), (rank, NONE), (merged, 0)))
+        self.tables, left = [], np.arange(len(key))
+        for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5):
+            at = self._slot(key[left], salt)
+            table = np.full(1 << self.BITS, -1, np.int32)
+            table[at] = left
+            lost = table[at] != left
+            twice = np.zeros(1 << self.BITS, bool)
+            twice[at[lost]] = True
+            self.tables.append((salt, table, twice))
+            left = left[lost]
+            if not len(left):
+                return
+        raise ValueError("too many pairs for the tables")
+
+    def _slot(self, key: np.ndarray, salt: int) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(salt) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def __call__(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank, NONE without one, and merged symbol of each key."""
+        found, ask = np.full(len(key), -1, np.int64), None
+        for salt, table, twice in self.tables:
+            own = key if ask is None else key[ask]
+            slot = self._slot(own, salt)
+            at = table[slot]
+            hit = self.key[at] == own
+            if ask is None:
+                found[hit] = at[hit]
+                ask = np.flatnonzero(~hit & twice[slot])
+            else:
+                found[ask[hit]] = at[hit]
+                ask = ask[~hit & twice[slot]]
+            if not len(ask):
+                break
+        return self.rank[found], self.merged[found]
+
+
 def _first_true(at: np.ndarray, flags: np.ndarray) -> np.ndarray:
     """For runs that start at the indices at: how many true flags stand before each element of its run."""
     before = np.cumsum(flags) - flags
@@ -62,7 +117,6 @@ class PieceEncoder:
         self.bytes = np.array([library.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int64)
         self.surface = [p.piece.replace(SPACE, " ").encode() if p.type == 1 else b"" if p.type == 3 else train.unk_surface.encode() if p.type == 2 else bytes([int(p.piece[3:5], 16)]) for p in spec.pieces]
         self.kinds = np.array(kinds, np.int8)
-        self.silent = {i for i, k in enumerate(kinds) if k == 3}
         self._pairs(own, spec)
         self._spaces(own, spec)
         self._clear()
@@ -75,14 +129,16 @@ class PieceEncoder:
         scores = np.unique([-spec.pieces[i].score for i in own.values()])
         rank = {p: int(np.searchsorted(scores, -spec.pieces[i].score)) for p, i in own.items()}
         found = [(self.symbol[p[:k]] * self.width + self.symbol[p[k:]], rank[p], i) for p, i in own.items() for k in range(1, len(p)) if p[:k] in self.symbol and p[k:] in self.symbol]
-        self.key, self.rank, self.merged = (np.array(c, np.int64) for c in zip(*sorted(found), strict=True))
+        self.pairs = _Pairs(*(np.array(c, np.int64) for c in zip(*found, strict=True)))
         #: Characters as small numbers, 0 for those in no piece; which of them stand side by side in a piece.
         letters = sorted({c for p in own for c in p})
         self.letter = np.zeros(0x110000, np.int32)
         self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
         self.of_letter = np.array([0, *(self.symbol[c] for c in letters)], np.int64)
-        near = {(ord(p[k]), ord(p[k + 1])) for p in own for k in range(len(p) - 1)}
-        self.beside = np.unique([int(self.letter[a]) * 0x10000 + int(self.letter[b]) for a, b in near])
+        self.beside = np.zeros((len(letters) + 1, len(letters) + 1), bool)
+        for p in own:
+            at = self.letter[[ord(c) for c in p]]
+            self.beside[at[:-1], at[1:]] = True
 
     def _spaces(self, own: dict[str, int], spec) -> None:
         """Runs of space marks. Their pieces share the lowest score of all, so they merge last and from the left; a longer run begins with the longest piece."""
@@ -95,12 +151,9 @@ class PieceEncoder:
         if 1 not in runs or any(SPACE in p[1:] and {*p} != {SPACE} for p in own) or len(tied) > 1 or tied and max(tied) >= rest or not periodic:
             raise ValueError("models whose pieces hold space marks in another way are not encoded")
         self.runs = runs
-        alone = "".join(re.escape(c) for c in "\n\t" if all(c not in p or len(p) == 1 for p in own))
-        #: Marks that in no piece follow a letter, digit or underscore, so a word ends before them.
-        late = {p[k + 1] for p in own for k in range(len(p) - 1) if re.match(r"\w", p[k])}
-        stop = "".join(re.escape(c) for c in string.punctuation if c not in late and c != "_")
-        plain = rf"{SPACE}?[^{SPACE}{alone}\w]*\w+(?=[{SPACE}{alone}{stop}]|\Z)|" * bool(stop)
-        self.words = re.compile(f"{plain}{SPACE}?[^{SPACE}{alone}]+|{SPACE}+(?={SPACE})|{SPACE}" + f"|[{alone}]" * bool(alone))
+        alone = "".join(c for c in "\n\t" if all(c not in p or len(p) == 1 for p in own))
+        self.alone = alone
+        self.words = re.compile(f"{SPACE}?[^{SPACE}{alone}]+|{SPACE}+(?={SPACE})|{SPACE}" + f"|[{alone}]" * bool(alone))
 
     @staticmethod
     def _from_left(n: int, runs: dict[int, int]) -> list[int]:
@@ -111,61 +164,66 @@ class PieceEncoder:
         return [runs[k] for k in parts]
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.at, self.size, self.lone = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-
-    def _ranked(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and merged symbol of each pair; NONE without one."""
-        key = left * self.width + right
-        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        return np.where(self.key[at] == key, self.rank[at], NONE), self.merged[at]
+        self.known = _Pool()
+        self.flat = self.at = self.size = np.zeros(0, np.int64)
+        self.run = self.lone = np.zeros(0, bool)
+
+    def _shrink(self) -> None:
+        """Keeps the older half of the words: common ones are met early."""
+        half = _KNOWN_MOST // 2
+        kept = _Pool()
+        kept.update(itertools.islice(self.known.items(), half))
+        self.known, self.flat = kept, self.flat[: self.at[half]]
+        self.at, self.size, self.run, self.lone = self.at[:half], self.size[:half], self.run[:half], self.lone[:half]
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in order, and how many each has."""
         code = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
-        letter = self.letter[code].astype(np.int64)
-        fits = np.isin(letter[:-1] * 0x10000 + letter[1:], self.beside)
-        begins = np.cumsum([0, *map(len, words)])
-        fits[begins[1:-1] - 1] = False
-        unit = np.concatenate(([0], np.cumsum(~fits)))
+        letter = self.letter[code]
+        fits = self.beside[letter[:-1], letter[1:]]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        begins = np.concatenate(([0], np.cumsum(sizes)))
+        inner = begins[1:-1]
+        fits[inner[(inner > 0) & (inner < len(code))] - 1] = False
+        unit = np.concatenate(([0], np.cumsum(~fits))) if len(code) else np.zeros(0, np.int64)
         place, symbol = np.arange(len(code)), np.where(letter > 0, self.of_letter[letter], self.width - 1)
-        done_place, done_symbol = [], []
+        rank, merged = self.pairs(symbol[:-1] * self.width + symbol[1:])
+        rank, merged = np.append(np.where(fits, rank, NONE), NONE)[: len(code)], np.append(merged, 0)[: len(code)]
+        done_place, done_symbol = [place[:0]], [symbol[:0]]
         while len(symbol):
-            rank, merged = self._ranked(symbol[:-1], symbol[1:])
-            rank = np.append(np.where(unit[:-1] == unit[1:], rank, NONE), NONE)
             starts = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
-            sizes = np.diff(np.append(starts, len(unit)))
-            least = np.repeat(np.minimum.reduceat(rank, starts), sizes)
-            over = least == NONE
-            if over.any():
-                done_place.append(place[over])
-                done_symbol.append(symbol[over])
-                place, symbol, unit, rank, least = (x[~over] for x in (place, symbol, unit, rank, least))
-                merged = np.append(merged, 0)[~over]
+            least = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(unit))))
+            live = least != NONE
+            if not live.all():
+                done_place.append(place[~live])
+                done_symbol.append(symbol[~live])
+                place, symbol, unit, rank, merged, least = (x[live] for x in (place, symbol, unit, rank, merged, least))
                 if not len(symbol):
                     break
-            best = rank == least
-            run = np.flatnonzero(best & ~np.concatenate(([False], best[:-1])))
-            index = np.arange(len(best))
-            begun = np.zeros(len(best), np.int64)
-            begun[run] = run
-            chosen = np.flatnonzero(best & ((index - np.maximum.accumulate(begun)) % 2 == 0))
-            x, own = merged[chosen], unit[chosen]
+            best = np.flatnonzero(rank == least)
+            begun = np.concatenate(([True], best[1:] != best[:-1] + 1))
+            chosen = best[(best - np.maximum.accumulate(np.where(begun, best, 0))) % 2 == 0]
+            x, own, mine = merged[chosen], unit[chosen], rank[chosen]
             follows = np.concatenate(([False], (chosen[1:] == chosen[:-1] + 2) & (own[1:] == own[:-1])))
             left_at, right_at = np.maximum(chosen - 1, 0), np.minimum(chosen + 2, len(unit) - 1)
             left = np.where(follows, np.concatenate(([0], x[:-1])), symbol[left_at])
-            first, _ = self._ranked(left, x)
-            second, _ = self._ranked(x, symbol[right_at])
+            both = self.pairs(np.concatenate((left * self.width + x, x * self.width + symbol[right_at])))
             had_left = (unit[left_at] == own) & (left_at < chosen)
             had_right = (unit[right_at] == own) & (right_at == chosen + 2)
-            better = (had_left & (first <= rank[chosen])) | (had_right & (second <= rank[chosen]))
-            go = _first_true(np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))), better) == 0
-            symbol = symbol.copy()
-            symbol[chosen[go]] = x[go]
+            first, second = np.where(had_left, both[0][: len(x)], NONE), np.where(had_right, both[0][len(x) :], NONE)
+            better = np.minimum(first, second) <= mine
+            go = slice(None)
+            if better.any():
+                go = _first_true(np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))), better) == 0
+            at = chosen[go]
+            symbol[at] = x[go]
+            rank[at], merged[at] = second[go], both[1][len(x) :][go]
+            before = (at - 1 - follows[go])[had_left[go]]
+            rank[before], merged[before] = first[go][had_left[go]], both[1][: len(x)][go][had_left[go]]
             stay = np.ones(len(symbol), bool)
-            stay[chosen[go] + 1] = False
-            place, symbol, unit = place[stay], symbol[stay], unit[stay]
-        place, symbol = np.concatenate(done_place or [place]), np.concatenate(done_symbol or [symbol])
+            stay[at + 1] = False
+            place, symbol, unit, rank, merged = place[stay], symbol[stay], unit[stay], rank[stay], merged[stay]
+        place, symbol = np.concatenate(done_place), np.concatenate(done_symbol)
         order = np.argsort(place, kind="stable")
         return self._fall_back(place[order], symbol[order], code, begins)
 
@@ -183,21 +241,18 @@ class PieceEncoder:
                 symbol[ends[i] - len(ids) : ends[i]] = ids
         return symbol, np.bincount(word, minlength=len(begins) - 1)
 
-    def _learn(self, words: Iterable[str]) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        if not new:
-            return
-        runs = [i for i, w in enumerate(new) if len(w) > 1 and w[-1] == SPACE]
-        for i in runs:
-            self.known[new[i]] = -1  # cut where it stands
-        new = [w for w in new if w not in self.known]
-        if not new:
-            return
-        ids, sizes = self.merge(new)
-        at = len(self.flat) + np.cumsum(sizes) - sizes
-        self.known.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
-        self.lone = np.concatenate((self.lone, ids[at - len(self.flat)] == self.runs.get(1, -1)))
-        self.flat, self.at, self.size = np.concatenate((self.flat, ids)), np.concatenate((self.at, at)), np.concatenate((self.size, sizes))
+    def _slots(self, words: list[str]) -> np.ndarray:
+        """The slots of words; those not met before are merged together."""
+        slots = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        if fresh := self.known.fresh:
+            run = np.fromiter((w[:2] == SPACE * 2 for w in fresh), bool, len(fresh))
+            ids, sizes = self.merge(["" if r else w for r, w in zip(run, fresh, strict=True)] if run.any() else fresh)
+            at = len(self.flat) + np.cumsum(sizes) - sizes
+            first = np.append(ids, -1)[np.minimum(at - len(self.flat), len(ids))]
+            self.lone = np.concatenate((self.lone, (first == self.runs[1]) & (sizes > 0)))
+            self.flat, self.at, self.size, self.run = (np.concatenate(x) for x in ((self.flat, ids), (self.at, at), (self.size, sizes), (self.run, run)))
+            self.known.fresh = []
+        return slots
 
     def _run(self, n: int) -> list[int]:
         return [self.runs[self.longest]] * (n // self.longest) + self.cut[n % self.longest]
@@ -205,8 +260,11 @@ class PieceEncoder:
     def _parts(self, text: str) -> Iterator[list[str]]:
         """The words of a text, in bounded lists. A run of spaces before a space-marked word has one mark too many, as no word begins with two."""
         marked = SPACE * (self.prefix and bool(text)) + text.replace(" ", SPACE)
-        if SPACE * 2 not in marked and len(marked) <= _CHARS_MOST:
-            yield self.words.findall(marked)
+        if SPACE * 2 not in marked and _CUT not in marked and len(marked) <= _CHARS_MOST:
+            cut = marked.replace(SPACE, _CUT + SPACE)
+            for c in self.alone:
+                cut = cut.replace(c, _CUT + c + _CUT)
+            yield cut.split(_CUT)
             return
         held: list[str] = []
         size = 0
@@ -221,16 +279,14 @@ class PieceEncoder:
         if held:
             yield held
 
-    def _ids(self, words: list[str]) -> np.ndarray:
-        slot = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        size = np.where(slot < 0, 0, self.size[slot]) if len(self.size) else np.zeros(len(slot), np.int64)
-        begin = np.where(slot < 0, 0, self.at[slot]) if len(self.at) else np.zeros(len(slot), np.int64)
-        spaces = np.flatnonzero(slot < 0)
-        alone = spaces[self.lone[slot[spaces + 1]]] + 1 if len(spaces) else spaces
+    def _ids(self, words: list[str], slot: np.ndarray) -> np.ndarray:
+        size, begin = self.size[slot], self.at[slot]
+        spaces = np.flatnonzero(self.run[slot])
+        alone = spaces[self.lone[slot[spaces + 1]]] + 1
         begin[alone] += 1
         size[alone] -= 1
-        total = np.cumsum(size) - size
-        ids = self.flat[np.repeat(begin - total, size) + np.arange(int(size.sum()))] if size.sum() else np.zeros(0, np.int64)
+        total = np.cumsum(size)
+        ids = self.flat[np.repeat(begin - total + size, size) + np.arange(total[-1])] if len(total) else np.zeros(0, np.int64)
         if len(spaces):
             joined = {*alone.tolist()}
             cut = [self._run(len(words[i]) - 1 + (i + 1 in joined)) for i in spaces.tolist()]
@@ -245,10 +301,11 @@ class PieceEncoder:
 
         def flush() -> None:
             nonlocal group, size
-            if len(self.known) > _KNOWN_MOST or len(self.flat) > 8 * _KNOWN_MOST:
-                self._clear()
-            self._learn(itertools.chain.from_iterable(group))
-            out.extend(map(self._ids, group))
+            if len(self.known) > _KNOWN_MOST:
+                self._shrink()
+            slots = self._slots(list(itertools.chain.from_iterable(group)))
+            ends = np.cumsum([0, *map(len, group)]).tolist()
+            out.extend(self._ids(words, slots[a:b]) for words, a, b in zip(group, ends[:-1], ends[1:], strict=True))
             group, size = [], 0
 
         for text in texts:
@@ -263,16 +320,15 @@ class PieceEncoder:
                 continue
             group.append(next(self._parts(text or ""), []))
             size += len(text or "")
-            if size > _CHARS_MOST:
+            if size > _CHARS_MOST // 2:
                 flush()
         flush()
         return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids. A leading space mark goes, control ids are silent, each byte that is no UTF-8 becomes U+FFFD."""
-        given = ids.tolist()
-        if any(i in self.silent for i in {*given}):
-            given = [i for i in given if i not in self.silent]
+        silent = self.kinds[ids] == 3
+        given = (ids[~silent] if silent.any() else ids).tolist()
         if self.prefix and given and self.pieces[given[0]][0] == SPACE and self.kinds[given[0]] == 1:
             head, given = self.surface[given[0]][1:], given[1:]
         else:
