@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from .fixed import CATEGORY_RANGES, CERTIFICATIONS, DESCRIBED, FALLBACK, GLOBAL_RANGES, KEYWORD, MATERIALS, PENALTY, RULES, STANDARD_VOLTAGES, STOPWORDS, SYNCHRONOUS_50, SYNCHRONOUS_60, SYNCHRONOUS_SPEEDS, TAXONOMY, TRUST, UNITS, WEIGHTS
+from .fixed import CATEGORY_RANGES, CERTIFICATIONS, DESCRIBED, FALLBACK, FIELDS, GLOBAL_RANGES, KEYWORD, MATERIALS, PENALTY, RULES, STANDARD_VOLTAGES, STOPWORDS, SYNCHRONOUS_50, SYNCHRONOUS_60, SYNCHRONOUS_SPEEDS, TAXONOMY, TRUST, UNITS, WEIGHTS
 from .functions.text import marked
 from .sources.catalog import ATTRIBUTES, TRUTH, catalog_sql, truth_columns
 
@@ -156,6 +156,20 @@ described AS (
     || '. ' || rtrim(description, '.') || '.' AS enriched_description
   FROM raw r JOIN category c USING (product_id) JOIN (SELECT code, name AS name_of FROM leaf UNION ALL SELECT {q(FALLBACK[0])}, {q(FALLBACK[1][-1])}) l USING (code) LEFT JOIN bits USING (product_id))
 """
+_TRIGRAMS = "CASE WHEN length(j) >= 3 THEN list_transform(range(1, length(j) - 1), lambda i: substr(j, i, 3)) WHEN j <> '' THEN [j] ELSE [''] END"
+_SHOWN = "coalesce(replace(str, ',', ', '), CASE WHEN num = floor(num) THEN CAST(CAST(num AS BIGINT) AS VARCHAR) ELSE format('{:g}', num) END || coalesce(' ' || unit, ''))"
+_ORDER = f"CASE WHEN EXISTS (SELECT 1 FROM best WHERE best.product_id = f.product_id AND best.field = f.field) THEN list_position({list(FIELDS)}, field) WHEN origin = 'input' THEN 1000 + list_position(['brand', 'power', 'flow_rate', 'weight', 'noise_level'], field) ELSE 2000 + list_position({list(FIELDS)}, field) END"
+_SIMILAR = f""", told AS (SELECT product_id, string_agg(field || ' ' || shown, ' ' ORDER BY place) AS specs FROM (SELECT product_id, field, {_SHOWN} AS shown, {_ORDER} AS place FROM facts f) GROUP BY ALL),
+content AS (SELECT product_id, concat_ws(' ', nullif(name, ''), nullif(enriched_description, ''), specs) AS text FROM raw JOIN described USING (product_id) LEFT JOIN told USING (product_id)),
+grams AS (SELECT product_id, sha1(unnest({_TRIGRAMS})) AS g FROM (SELECT product_id, array_to_string(regexp_extract_all(lower(text), '([a-z0-9]+)', 1), ' ') AS j FROM content)),
+weights AS (SELECT product_id, CAST('0x' || substr(g, 1, 8) AS BIGINT) % 256 AS bucket, sum(CASE WHEN CAST('0x' || substr(g, 10, 1) AS INT) % 2 = 1 THEN 1 ELSE -1 END) AS w FROM grams GROUP BY ALL),
+vectors AS (SELECT product_id, list(coalesce(w, 0)::DOUBLE ORDER BY bucket) AS v, sqrt(sum(coalesce(w, 0)::DOUBLE * coalesce(w, 0))) AS norm FROM (SELECT product_id, b.range AS bucket FROM raw CROSS JOIN range(256) b) LEFT JOIN weights USING (product_id, bucket) GROUP BY ALL),
+class AS (SELECT product_id, min(product_id) OVER (PARTITION BY text, coalesce(numbers, '')) AS class_id FROM content LEFT JOIN (SELECT product_id, string_agg(field || num || coalesce(unit, '-'), '/' ORDER BY field) AS numbers FROM facts WHERE num IS NOT NULL GROUP BY ALL) USING (product_id))"""
+_CONFLICT = """(SELECT min(x.field) FROM facts x JOIN facts y ON x.product_id = p.query AND y.product_id = p.id AND x.field = y.field AND x.num IS NOT NULL AND y.num IS NOT NULL
+  WHERE NOT CASE WHEN x.unit IS NULL AND y.unit IS NULL THEN abs(x.num - y.num) <= 1e-9 WHEN x.unit = y.unit THEN abs(x.num - y.num) <= 0.02 * greatest(abs(x.num), abs(y.num)) ELSE false END)"""
+_COSINE = "round(list_dot_product(a.v, b.v) / (a.norm * b.norm), 12)"
+_ALIKE = f""", pairs AS (SELECT * FROM (SELECT a.product_id AS query, b.product_id AS id, {_COSINE} AS score FROM vectors a JOIN vectors b ON a.product_id < b.product_id
+  WHERE a.product_id IN (SELECT class_id FROM class) AND b.product_id IN (SELECT class_id FROM class)) WHERE score >= 0.8)"""
 _OUTLYING = """, moments AS (SELECT code, field, count(*) AS n, avg(num) AS mean, stddev_pop(num) AS deviation FROM facts JOIN category USING (product_id) WHERE num IS NOT NULL GROUP BY ALL HAVING count(*) >= 4 AND stddev_pop(num) > 0),
 outlying AS (SELECT product_id, code, field, num, mean, abs((num - mean) / deviation) AS z FROM facts JOIN category USING (product_id) JOIN moments USING (code, field) WHERE abs((num - mean) / deviation) > 3.0)"""
 _CONFLICTS = "(SELECT field FROM facts WHERE unit IS NOT NULL GROUP BY field HAVING count(DISTINCT unit) > 1)"
@@ -221,7 +235,7 @@ SQL = {
     "explain_summary": CATALOG + f"SELECT product_id, name || ': ' || l.name_of || ', ' || CASE WHEN specs = 0 THEN 'no values found' ELSE CAST(specs AS VARCHAR) || ' values (' || concat_ws(', ', CASE WHEN input > 0 THEN CAST(input AS VARCHAR) || ' from source' END, CASE WHEN extracted > 0 THEN CAST(extracted AS VARCHAR) || ' extracted' END, CASE WHEN derived > 0 THEN CAST(derived AS VARCHAR) || ' computed' END) || '), ' || CAST(CAST(round_even(100 * (input + extracted) / specs::DOUBLE, 0) AS INT) AS VARCHAR) || ' percent stated by the source' END AS summary FROM raw r JOIN category c USING (product_id) JOIN measures USING (product_id) JOIN (SELECT code, name AS name_of FROM leaf UNION ALL SELECT {q(FALLBACK[0])}, {q(FALLBACK[1][-1])}) l USING (code)",
     "flat_rows": CATALOG + f"SELECT r.product_id, r.name, l.path[-1] AS category, array_to_string(l.path, ' > ') AS category_path, coalesce(replace(m.keywords, ',', ', '), '') AS keywords, CASE WHEN v.is_valid THEN 'valid' ELSE 'invalid' END AS validation_status, v.score AS validation_score, m.completeness, coalesce(max(CASE WHEN num = floor(num) THEN CAST(CAST(num AS BIGINT) AS VARCHAR) ELSE format('{{:g}}', num) END || ' ' || unit) FILTER (field = 'power'), '') AS spec_power, coalesce(max(str) FILTER (field = 'ip_rating'), '') AS spec_ip_rating, coalesce(replace(max(str) FILTER (field = 'certifications'), ',', ', '), '') AS spec_certifications, coalesce(max(str) FILTER (field = 'brand'), '') AS spec_brand FROM raw r JOIN category c USING (product_id) JOIN measures m USING (product_id) JOIN verdicts v USING (product_id) JOIN ({_PATHS}) l USING (code) LEFT JOIN facts f USING (product_id) GROUP BY ALL",
     "result_documents": CATALOG + f"SELECT r.product_id, {_PRINT.replace('category', 'r.category')} AS fingerprint, c.code, CAST(m.specs AS INT) AS spec_count, v.score, f.str AS ip_rating FROM raw r JOIN category c USING (product_id) JOIN measures m USING (product_id) JOIN verdicts v USING (product_id) LEFT JOIN facts f ON f.product_id = r.product_id AND f.field = 'ip_rating'",
-    "stored_rows": CATALOG + f"SELECT r.product_id, {_PRINT.replace('category', 'r.category')} AS content_hash, l.path[-1] AS category, CAST(m.specs AS INT) AS spec_count, v.score AS validation_score, m.completeness, false AS llm_used, 'job-1' AS job_id FROM raw r JOIN category c USING (product_id) JOIN measures m USING (product_id) JOIN verdicts v USING (product_id) JOIN ({_PATHS}) l USING (code)",
+    "stored_rows": CATALOG + f"SELECT r.product_id, {_PRINT.replace('category', 'r.category')} AS content_hash, l.path[-1] AS category, CAST(m.specs AS INT) AS spec_count, v.score AS validation_score, m.completeness, false AS llm_used, 'job-1' AS job_id, c.code, r.name, v.score, t.enriched_description AS told FROM raw r JOIN described t USING (product_id) JOIN category c USING (product_id) JOIN measures m USING (product_id) JOIN verdicts v USING (product_id) JOIN ({_PATHS}) l USING (code)",
     "missing_from_store": CATALOG + f"SELECT product_id FROM (SELECT product_id, {_PRINT} AS h FROM raw) WHERE h NOT IN (SELECT {_PRINT} FROM raw WHERE product_id IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49))",
     "cached_or_computed": CATALOG + "SELECT product_id, CASE WHEN EXISTS (SELECT 1 FROM raw o WHERE o.product_id % 2 = 0 AND o.product_id % 3 <> 0 AND trim(o.name) = trim(r.name) AND o.description = r.description AND o.a_brand IS NOT DISTINCT FROM r.a_brand AND o.a_power IS NOT DISTINCT FROM r.a_power AND o.a_weight IS NOT DISTINCT FROM r.a_weight AND o.a_capacity IS NOT DISTINCT FROM r.a_capacity AND o.a_noise IS NOT DISTINCT FROM r.a_noise) THEN 'hit' ELSE 'miss' END AS cache FROM raw r WHERE trim(name) <> ''",
     "recent_topn": "SELECT event_id, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 20",
@@ -233,6 +247,9 @@ SQL = {
     "eval_per_case": _JUDGED + "SELECT case_id, predicted, correct, in_top3, tp, fn, n_in, n_out, score FROM scored",
     "eval_metrics": _JUDGED + "SELECT count(*) AS cases, round(avg(correct::INT), 4) AS category_accuracy, round(avg(in_top3::INT), 4) AS top3_accuracy, round(avg(confidence), 4) AS mean_confidence, 1.0::DOUBLE AS precision, round(sum(tp) / sum(tp + fn)::DOUBLE, 4) AS recall, round(2 * (sum(tp) / sum(tp + fn)::DOUBLE) / (1 + sum(tp) / sum(tp + fn)::DOUBLE), 4) AS f1, CAST(sum(tp) AS BIGINT) AS tp, 0::BIGINT AS fp, CAST(sum(fn) AS BIGINT) AS fn, 0.0::DOUBLE AS hallucination_rate, round(sum(n_out) / sum(n_in)::DOUBLE, 2) AS lift, round(avg(score), 4) AS mean_score FROM scored",
     "eval_confusion": _JUDGED + "SELECT expected_category, predicted, count(*) AS n FROM scored WHERE NOT correct GROUP BY ALL",
+    "confirmed_duplicates": CATALOG + _SIMILAR + f"SELECT query, id, round(score, 4) AS score, {_CONFLICT} AS conflict FROM (SELECT a.product_id AS query, b.product_id AS id, {_COSINE} AS score FROM vectors a JOIN vectors b ON a.product_id % 20 = 0 AND a.product_id <> b.product_id) p WHERE score >= 0.8 QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 10",
+    "similar_pairs": CATALOG + _SIMILAR + _ALIKE + f"SELECT query, id, round(score, 4) AS score, {_CONFLICT} AS conflict FROM pairs p",
+    "similar_records": CATALOG + _SIMILAR + _ALIKE + f", judged AS (SELECT query, id, {_CONFLICT} AS conflict FROM pairs p), ends AS (SELECT unnest([query, id]) AS class_id, conflict FROM judged) SELECT c.product_id, c.class_id, count(e.class_id) AS similar, count(e.class_id) FILTER (e.conflict IS NULL) AS duplicates FROM class c LEFT JOIN ends e USING (class_id) GROUP BY ALL",
     "embedding_topk": "SELECT query, id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rn FROM (SELECT a.vec_id AS query, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 12) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)) WHERE rn <= 5",
     "llm_gap_fill": CATALOG + "SELECT r.product_id, CASE WHEN p.field IS NULL THEN 'power' ELSE '' END AS accepted, CAST(CASE WHEN p.field IS NULL THEN 2 ELSE 3 END AS INT) AS rejected, round(coalesce(p.num, (r.product_id % 50 + 1) * 1000.0::DOUBLE), 6) AS power, coalesce(p.origin, 'llm') AS origin FROM raw r LEFT JOIN facts p ON p.product_id = r.product_id AND p.field = 'power'",
     "llm_prompts": CATALOG + f"SELECT c.product_id, coalesce(string_agg(w.field, ',' ORDER BY w.i) FILTER (f.field IS NULL AND w.field IS NOT NULL), '') AS wanted FROM category c LEFT JOIN ({_values((x['code'], f, i) for x in TAXONOMY for i, f in enumerate(x['expected']))}) w(code, field, i) USING (code) LEFT JOIN facts f ON f.product_id = c.product_id AND f.field = w.field GROUP BY c.product_id",

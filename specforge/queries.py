@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,11 +11,12 @@ from .fixed import FIELDS, TAXONOMY
 from .functions import text, units
 from .functions.embedding import bucket, trigrams
 from .functions.text import fingerprint, key_value
-from .operators import catalog, evaluate, explain, proposals, similarity
+from .operators import catalog, evaluate, explain, nearest, proposals, similarity
 from .operators.extract import extract
 from .oracle import SQL
 from .plans import service
 from .plans.pipeline import enrich, with_text
+from .plans.shared import new_path, staged
 from .sinks import writers
 from .sources import readers
 from .sources.catalog import catalog_sql, raw_catalog, truth
@@ -31,14 +30,6 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; on one machine a temporary one where none is set."""
-    given = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not given and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return given or tempfile.mkdtemp(prefix="spark-")
-
-
 def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich(raw_catalog(spark, sf_dir))
 
@@ -240,8 +231,11 @@ def result_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = writers.stored_rows(_enriched(spark, sf_dir).withColumn("result", F.lit(None).cast("string")), "job-1")
-    return rows.select("product_id", "content_hash", "category", "spec_count", "validation_score", "completeness", "llm_used", "job_id")
+    """What a store holds once all records were saved to it: its columns, and what its documents say."""
+    path = new_path(spark, "store")
+    writers.save(_enriched(spark, sf_dir), path, "job-1")
+    part = lambda at, kind: F.get_json_object("result", at).cast(kind)
+    return spark.read.parquet(path).select("product_id", "content_hash", "category", "spec_count", "validation_score", "completeness", "llm_used", "job_id", part("$.category.code", "string").alias("code"), part("$.name", "string").alias("name"), part("$.validation.score", "double").alias("score"), part("$.enriched_description", "string").alias("told"))
 
 
 def missing_from_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -318,12 +312,27 @@ def embedding_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def confirmed_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records like those with ids divisible by 20, with the field on which the two disagree, if any."""
-    path = f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}"
-    similarity.vectors(_enriched(spark, sf_dir)).write.parquet(path)
-    v = spark.read.parquet(path)
+    v = staged(similarity.vectors(_enriched(spark, sf_dir)), "vectors")
     return similarity.candidates(v.filter("product_id % 20 = 0"), v).select("query", "id", "score", "conflict")
 
 
+def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of records with a cosine of 0.8 or more, and what contradicts them."""
+    return similarity.similar_pairs(staged(similarity.vectors(_enriched(spark, sf_dir)), "vectors"))[0]
+
+
+def similar_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.similar_records(staged(similarity.vectors(_enriched(spark, sf_dir)), "vectors"))
+
+
+def embedding_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar vectors by the inverted-file index, for the ids divisible by 20; approximate, its recall is tested."""
+    e = _table(spark, sf_dir, "embeddings")
+    index, asks = nearest.build(e, "vec_id", "embedding"), e.filter("vec_id % 20 = 0")
+    found = nearest.search(index, asks, "vec_id", "embedding", 5, nearest.probes_for(index, asks, "vec_id", "embedding", 5))
+    return found.select("query", "id", F.round("score", 4).alias("score"))
+
+
 def llm_gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What becomes of proposals for every record: a power and an impossible field, in replies with fences and prose."""
     reply = "concat('Here you are: ```json {\"specifications\": {\"rated power\": {\"value\": ', cast(product_id % 50 + 1 as string), ', \"unit\": \"kW\", \"basis\": \"typical\"}, \"colour\": \"red\", \"weight\": {\"value\": 3, \"unit\": \"parsec\"}}}```')"
@@ -339,7 +348,7 @@ def llm_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalogue written as CSV and read again as a user's file."""
     raw = raw_catalog(spark, sf_dir)
-    path = f"{shared_dir(spark)}/catalogue-{uuid.uuid4().hex}"
+    path = new_path(spark, "catalogue")
     raw.selectExpr("product_id AS `Serial`", "name AS `Product Name`", "description AS `Details`", "category AS `Product Category`", "brand AS `Maker`").write.option("header", True).option("escape", '"').csv(path)
     records, _ = readers.read_csv(spark, path)
     return records.select(F.col("attributes")["Serial"].cast("long").alias("product_id"), "name", "description", "category", F.col("attributes")["Maker"].alias("maker"))
@@ -379,7 +388,7 @@ def queries() -> dict[str, Query]:
         fingerprints, content_hash, duplicate_groups, extract_best, spec_facts, classify_best, classify_ranked, classify_alternatives, keywords_top12, describe_template, validation_findings, validation_scores,
         enrich_summary, zscore_outliers, unit_conflicts, catalog_score, provenance, traceability, flat_export, attribute_lines, latest_event, event_props, lexical_embedding, unit_canonical, unit_agreement, trust_breakdown,
         field_provenance, spec_rows, category_reasoning, reasoning_chain, validation_reasoning, review_queue, explain_summary, flat_rows, result_documents, stored_rows, missing_from_store, cached_or_computed, recent_topn,
-        products_of_jobs, upsert_index, chunk_offsets, value_percentiles, eval_per_field, eval_per_case, eval_metrics, eval_confusion, embedding_topk, confirmed_duplicates, llm_gap_fill, llm_prompts, csv_round_trip,
+        products_of_jobs, upsert_index, chunk_offsets, value_percentiles, eval_per_field, eval_per_case, eval_metrics, eval_confusion, embedding_topk, confirmed_duplicates, similar_pairs, similar_records, embedding_index, llm_gap_fill, llm_prompts, csv_round_trip,
         json_records, html_titles, heading_blocks, fetch, never_ordered, job_progress, customer_outliers, quality_agreement,
     )
     return {"raw_catalog": q_raw_catalog} | {f.__name__: f for f in own}

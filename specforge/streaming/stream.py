@@ -31,7 +31,7 @@ def start(spark: SparkSession, source: str, store: str, jobs: str, checkpoint: s
     """
 
     def keep(batch: DataFrame, number: int) -> None:
-        rows = stored_rows(enrich(batch).withColumn("result", F.lit(None).cast("string")), job_id).withColumn("batch", F.lit(number))
+        rows = stored_rows(enrich(batch), job_id).withColumn("batch", F.lit(number))
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(store)
         done = batch.sparkSession.read.parquet(store).filter((F.col("job_id") == job_id) & (F.col("batch") <= number)).count()
         job_row(batch.sparkSession, job_id, "running", 0, done, number).write.mode("append").parquet(jobs)
