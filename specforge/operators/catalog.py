@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import fingerprint
+from ..plans.shared import staged
 
 EXAMPLES = 3
 
@@ -17,38 +18,63 @@ def spec_facts(enriched: DataFrame) -> DataFrame:
     return s.select("product_id", "code", "s.field", "s.num", F.coalesce("s.str", F.array_join("s.list", ",")).alias("str"), "s.unit", "s.origin", "s.confidence")
 
 
-def duplicate_groups(records: DataFrame) -> DataFrame:
-    """fingerprint, n and names (by product_id) of records whose squashed name and category are equal.
+def duplicate_members(records: DataFrame) -> DataFrame:
+    """fingerprint, n, place, product_id and name of every record whose squashed name and category another has too: a row each.
 
-    Groups are counted first; only the names of those with several members are gathered.
+    Groups are counted first; places are numbered within a group, streaming over its sorted rows.
     """
     keyed = records.select("product_id", "name", fingerprint(F.col("name"), F.col("category")).alias("fingerprint"))
     several = keyed.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    names = keyed.join(several, "fingerprint").groupBy("fingerprint", "n").agg(F.array_sort(F.collect_list(F.struct("product_id", "name"))).alias("m"))
+    return keyed.join(several, "fingerprint").select("fingerprint", "n", F.row_number().over(Window.partitionBy("fingerprint").orderBy("product_id", "name")).alias("place"), "product_id", "name")
+
+
+def duplicate_groups(records: DataFrame, most: int = 1000) -> DataFrame:
+    """fingerprint, n and names of groups of equal records: the first names by product_id, as many as most; n counts all, duplicate_members lists them."""
+    named = duplicate_members(records).filter(F.col("place") <= most)
+    names = named.groupBy("fingerprint", "n").agg(F.array_sort(F.collect_list(F.struct("place", "name"))).alias("m"))
     return names.select("fingerprint", "n", F.transform("m", lambda x: x["name"]).alias("names"))
 
 
-def outliers(facts: DataFrame, threshold: float = 3.0, least: int = 4) -> DataFrame:
+def profile(facts: DataFrame) -> DataFrame:
+    """code, field, unit, origin, n, numbers, mean and spread (the sum of squared distances from the mean): one pass over the facts.
+
+    Rows of it merge: moments and counts by fewer keys come from it and not from the facts.
+    """
+    values = F.count("num").alias("numbers"), F.avg("num").alias("mean"), (F.var_pop("num") * F.count("num")).alias("spread")
+    return facts.groupBy("code", "field", "unit", "origin").agg(F.count(F.lit(1)).alias("n"), *values)
+
+
+def moments(profiled: DataFrame) -> DataFrame:
+    """code, field, n, mean and deviation (of the population) of the numeric values, merged from a profile."""
+    parts = profiled.filter("numbers > 0").groupBy("code", "field").agg(F.sum("numbers").alias("n"), (F.sum(F.col("numbers") * F.col("mean")) / F.sum("numbers")).alias("mean"), F.collect_list(F.struct("numbers", "mean", "spread")).alias("parts"))
+    spread = F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["spread"] + p["numbers"] * (p["mean"] - F.col("mean")) * (p["mean"] - F.col("mean")))
+    return parts.select("code", "field", "n", "mean", F.sqrt(spread / F.col("n")).alias("deviation"))
+
+
+def few(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """df, to be broadcast if it has few rows: it should be staged. Attributes bring in fields of any name, so their number is counted."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def outliers(facts: DataFrame, threshold: float = 3.0, least: int = 4, profiled: DataFrame | None = None) -> DataFrame:
     """Numeric values far from the mean of their category and field, in population standard deviations: z, mean, deviation.
 
-    Moments are aggregated before they are joined back, so that a category that holds most rows is no single task. facts
-    is read twice: persist it where its making costs more than its storage.
+    Moments are merged before they are joined back, so that a category that holds most rows is no single task. facts is
+    read twice, once with a profile: stage it where its making is dear.
     """
     numeric = facts.filter("num IS NOT NULL")
-    moments = numeric.groupBy("code", "field").agg(F.count(F.lit(1)).alias("n"), F.avg("num").alias("mean"), F.stddev_pop("num").alias("deviation")).filter((F.col("n") >= least) & (F.col("deviation") > 0))
+    own = moments(profile(facts) if profiled is None else profiled)
+    usual = few(staged(own.filter((F.col("n") >= least) & (F.col("deviation") > 0)), "moments"))
     z = F.abs((F.col("num") - F.col("mean")) / F.col("deviation"))
-    # The moments are one row per category and field of a fixed schema, whatever the catalogue's size.
-    return numeric.join(F.broadcast(moments), ["code", "field"]).withColumn("z", z).filter(F.col("z") > threshold)
+    return numeric.join(usual, ["code", "field"]).withColumn("z", z).filter(F.col("z") > threshold)
 
 
-def unit_conflicts(facts: DataFrame, names: DataFrame) -> DataFrame:
+def unit_conflicts(facts: DataFrame, names: DataFrame, profiled: DataFrame | None = None) -> DataFrame:
     """field, unit, n, examples (first names by product_id) of fields that are measured in several units."""
-    measured = facts.filter("unit IS NOT NULL")
-    units = measured.groupBy("field", "unit").agg(F.count(F.lit(1)).alias("n"))
-    fields = units.groupBy("field").agg(F.count(F.lit(1)).alias("units")).filter("units > 1").select("field")
-    units = units.join(F.broadcast(fields), "field", "left_semi")
+    units = (profile(facts) if profiled is None else profiled).filter("unit IS NOT NULL").groupBy("field", "unit").agg(F.sum("n").alias("n"))
+    units = staged(units.withColumn("units", F.count(F.lit(1)).over(Window.partitionBy("field"))).filter("units > 1").drop("units"), "units")
     by = Window.partitionBy("field", "unit").orderBy("product_id")
-    ranked = measured.join(F.broadcast(fields), "field").select("field", "unit", "product_id", F.row_number().over(by).alias("place")).filter(F.col("place") <= EXAMPLES)
+    ranked = facts.filter("unit IS NOT NULL").join(few(units.select("field", "unit")), ["field", "unit"]).select("field", "unit", "product_id", F.row_number().over(by).alias("place")).filter(F.col("place") <= EXAMPLES)
     named = ranked.join(names.select("product_id", "name"), "product_id").groupBy("field", "unit").agg(F.array_sort(F.collect_list(F.struct("place", "name"))).alias("m"))
     return units.join(named, ["field", "unit"]).select("field", "unit", "n", F.transform("m", lambda x: x["name"]).alias("examples"))
 
@@ -61,11 +87,12 @@ def summary(enriched: DataFrame) -> DataFrame:
     )
 
 
-def catalogue_score(records: DataFrame, facts: DataFrame, threshold: float = 3.0) -> DataFrame:
+def catalogue_score(records: DataFrame, facts: DataFrame, threshold: float = 3.0, profiled: DataFrame | None = None) -> DataFrame:
     """records, duplicates (groups), outliers (values), conflicts (fields) and the score: one less issues per record, not below zero."""
-    units = facts.filter("unit IS NOT NULL").groupBy("field").agg(F.count_distinct("unit").alias("units")).filter("units > 1")
+    profiled = staged(profile(facts), "profile") if profiled is None else profiled
+    units = profiled.filter("unit IS NOT NULL").groupBy("field").agg(F.count_distinct("unit").alias("units")).filter("units > 1")
     groups = records.groupBy(fingerprint(F.col("name"), F.col("category")).alias("fingerprint")).agg(F.count(F.lit(1)).alias("n"))
-    parts = {"records": records, "duplicates": groups.filter("n > 1"), "outliers": outliers(facts, threshold), "conflicts": units}
+    parts = {"records": records, "duplicates": groups.filter("n > 1"), "outliers": outliers(facts, threshold, profiled=profiled), "conflicts": units}
     counted = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n") for name, df in parts.items()]
     all_ = counted[0].union(counted[1]).union(counted[2]).union(counted[3])
     wide = all_.agg(*[F.max(F.when(F.col("part") == name, F.col("n"))).alias(name) for name in parts])

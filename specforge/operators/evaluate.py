@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..fixed import EVALUATION_TOLERANCE, MEASUREMENT
 from ..functions.sql import let, raw, strip
 from ..functions.units import canonical_sql, resolve_sql
+from ..plans.shared import staged
 
+#: Steps of the grid of quantiles that brackets a place.
+GRID = 1000
 CASE = "name string, description string, input_category string, attributes map<string,string>, expected_category string, expected_specs map<string,string>, notes string"
 
 
@@ -99,16 +102,64 @@ def confusion(cases: DataFrame) -> DataFrame:
     return cases.filter(~F.col("correct")).groupBy("expected_category", "predicted").agg(F.count(F.lit(1)).alias("n"))
 
 
-def percentiles(df: DataFrame, value: str, by: list[str] | None = None, points: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """The value at place floor(n * p) of the sorted ones, counted from zero, for each point; n and the mean.
+def percentiles(df: DataFrame, value: str, by: list[str] | None = None, points: tuple[float, ...] = (0.5, 0.95, 0.99), within: int = 100_000) -> DataFrame:
+    """The value at place floor(n * p) of the sorted ones, counted from zero, for each point; n and the mean. Exact.
 
-    Values are counted first; a running sum over the distinct ones of a group finds the places.
+    A grid of approximate quantiles, merged from all partitions, brackets each place between two values; exact counts
+    say what lies below and between them. While more than `within` rows lie between, these alone are bracketed again;
+    then they are sorted. So no task sorts a whole group, and a value that most rows share is found by its bracket.
     """
-    from pyspark.sql.window import Window
-
     keys = by or []
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    every = Window.partitionBy(*keys)
-    placed = counted.withColumns({"_upto": F.sum("_n").over(every.orderBy(value)), "_all": F.sum("_n").over(every)})
-    at = lambda p: F.min(F.when(F.col("_upto") > F.least(F.floor(F.col("_all") * p), F.col("_all") - 1), F.col(value))).alias(f"p{round(p * 100)}")
-    return placed.groupBy(*keys).agg(F.sum("_n").alias("n"), (F.sum(F.col(value) * F.col("_n")) / F.sum("_n")).alias("mean"), *map(at, points))
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    places = F.explode(F.array(*[F.struct(F.lit(i).alias("_at"), F.lit(p).alias("_p")) for i, p in enumerate(points)])).alias("_x")
+    kind = rows.schema["_v"].dataType
+    every = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.avg("_v").alias("_mean")).select("*", places).select("*", "_x.*").drop("_x")
+    rank = F.least(F.floor(F.col("_n") * F.col("_p")), F.col("_n") - 1)
+    edge = F.lit(None).cast(kind)
+    wanted = staged(every.withColumns({"_rank": rank, "_lo": edge, "_hi": edge, "_before": F.lit(0).cast("long"), "_inside": F.col("_n"), "_open": F.col("_n") > within}), "places")
+
+    def between(targets: DataFrame) -> DataFrame:
+        """The rows between the edges of each target; targets are as few as groups and points."""
+        few = F.broadcast(targets) if targets.count() <= 50_000 else targets
+        named = few.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            same = same & rows[k].eqNullSafe(F.col(f"_k{i}"))
+        inside = (F.col("_lo").isNull() | (F.col("_v") >= F.col("_lo"))) & (F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi")))
+        return rows.join(named, same & inside)
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        """left with the columns of right for the same group and point."""
+        own = [*keys, "_at"]
+        other = right.withColumnsRenamed({k: f"_g{i}" for i, k in enumerate(own)})
+        same = F.lit(True)
+        for i, k in enumerate(own):
+            same = same & F.col(k).eqNullSafe(F.col(f"_g{i}"))
+        return left.join(other, same).drop(*[f"_g{i}" for i in range(len(own))])
+
+    for _ in range(12):
+        rest = wanted.filter("_open")
+        if rest.isEmpty():
+            break
+        grid = staged(between(rest).groupBy(*keys, "_at").agg(F.percentile_approx("_v", [i / GRID for i in range(GRID + 1)], 10 * GRID).alias("_grid")), "grid")
+        share = (F.col("_rank") - F.col("_before")) / F.col("_inside") * GRID
+        at = lambda i: F.when((i >= 0) & (i <= GRID), F.get("_grid", i.cast("int")))
+        edges = {"_low": F.coalesce(at(F.floor(share) - 1), "_lo"), "_high": F.coalesce(at(F.ceil(share) + 1), "_hi")}
+        tried = staged(met(rest, grid).withColumns(edges).drop("_grid"), "brackets")
+        below = F.count_if(F.col("_v") < F.col("_low")).alias("_below")
+        upto = F.count_if(F.col("_high").isNull() | (F.col("_v") <= F.col("_high"))).alias("_upto")
+        counted = staged(between(tried).groupBy(*keys, "_at").agg(below, upto), "brackets")
+        fits = (F.col("_before") + F.col("_below") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_upto"))
+        better = {"_lo": F.col("_low"), "_hi": F.col("_high"), "_before": F.col("_before") + F.col("_below"), "_inside": F.col("_upto") - F.col("_below")}
+        moved = met(tried, counted).select(*[F.when(fits, better[c]).otherwise(F.col(c)).alias(c) if c in better else F.col(c) for c in wanted.columns if c != "_open"])
+        still = (F.col("_inside") > within) & ~F.coalesce(F.col("_lo") == F.col("_hi"), F.lit(False))
+        wanted = staged(wanted.filter("NOT _open").unionByName(moved.withColumn("_open", still)), "places")
+    settled = F.coalesce(F.col("_lo") == F.col("_hi"), F.lit(False))
+    few = between(wanted.filter(~settled)).groupBy(*keys, "_at", "_v").agg(F.count(F.lit(1)).alias("_m"), F.first("_rank").alias("_rank"), F.first("_before").alias("_before"))
+    upto = F.col("_before") + F.sum("_m").over(Window.partitionBy(*keys, "_at").orderBy("_v"))
+    found = few.withColumn("_upto", upto).filter("_upto > _rank").groupBy(*keys, "_at").agg(F.min("_v").alias("_v"))
+    found = found.unionByName(wanted.filter(settled).select(*keys, "_at", F.col("_lo").alias("_v")))
+    heads = wanted.filter("_at = 0").select(*keys, F.lit(None).cast("int").alias("_at"), edge.alias("_v"), "_n", "_mean")
+    at = lambda i, p: F.max(F.when(F.col("_at") == i, F.col("_v"))).alias(f"p{round(p * 100)}")
+    both = heads.unionByName(found, allowMissingColumns=True)
+    return both.groupBy(*keys).agg(F.max("_n").alias("n"), F.max("_mean").alias("mean"), *[at(i, p) for i, p in enumerate(points)])

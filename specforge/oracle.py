@@ -196,6 +196,8 @@ scored AS (SELECT t.product_id AS case_id, e.name_of AS expected_category, p.nam
 SQL = {
     "raw_catalog": CATALOG + "SELECT product_id, brand, name, description, category, a_brand, a_power, a_weight, a_capacity, a_noise FROM raw",
     "fingerprints": CATALOG + f"SELECT product_id, {_PRINT} AS fingerprint FROM raw",
+    "duplicate_members": CATALOG + f"SELECT fingerprint, n, CAST(row_number() OVER (PARTITION BY fingerprint ORDER BY product_id) AS INT) AS place, product_id FROM (SELECT {_PRINT} AS fingerprint, product_id, count(*) OVER (PARTITION BY {_PRINT}) AS n FROM raw) WHERE n > 1",
+    "catalog_profile": CATALOG + "SELECT code, field, unit, facts.origin, count(*) AS n, count(num) AS numbers, round(avg(num), 4) AS mean FROM facts JOIN category USING (product_id) GROUP BY ALL",
     "duplicate_groups": CATALOG + f"SELECT {_PRINT} AS fingerprint, count(*) AS n, string_agg(name, '|' ORDER BY product_id) AS names FROM raw GROUP BY 1 HAVING count(*) > 1",
     "extract_best": CATALOG + "SELECT product_id, field, rule, round(num, 6) AS num, str, unit, confidence FROM best",
     "spec_facts": CATALOG + "SELECT product_id, code, field, round(num, 6) AS num, str, unit, facts.origin, facts.confidence FROM facts JOIN category USING (product_id)",

@@ -54,6 +54,16 @@ def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.duplicate_groups(raw_catalog(spark, sf_dir)).withColumn("names", F.array_join("names", "|"))
 
 
+def catalog_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moments and counts by category, field, unit and origin."""
+    p = catalog.profile(_facts(spark, sf_dir))
+    return p.select("code", "field", "unit", "origin", "n", "numbers", F.round("mean", 4).alias("mean"))
+
+
+def duplicate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.duplicate_members(raw_catalog(spark, sf_dir)).select("fingerprint", "n", "place", "product_id")
+
+
 def extract_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.array_compact(F.array(*[F.col(f"t.{f}") for f in FIELDS]))
     s = extract(with_text(raw_catalog(spark, sf_dir))).select("product_id", found.alias("found")).select("product_id", F.explode_outer("found").alias("s")).filter("s IS NOT NULL")
@@ -102,18 +112,23 @@ def enrich_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.summary(_enriched(spark, sf_dir))
 
 
+def _narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts that checks over a catalogue read, made once."""
+    return staged(_facts(spark, sf_dir).select("product_id", "code", "field", "num", "unit", "origin"), "facts")
+
+
 def zscore_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = catalog.outliers(_facts(spark, sf_dir))
+    found = catalog.outliers(_narrow(spark, sf_dir))
     return found.select("product_id", "code", "field", F.round("num", 6).alias("num"), F.round("z", 2).alias("z"), F.round("mean", 4).alias("mean"))
 
 
 def unit_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = catalog.unit_conflicts(_facts(spark, sf_dir), raw_catalog(spark, sf_dir))
+    found = catalog.unit_conflicts(_narrow(spark, sf_dir), raw_catalog(spark, sf_dir))
     return found.withColumn("examples", F.array_join("examples", "|"))
 
 
 def catalog_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.catalogue_score(raw_catalog(spark, sf_dir), _facts(spark, sf_dir))
+    return catalog.catalogue_score(raw_catalog(spark, sf_dir), _narrow(spark, sf_dir))
 
 
 def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,7 +170,7 @@ def job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customer_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("product_id"), F.col("c_nationkey").alias("code"), F.lit("acctbal").alias("field"), F.col("c_acctbal").alias("num"))
+    c = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("product_id"), F.col("c_nationkey").alias("code"), F.lit("acctbal").alias("field"), F.col("c_acctbal").alias("num"), F.lit(None).cast("string").alias("unit"), F.lit("input").alias("origin"))
     return catalog.outliers(c, threshold=1.5).select(F.col("product_id").alias("c_custkey"))
 
 
@@ -288,20 +303,25 @@ def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truth(spark, sf_dir).join(F.broadcast(names), "leaf").join(raw, "product_id").select(F.col("product_id").alias("case_id"), "expected_category", F.col("expected").alias("expected_specs"), "description", "input_category", "attributes")
 
 
+def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the evaluation reads of the enriched records, made once."""
+    return staged(_enriched(spark, sf_dir).select("product_id", "specs", "category", "alternatives", "validation"), "predictions")
+
+
 def eval_per_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.per_field(_cases(spark, sf_dir), _enriched(spark, sf_dir)).select("case_id", "field", "outcome")
 
 
 def eval_per_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.per_case(_cases(spark, sf_dir), _enriched(spark, sf_dir)).select("case_id", "predicted", "correct", "in_top3", "tp", "fn", "n_in", "n_out", "score")
+    return evaluate.per_case(_cases(spark, sf_dir), _predicted(spark, sf_dir)).select("case_id", "predicted", "correct", "in_top3", "tp", "fn", "n_in", "n_out", "score")
 
 
 def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.aggregate(evaluate.per_case(_cases(spark, sf_dir), _enriched(spark, sf_dir)))
+    return evaluate.aggregate(evaluate.per_case(_cases(spark, sf_dir), _predicted(spark, sf_dir)))
 
 
 def eval_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.confusion(evaluate.per_case(_cases(spark, sf_dir), _enriched(spark, sf_dir)))
+    return evaluate.confusion(evaluate.per_case(_cases(spark, sf_dir), _predicted(spark, sf_dir)))
 
 
 def embedding_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -385,7 +405,7 @@ def fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     own = (
-        fingerprints, content_hash, duplicate_groups, extract_best, spec_facts, classify_best, classify_ranked, classify_alternatives, keywords_top12, describe_template, validation_findings, validation_scores,
+        fingerprints, content_hash, duplicate_groups, duplicate_members, catalog_profile, extract_best, spec_facts, classify_best, classify_ranked, classify_alternatives, keywords_top12, describe_template, validation_findings, validation_scores,
         enrich_summary, zscore_outliers, unit_conflicts, catalog_score, provenance, traceability, flat_export, attribute_lines, latest_event, event_props, lexical_embedding, unit_canonical, unit_agreement, trust_breakdown,
         field_provenance, spec_rows, category_reasoning, reasoning_chain, validation_reasoning, review_queue, explain_summary, flat_rows, result_documents, stored_rows, missing_from_store, cached_or_computed, recent_topn,
         products_of_jobs, upsert_index, chunk_offsets, value_percentiles, eval_per_field, eval_per_case, eval_metrics, eval_confusion, embedding_topk, confirmed_duplicates, similar_pairs, similar_records, embedding_index, llm_gap_fill, llm_prompts, csv_round_trip,
