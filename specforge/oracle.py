@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from .fixed import CATEGORY_RANGES, CERTIFICATIONS, DESCRIBED, FALLBACK, FIELDS, GLOBAL_RANGES, KEYWORD, MATERIALS, PENALTY, RULES, STANDARD_VOLTAGES, STOPWORDS, SYNCHRONOUS_50, SYNCHRONOUS_60, SYNCHRONOUS_SPEEDS, TAXONOMY, TRUST, UNITS, WEIGHTS
+from .fixed import CATEGORY_RANGES, CERTIFICATIONS, DESCRIBED, FALLBACK, FIELDS, GLOBAL_RANGES, HTML_SITE, KEYWORD, MATERIALS, NUMBERED, PENALTY, RULES, STANDARD_VOLTAGES, STOPWORDS, SYNCHRONOUS_50, SYNCHRONOUS_60, SYNCHRONOUS_SPEEDS, TAXONOMY, TRUST, UNITS, WEIGHTS
 from .functions.text import marked
 from .sources.catalog import ATTRIBUTES, TRUTH, catalog_sql, truth_columns
 
@@ -170,6 +170,30 @@ _CONFLICT = """(SELECT min(x.field) FROM facts x JOIN facts y ON x.product_id =
 _COSINE = "round(list_dot_product(a.v, b.v) / (a.norm * b.norm), 12)"
 _ALIKE = f""", pairs AS (SELECT * FROM (SELECT a.product_id AS query, b.product_id AS id, {_COSINE} AS score FROM vectors a JOIN vectors b ON a.product_id < b.product_id
   WHERE a.product_id IN (SELECT class_id FROM class) AND b.product_id IN (SELECT class_id FROM class)) WHERE score >= 0.8)"""
+_BLANK = "\\s\\x{00a0}\\x{2000}-\\x{200a}\\x{3000}"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^[{_BLANK}]+|[{_BLANK}]+$', '', 'g')"
+
+
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&"))
+_LETTERS = "length(regexp_replace(line, '[^\\p{{{}}}]', '', 'g'))"
+
+
+def _unescaped(x: str) -> str:
+    for entity, plain in _ENTITIES:
+        x = f"replace({x}, '{entity}', '{plain}')"
+    return x
+
+
+_PAGES = f"""WITH h AS (SELECT page_id, trim(regexp_replace({_unescaped("regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')")}, '[{_BLANK}]+', ' ', 'g')) AS h1 FROM pages)
+SELECT page_id, nullif(trim(regexp_replace(trim(regexp_replace(h1, {q(HTML_SITE[0].replace("u2013", "x{2013}").replace("u2014", "x{2014}"))}, '')), {q(HTML_SITE[1])}, '')), '') AS name, CAST(0 AS INT) AS attributes FROM h"""
+_HEADED = f"""WITH d AS (SELECT doc_id, list_transform(string_split_regex({_strip("coalesce(text, '')")}, '\\r\\n|\\n|\\r'), lambda x: {_strip("x")}) AS lines FROM documents WHERE {_strip("coalesce(text, '')")} <> ''),
+l AS (SELECT doc_id, lines, unnest(lines) AS line, generate_subscripts(lines, 1) AS spot FROM d),
+heads AS (SELECT doc_id, line, spot FROM l WHERE length(line) BETWEEN 4 AND 90 AND NOT regexp_matches(line, '[.,;:]$') AND (regexp_matches(line, {q(NUMBERED)}) OR {_LETTERS.format("L")} > 0 AND {_LETTERS.format("Lu")} > {_LETTERS.format("L")} * 0.75))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY spot) AS INT) AS block, line AS name FROM heads
+UNION ALL SELECT doc_id, 1, lines[1][1:120] FROM d WHERE doc_id NOT IN (SELECT doc_id FROM heads)"""
 _OUTLYING = """, moments AS (SELECT code, field, count(*) AS n, avg(num) AS mean, stddev_pop(num) AS deviation FROM facts JOIN category USING (product_id) WHERE num IS NOT NULL GROUP BY ALL HAVING count(*) >= 4 AND stddev_pop(num) > 0),
 outlying AS (SELECT product_id, code, field, num, mean, abs((num - mean) / deviation) AS z FROM facts JOIN category USING (product_id) JOIN moments USING (code, field) WHERE abs((num - mean) / deviation) > 3.0)"""
 _CONFLICTS = "(SELECT field FROM facts WHERE unit IS NOT NULL GROUP BY field HAVING count(DISTINCT unit) > 1)"
@@ -256,6 +280,9 @@ SQL = {
     "llm_gap_fill": CATALOG + "SELECT r.product_id, CASE WHEN p.field IS NULL THEN 'power' ELSE '' END AS accepted, CAST(CASE WHEN p.field IS NULL THEN 2 ELSE 3 END AS INT) AS rejected, round(coalesce(p.num, (r.product_id % 50 + 1) * 1000.0::DOUBLE), 6) AS power, coalesce(p.origin, 'llm') AS origin FROM raw r LEFT JOIN facts p ON p.product_id = r.product_id AND p.field = 'power'",
     "llm_prompts": CATALOG + f"SELECT c.product_id, coalesce(string_agg(w.field, ',' ORDER BY w.i) FILTER (f.field IS NULL AND w.field IS NOT NULL), '') AS wanted FROM category c LEFT JOIN ({_values((x['code'], f, i) for x in TAXONOMY for i, f in enumerate(x['expected']))}) w(code, field, i) USING (code) LEFT JOIN facts f ON f.product_id = c.product_id AND f.field = w.field GROUP BY c.product_id",
     "csv_round_trip": CATALOG + "SELECT product_id, name, description, trim(coalesce(category, '')) AS category, brand AS maker FROM raw WHERE trim(name) <> ''",
+    "folder_records": CATALOG + "SELECT product_id, name, description, trim(coalesce(category, '')) AS category, brand AS maker FROM raw WHERE trim(name) <> ''",
+    "html_titles": _PAGES,
+    "heading_blocks": _HEADED,
     "json_records": "SELECT conv_id, turn, role AS name, CAST(length(trim(regexp_replace(coalesce(text, ''), '[\\s\\x{00a0}]+', ' ', 'g'))) AS INT) AS size FROM conversations WHERE trim(role) <> ''",
     "fetch": CATALOG + f"SELECT {_PRINT} AS content_hash, max(product_id) AS product_id FROM raw GROUP BY 1",
 }

@@ -18,7 +18,7 @@ from .plans import service
 from .plans.pipeline import enrich, with_text
 from .plans.shared import new_path, staged
 from .sinks import writers
-from .sources import readers
+from .sources import folder, readers
 from .sources.catalog import catalog_sql, raw_catalog, truth
 from .streaming.stream import chunks
 
@@ -374,6 +374,15 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(F.col("attributes")["Serial"].cast("long").alias("product_id"), "name", "description", "category", F.col("attributes")["Maker"].alias("maker"))
 
 
+def folder_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue written as files with bars between the values and read again through the folder source."""
+    raw = raw_catalog(spark, sf_dir)
+    path = new_path(spark, "folder")
+    raw.selectExpr("product_id AS `Serial`", "name AS `Product Name`", "description AS `Details`", "category AS `Product Category`", "brand AS `Maker`").write.option("header", True).option("sep", "|").option("escape", '"').csv(path)
+    records = folder.read_folder(spark, path).filter("level = 'record'")
+    return records.select(F.col("attributes")["Serial"].cast("long").alias("product_id"), "name", "description", "category", F.col("attributes")["Maker"].alias("maker"))
+
+
 def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages as JSON records with a nested sender."""
     c = _table(spark, sf_dir, "conversations")
@@ -408,7 +417,7 @@ def queries() -> dict[str, Query]:
         fingerprints, content_hash, duplicate_groups, duplicate_members, catalog_profile, extract_best, spec_facts, classify_best, classify_ranked, classify_alternatives, keywords_top12, describe_template, validation_findings, validation_scores,
         enrich_summary, zscore_outliers, unit_conflicts, catalog_score, provenance, traceability, flat_export, attribute_lines, latest_event, event_props, lexical_embedding, unit_canonical, unit_agreement, trust_breakdown,
         field_provenance, spec_rows, category_reasoning, reasoning_chain, validation_reasoning, review_queue, explain_summary, flat_rows, result_documents, stored_rows, missing_from_store, cached_or_computed, recent_topn,
-        products_of_jobs, upsert_index, chunk_offsets, value_percentiles, eval_per_field, eval_per_case, eval_metrics, eval_confusion, embedding_topk, confirmed_duplicates, similar_pairs, similar_records, embedding_index, llm_gap_fill, llm_prompts, csv_round_trip,
+        products_of_jobs, upsert_index, chunk_offsets, value_percentiles, eval_per_field, eval_per_case, eval_metrics, eval_confusion, embedding_topk, confirmed_duplicates, similar_pairs, similar_records, embedding_index, llm_gap_fill, llm_prompts, csv_round_trip, folder_records,
         json_records, html_titles, heading_blocks, fetch, never_ordered, job_progress, customer_outliers, quality_agreement,
     )
     return {"raw_catalog": q_raw_catalog} | {f.__name__: f for f in own}

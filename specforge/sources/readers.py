@@ -8,10 +8,8 @@ from __future__ import annotations
 
 import csv
 import io
-import json
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,10 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..fixed import CATEGORY_COLUMNS, DESCRIPTION_COLUMNS, NAME_COLUMNS, SKU_COLUMNS, WRAPPERS
+from ..functions.sql import let
 from ..functions.text import clean, is_heading, key_value_map, stripped
+from .pages import page
 
 RECORD = ("source", "source_ref", "name", "description", "category", "sku", "attributes")
 KINDS = {"csv": ".csv", "tsv": ".tsv", "json": ".json .jsonl .ndjson", "html": ".html .htm", "text": ".txt .md .text", "pdf": ".pdf", "xlsx": ".xlsx .xlsm"}
+#: Part of a content type -> kind
+MIMES = {"pdf": "pdf", "spreadsheet": "xlsx", "tab-separated": "tsv", "csv": "csv", "json": "json", "html": "html", "text/plain": "text"}
 ROLES = {"name": NAME_COLUMNS, "description": DESCRIPTION_COLUMNS, "category": CATEGORY_COLUMNS, "sku": SKU_COLUMNS}
 
 
@@ -77,23 +79,48 @@ def _numbered(df: DataFrame) -> DataFrame:
     return marked.join(first, same).withColumn("row", F.col("_before") + F.col("_id") - F.col("_least")).drop("_f", "_s", "_least", "_before", "_id", "_start")
 
 
+def _heads(spark: SparkSession, path: str, most: int = 100_000) -> list[tuple[str, str]]:
+    """The path of each file and its first line with text. An error if there are more than most files."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value").filter(F.trim("value") != "")
+    first = lines.groupBy("file").agg(F.min_by("value", F.struct("block", "id")).alias("head")).orderBy("file").limit(most + 1).collect()
+    if len(first) > most:
+        raise ValueError(f"more than {most} files; read them in parts")
+    return [(r["file"], r["head"].lstrip("\ufeff")) for r in first]
+
+
 def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Records and rejects of delimited files with one header; source_ref is file#rowN, where the header is row 1.
+    """Records and rejects of delimited files, each with a header of its own; source_ref is file#rowN, where the header is row 1.
 
-    An error if no header is a product name. Quoted values may hold line ends; with multi_line=False they may not, and
-    large files are read in parts.
+    Files with one header and delimiter are read together; a .tsv file is cut at TABs. A file without a product name
+    among its headers is a reject, and an error if there is no other. Quoted values may hold line ends; with
+    multi_line=False they may not, and large files are read in parts.
     """
-    head = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
-    if not head:
+    groups: dict[tuple[str, str], list[str]] = {}
+    for file, head in _heads(spark, path):
+        cut = delimiter or ("\t" if file.lower().endswith(".tsv") else sniff(head))
+        groups.setdefault((cut, head), []).append(file)
+    if not groups:
         raise ValueError("the file is empty")
-    delimiter = delimiter or sniff(head[0]["value"])
-    headers = next(csv.reader([head[0]["value"].lstrip("﻿")], delimiter=delimiter))
+    found, nameless = [], []
+    for (cut, head), files in groups.items():
+        headers = next(csv.reader([head], delimiter=cut))
+        if map_columns(headers)["name"] is None:
+            nameless += [(f.rsplit("/", 1)[-1], f"no product name among the columns {headers}") for f in files]
+        else:
+            found.append(_read_alike(spark, files, headers, cut, multi_line))
+    if not found:
+        raise ValueError(nameless[0][1])
+    records, rejects = found[0]
+    for r, x in found[1:]:
+        records, rejects = records.unionByName(r), rejects.unionByName(x)
+    return records, rejects.unionByName(spark.createDataFrame(nameless, "source_ref string, reason string")) if nameless else rejects
+
+
+def _read_alike(spark: SparkSession, files: list[str], headers: list[str], delimiter: str, multi_line: bool) -> tuple[DataFrame, DataFrame]:
     roles = map_columns(headers)
-    if roles["name"] is None:
-        raise ValueError(f"no product name among the columns {headers}")
     names = [f"c{i}" for i in range(len(headers))]
     schema = ", ".join(f"{n} string" for n in names)
-    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("sep", delimiter).option("multiLine", multi_line).option("quote", '"').option("escape", '"').csv(path)
+    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("sep", delimiter).option("multiLine", multi_line).option("quote", '"').option("escape", '"').csv(files)
     at = {h: F.col(n) for h, n in zip(headers, names, strict=True)}
     pick = lambda r: (clean(at[roles[r]]) if roles[r] else F.lit("")).alias(r)
     rest = [h for h in headers if h.strip() and h not in roles.values()]
@@ -103,31 +130,39 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, multi
     return rows.filter("name <> ''").select(*RECORD), rows.filter("name = ''").select("source_ref", F.lit("empty product name").alias("reason"))
 
 
-def _flat(value: dict, before: str = "") -> Iterator[tuple[str, str | None]]:
+def flat_object(value: dict, before: str = "") -> Iterator[tuple[str, str | None]]:
+    """The scalar leaves of an object, nested keys joined by underscores; lists as their scalars, joined by commas."""
     for k, v in value.items():
         if isinstance(v, dict):
-            yield from _flat(v, f"{before}{k}_")
+            yield from flat_object(v, f"{before}{k}_")
         elif isinstance(v, list):
             yield before + k, ", ".join(str(x) for x in v if not isinstance(x, dict | list))
         else:
             yield before + k, None if v is None else str(v)
 
 
-def flatten(text: Column) -> Column:
-    """A JSON object as a map of its scalar leaves, nested keys joined by underscores; null for anything else."""
+def _scalar(x: str) -> str:
+    """SQL of a scalar variant as text: true and false with a capital, a number that was written with a point keeps it."""
+    text = f"try_variant_get({x}, '$', 'string')"
+    return f"CASE WHEN schema_of_variant({x}) = 'BOOLEAN' THEN initcap({text}) WHEN startswith(schema_of_variant({x}), 'DECIMAL') AND NOT contains({text}, '.') THEN concat({text}, '.0') ELSE {text} END"
 
-    @F.pandas_udf("map<string,string>")
-    def flat(texts: pd.Series) -> pd.Series:
-        def one(t: str | None) -> dict | None:
-            try:
-                value = json.loads(t) if t else None
-            except ValueError:
-                return None
-            return dict(_flat(value)) if isinstance(value, dict) else None
 
-        return pd.Series([one(t) for t in texts], dtype=object)
+def flatten_sql(text: str, depth: int = 12) -> str:
+    """SQL of a JSON object as a map of its scalar leaves, nested keys joined by underscores; null for anything else.
 
-    return flat(text)
+    Variants are opened level by level, without a generator and in the JVM; what lies deeper than depth stays JSON text.
+    Top keys keep their order, nested ones are in alphabetical order. Of equal joined keys the last counts.
+    """
+    object_ = lambda x: f"startswith(schema_of_variant({x}), 'OBJECT')"
+    entries = lambda x: f"try_variant_get({x}, '$', 'map<string,variant>')"
+    opened = f"flatten(transform(e, x -> if({object_('x.value')}, transform(map_entries({entries('x.value')}), y -> named_struct('key', concat(x.key, '_', y.key), 'value', y.value)), array(named_struct('key', x.key, 'value', x.value)))))"
+    items = f"array_join(transform(filter(try_variant_get(x.value, '$', 'array<variant>'), z -> NOT {object_('z')} AND NOT startswith(schema_of_variant(z), 'ARRAY')), z -> coalesce({_scalar('z')}, 'None')), ', ')"
+    leaves = f"transform(e, x -> named_struct('key', x.key, 'value', if(startswith(schema_of_variant(x.value), 'ARRAY'), {items}, {_scalar('x.value')})))"
+    unique = let(leaves, "l", "map_from_entries(filter(l, (a, i) -> NOT exists(slice(l, i + 2, size(l)), b -> b.key = a.key)))")
+    body = let(entries("v"), "m", f"filter(transform(json_object_keys({text}), k -> named_struct('key', k, 'value', element_at(m, k))), p -> p.value IS NOT NULL)")
+    for _ in range(depth):
+        body = let(body, "e", opened)
+    return let(f"try_parse_json({text})", "v", f"if(v IS NULL OR NOT {object_('v')}, null, {let(body, 'e', unique)})")
 
 
 def from_json(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -143,70 +178,11 @@ def from_json(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     items = docs.select("source_ref", F.when(whole.isNotNull() & ~several, listed).otherwise(lines).alias("items"))
     each = items.select("source_ref", F.posexplode("items").alias("at", "item"))
     ref = F.concat("source_ref", F.lit("#"), (F.col("at") + 1).cast("string")).alias("source_ref")
-    read = each.select(ref, flatten(F.col("item")).alias("fields"))
+    read = each.select(ref, "item").selectExpr("source_ref", f"{flatten_sql('item')} AS fields")
     records, rejects = from_maps(read.filter("fields IS NOT NULL"), "json")
     return records, rejects.union(read.filter("fields IS NULL").select("source_ref", F.lit("no JSON object").alias("reason")))
 
 
-class _Page(HTMLParser):
-    """Texts of headings, titles, paragraphs and cells, in order of their end; scripts and styles are skipped."""
-
-    KEPT = {"h1", "title", "p", "td", "th", "dt", "dd"}
-    HIDDEN = {"script", "style", "noscript"}
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.hidden, self.words, self.found = 0, [], []
-
-    def handle_starttag(self, tag, attrs):
-        if tag in self.HIDDEN:
-            self.hidden += 1
-        elif tag in self.KEPT:
-            self.words = []
-        elif tag == "tr":
-            self.found.append(("row", ""))
-
-    def handle_endtag(self, tag):
-        if tag in self.HIDDEN:
-            self.hidden = max(0, self.hidden - 1)
-            return
-        if tag in self.KEPT:
-            self.found.append((tag, " ".join(" ".join(self.words).split())))
-        elif tag == "tr":
-            self.found.append(("end", ""))
-        self.words = []
-
-    def handle_data(self, data):
-        if not self.hidden and data.strip():
-            self.words.append(data.strip())
-
-
-def page(html: str | None) -> dict | None:
-    """name, description and attributes of a product page; null without a heading or title."""
-    reader = _Page()
-    reader.feed(html or "")
-    reader.close()
-    first = lambda tag: next((t for k, t in reader.found if k == tag and t), "")
-    name = first("h1") or first("title")
-    if not name:
-        return None
-    for site in (r"\s+[|–—]\s+.{0,40}$", r"\s+-\s+.{0,40}$"):
-        name = re.sub(site, "", name).strip()
-    pairs, row, loose = [], [], []
-    for kind, text in reader.found:
-        if kind == "row":
-            row, loose = [], []
-        elif kind == "end":
-            pairs += [tuple(row)] if len(row) == 2 else []
-            row, loose = [], []
-        elif kind in ("td", "th", "dt", "dd"):
-            row.append(text)
-            loose.append(text)
-    pairs += list(zip(loose[::2], loose[1::2], strict=False))
-    attributes = {k.rstrip(":"): v for k, v in pairs if k and v and len(k) < 60}
-    return {"name": name, "description": " ".join([t for k, t in reader.found if k == "p" and len(t) > 40][:3]), "attributes": attributes}
-
-
 def from_html(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One record per page of rows with source_ref and content; pages without heading and title are rejected."""
 
@@ -242,18 +218,23 @@ def from_text(docs: DataFrame, split: bool = True, source: str = "document") ->
 
 
 def csv_contents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Records and rejects of rows with source_ref and content, each a small delimited file with a header of its own."""
+    """Records and rejects of rows with source_ref and content, each a small delimited file with a header of its own.
+
+    The name's ending decides before the content: a .tsv file, or one whose content_type says so, is cut at TABs.
+    """
 
     @F.pandas_udf("array<struct<row:int,fields:map<string,string>>>")
-    def rows(texts: pd.Series) -> pd.Series:
-        def one(t: str | None) -> list:
+    def rows(texts: pd.Series, tabs: pd.Series) -> pd.Series:
+        def one(t: str | None, tab: bool) -> list:
             first = next((x for x in (t or "").splitlines() if x.strip()), "")
-            read = csv.DictReader(io.StringIO(t or ""), delimiter=sniff(first))
+            read = csv.DictReader(io.StringIO(t or ""), delimiter="\t" if tab else sniff(first))
             return [{"row": i, "fields": {(k or "").strip(): v for k, v in r.items() if isinstance(v, str) and k}} for i, r in enumerate(read, 2)]
 
-        return pd.Series([one(t) for t in texts], dtype=object)
+        return pd.Series([one(t, tab) for t, tab in zip(texts, tabs, strict=True)], dtype=object)
 
-    each = docs.select("source_ref", F.explode(rows(F.col("content"))).alias("r"))
+    told = F.coalesce(F.lower("content_type").contains("tab-separated"), F.lit(False)) if "content_type" in docs.columns else F.lit(False)
+    tabs = F.coalesce(F.lower("source_ref").endswith(".tsv"), F.lit(False)) | told
+    each = docs.select("source_ref", F.explode(rows(F.col("content"), tabs)).alias("r"))
     return from_maps(each.select(F.concat("source_ref", F.lit("#row"), F.col("r.row").cast("string")).alias("source_ref"), "r.fields"), "csv")
 
 
@@ -279,21 +260,23 @@ def _decoded(files: DataFrame, kind: str) -> DataFrame:
     return files.select("source_ref", text(F.col("content")).alias("content"))
 
 
-def kind_of(path: Column, head: Column) -> Column:
-    """csv, tsv, json, html, text, pdf or xlsx: by the name's ending, else by how the content begins."""
-    low = F.lower(path)
-    kind = F.coalesce(*[F.when(F.exists(F.array(*map(F.lit, ends.split())), lambda e: F.endswith(low, e)), k) for k, ends in KINDS.items()])
+def kind_of(path: Column, head: Column, content_type: Column | None = None) -> Column:
+    """csv, tsv, json, html, text, pdf or xlsx: by the name's ending, else by the content type, else by how the content begins."""
+    low, told = F.lower(path), F.lower(F.lit("") if content_type is None else F.coalesce(content_type, F.lit("")))
+    named = F.coalesce(*[F.when(F.exists(F.array(*map(F.lit, ends.split())), lambda e: F.endswith(low, e)), k) for k, ends in KINDS.items()])
+    kind = F.coalesce(named, *[F.when(told.contains(part), k) for part, k in MIMES.items()])
     start = F.lower(F.substring(F.ltrim(head), 1, 200))
     looks = F.when(start.startswith("<") & start.contains("html"), "html").when(start.rlike(r"^[{\[]"), "json").when(F.substring_index(head, "\n", 1).contains(","), "csv").otherwise("text")
     return F.coalesce(kind, looks)
 
 
 def ingest(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Records and rejects of rows with source_ref (a file name) and content (bytes), whatever their kinds. UTF-8, else Latin-1."""
+    """Records and rejects of rows with source_ref (a file name), content (bytes) and, if known, content_type, whatever their kinds. UTF-8, else Latin-1."""
     utf8 = F.try_validate_utf8(F.col("content").cast("string"))
     text = F.coalesce(utf8, F.decode("content", "ISO-8859-1"))
-    known = files.select("source_ref", "content", text.alias("text")).withColumn("kind", kind_of(F.col("source_ref"), F.col("text")))
-    of = lambda *kinds: known.filter(F.col("kind").isin(*kinds)).select("source_ref", F.col("text").alias("content"))
+    told = F.col("content_type") if "content_type" in files.columns else F.lit(None).cast("string")
+    known = files.select("source_ref", "content", told.alias("content_type"), text.alias("text")).withColumn("kind", kind_of(F.col("source_ref"), F.col("text"), F.col("content_type")))
+    of = lambda *kinds: known.filter(F.col("kind").isin(*kinds)).select("source_ref", "content_type", F.col("text").alias("content"))
     parts = [csv_contents(of("csv", "tsv")), from_json(of("json")), from_html(of("html")), from_text(of("text"))]
     for kind, read in (("pdf", lambda d: from_text(d, source="pdf")), ("xlsx", csv_contents)):
         binary = known.filter(F.col("kind") == kind).select("source_ref", "content")
