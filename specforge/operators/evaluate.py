@@ -20,7 +20,8 @@ def load_cases(spark: SparkSession, path: str) -> DataFrame:
 
     Lists among the expected values stay JSON text.
     """
-    lines = spark.read.text(path).filter(~F.col("value").rlike(r"^\s*(//.*)?$"))
+    told = F.when(~F.col("value").rlike(r"^\s*(//.*)?$"), F.col("value"))  # a filter alone could come after the parsing
+    lines = spark.read.text(path).select(told.alias("value")).filter("value IS NOT NULL")
     read = lines.select(F.from_json("value", CASE, {"mode": "FAILFAST"}).alias("c"), F.xxhash64("value").alias("case_id")).select("case_id", "c.*")
     return read.withColumn("name", F.when(F.col("name").isNull(), F.raise_error(F.lit("a case has no name"))).otherwise(F.col("name")))
 

@@ -262,6 +262,7 @@ SQL = {
     "flat_rows": CATALOG + f"SELECT r.product_id, r.name, l.path[-1] AS category, array_to_string(l.path, ' > ') AS category_path, coalesce(replace(m.keywords, ',', ', '), '') AS keywords, CASE WHEN v.is_valid THEN 'valid' ELSE 'invalid' END AS validation_status, v.score AS validation_score, m.completeness, coalesce(max(CASE WHEN num = floor(num) THEN CAST(CAST(num AS BIGINT) AS VARCHAR) ELSE format('{{:g}}', num) END || ' ' || unit) FILTER (field = 'power'), '') AS spec_power, coalesce(max(str) FILTER (field = 'ip_rating'), '') AS spec_ip_rating, coalesce(replace(max(str) FILTER (field = 'certifications'), ',', ', '), '') AS spec_certifications, coalesce(max(str) FILTER (field = 'brand'), '') AS spec_brand FROM raw r JOIN category c USING (product_id) JOIN measures m USING (product_id) JOIN verdicts v USING (product_id) JOIN ({_PATHS}) l USING (code) LEFT JOIN facts f USING (product_id) GROUP BY ALL",
     "result_documents": CATALOG + f"SELECT r.product_id, {_PRINT.replace('category', 'r.category')} AS fingerprint, c.code, CAST(m.specs AS INT) AS spec_count, v.score, f.str AS ip_rating FROM raw r JOIN category c USING (product_id) JOIN measures m USING (product_id) JOIN verdicts v USING (product_id) LEFT JOIN facts f ON f.product_id = r.product_id AND f.field = 'ip_rating'",
     "stored_rows": CATALOG + f"SELECT r.product_id, {_PRINT.replace('category', 'r.category')} AS content_hash, l.path[-1] AS category, CAST(m.specs AS INT) AS spec_count, v.score AS validation_score, m.completeness, false AS llm_used, 'job-1' AS job_id, c.code, r.name, v.score, t.enriched_description AS told FROM raw r JOIN described t USING (product_id) JOIN category c USING (product_id) JOIN measures m USING (product_id) JOIN verdicts v USING (product_id) JOIN ({_PATHS}) l USING (code)",
+    "second_run": CATALOG + "SELECT r.product_id, 'hit' AS cache, false AS persisted, c.code, v.score, m.completeness FROM raw r JOIN category c USING (product_id) JOIN measures m USING (product_id) JOIN verdicts v USING (product_id) WHERE trim(r.name) <> ''",
     "missing_from_store": CATALOG + f"SELECT product_id FROM (SELECT product_id, {_PRINT} AS h FROM raw) WHERE h NOT IN (SELECT {_PRINT} FROM raw WHERE product_id IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49))",
     "cached_or_computed": CATALOG + "SELECT product_id, CASE WHEN EXISTS (SELECT 1 FROM raw o WHERE o.product_id % 2 = 0 AND o.product_id % 3 <> 0 AND trim(o.name) = trim(r.name) AND o.description = r.description AND o.a_brand IS NOT DISTINCT FROM r.a_brand AND o.a_power IS NOT DISTINCT FROM r.a_power AND o.a_weight IS NOT DISTINCT FROM r.a_weight AND o.a_capacity IS NOT DISTINCT FROM r.a_capacity AND o.a_noise IS NOT DISTINCT FROM r.a_noise) THEN 'hit' ELSE 'miss' END AS cache FROM raw r WHERE trim(name) <> ''",
     "recent_topn": "SELECT event_id, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 20",

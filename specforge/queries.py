@@ -18,6 +18,7 @@ from .plans import service
 from .plans.pipeline import enrich, with_text
 from .plans.shared import new_path, staged
 from .sinks import writers
+from .sinks.store import Store
 from .sources import folder, readers
 from .sources.catalog import catalog_sql, raw_catalog, truth
 from .streaming.stream import chunks
@@ -253,8 +254,19 @@ def stored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select("product_id", "content_hash", "category", "spec_count", "validation_score", "completeness", "llm_used", "job_id", part("$.category.code", "string").alias("code"), part("$.name", "string").alias("name"), part("$.validation.score", "double").alias("score"), part("$.enriched_description", "string").alias("told"))
 
 
+def second_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run over a store gives that has seen all records before: everything is served from the cache, as documents."""
+    path = new_path(spark, "store")
+    store = Store(spark, "run_" + path[-12:], path, buckets=8)
+    records = raw_catalog(spark, sf_dir).drop("brand")
+    service.run(records, store, "first", similar=False)
+    again = service.run(records, store, "second", similar=False)
+    part = lambda at, kind: F.get_json_object("result", at).cast(kind)
+    return again.select("product_id", "cache", "persisted", part("$.category.code", "string").alias("code"), part("$.validation.score", "double").alias("score"), part("$.metrics.completeness", "double").alias("completeness"))
+
+
 def missing_from_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records that a store of the parts that were ever ordered for 5 dollars or less a piece lacks."""
+    """Records that a store lacks which holds the parts ordered 49 or more at a time."""
     records = raw_catalog(spark, sf_dir)
     ordered = _table(spark, sf_dir, "lineitem").filter("l_quantity >= 49").select(F.col("l_partkey").alias("product_id")).distinct()
     store = records.join(ordered, "product_id", "left_semi").select(fingerprint(F.col("name"), F.col("category")).alias("content_hash"))
@@ -276,7 +288,7 @@ def recent_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def products_of_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events of users that ever did a purchase-like thing: rows of a store by the jobs that wrote them."""
+    """The events of users with three events or more: rows of a store by the jobs that wrote them."""
     e = _table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("job_id"), "event_type")
     first = e.groupBy("job_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
     return service.of_job(e, first).select("event_id", F.col("job_id").alias("user_id"))
@@ -416,7 +428,7 @@ def queries() -> dict[str, Query]:
     own = (
         fingerprints, content_hash, duplicate_groups, duplicate_members, catalog_profile, extract_best, spec_facts, classify_best, classify_ranked, classify_alternatives, keywords_top12, describe_template, validation_findings, validation_scores,
         enrich_summary, zscore_outliers, unit_conflicts, catalog_score, provenance, traceability, flat_export, attribute_lines, latest_event, event_props, lexical_embedding, unit_canonical, unit_agreement, trust_breakdown,
-        field_provenance, spec_rows, category_reasoning, reasoning_chain, validation_reasoning, review_queue, explain_summary, flat_rows, result_documents, stored_rows, missing_from_store, cached_or_computed, recent_topn,
+        field_provenance, spec_rows, category_reasoning, reasoning_chain, validation_reasoning, review_queue, explain_summary, flat_rows, result_documents, stored_rows, second_run, missing_from_store, cached_or_computed, recent_topn,
         products_of_jobs, upsert_index, chunk_offsets, value_percentiles, eval_per_field, eval_per_case, eval_metrics, eval_confusion, embedding_topk, confirmed_duplicates, similar_pairs, similar_records, embedding_index, llm_gap_fill, llm_prompts, csv_round_trip, folder_records,
         json_records, html_titles, heading_blocks, fetch, never_ordered, job_progress, customer_outliers, quality_agreement,
     )
