@@ -47,32 +47,77 @@ def _categorical(field: str, token: str) -> str:
     }.get(field, f"if(length({token}) <= 4, upper({token}), {token})")
 
 
-def rule_hit(rule: tuple, text: str = "text") -> str:
-    """SQL of the first valid match of a rule, null without one."""
+def needles(pattern: str) -> list[str]:
+    """Literals of which every text that the pattern matches holds one, in lower case; none if there is no such set.
+
+    The parsed pattern is walked: of the parts of a sequence the one with the longest literals counts, a choice needs
+    those of all its branches. Only ASCII letters, digits and plain signs are trusted, whatever the case.
+    """
+
+    def best(sets: list[set[str] | None]) -> set[str] | None:
+        known = [x for x in sets if x]
+        return max(known, key=lambda x: (min(map(len, x)), -len(x)), default=None)
+
+    def walk(items) -> set[str] | None:
+        found: list[set[str] | None] = []
+        run = ""
+        for op, value in [*items, (None, None)]:
+            name = str(op)
+            if name == "LITERAL" and value < 128:
+                run += chr(value).lower()
+                continue
+            found += [{run}] if run else []
+            run = ""
+            if name == "SUBPATTERN":
+                found.append(walk(value[3]))
+            elif name == "BRANCH":
+                branches = [walk(b) for b in value[1]]
+                found.append(set().union(*branches) if all(branches) else None)
+            elif name in ("MAX_REPEAT", "MIN_REPEAT") and value[0] > 0:
+                found.append(walk(value[2]))
+            elif name == "IN" and all(str(o) == "LITERAL" and v < 128 for o, v in value):
+                found.append({chr(v).lower() for _, v in value})
+        return best(found)
+
+    return sorted(walk(re._parser.parse(pattern)) or ())
+
+
+#: Characters outside ASCII that match an ASCII letter where case does not count, and that letter.
+FOLDED = ("\u0130\u0131\u017f\u212a", "iisk")
+
+
+def rule_hit(rule: tuple, text: str = "text", folded: str = "_folded") -> str:
+    """SQL of the first valid match of a rule, null without one. folded is the text in lower case: it is asked for a rule's literals before the pattern is tried."""
     name, field, dimension, confidence, any_case, pattern = rule
     units: list[str] = []
     if dimension:
         pattern, units = usable_units(pattern, dimension)
     p = raw(("(?iU)" if any_case else "(?U)") + pattern)
     group = lambda i: f"regexp_extract({text}, {p}, {i})"
-    place = {"start": f"regexp_instr({text}, {p}) - 1", "stop": f"regexp_instr({text}, {p}) - 1 + length({group(0)})"}
-    common = {"origin": "extracted", "confidence": confidence, "rule": name, "raw": strip(group(0)), **place}
+    common = {"origin": "extracted", "confidence": confidence, "rule": name, "raw": "m.g0", "start": "m.at - 1", "stop": "m.at - 1 + m.size"}
     if dimension is None:
-        made = spec(quote(field), text=_categorical(field, strip(group(1))), **common)
+        parts = f"'g1', {strip(group(1))}"
+        made = spec(quote(field), text=_categorical(field, "m.g1"), **common)
     else:
         known = {u.lower(): UNITS[u.lower()] for u in units}
-        pick = lambda at: f"CASE lower({group(2)}) " + " ".join(f"WHEN {quote(u)} THEN {k[at]!r}D" for u, k in known.items()) + " END"
+        factors = "map(" + ", ".join(f"{quote(u)}, named_struct('by', {float(k[2])!r}D, 'plus', {float(k[3]) if dimension == 'temperature' else 0.0!r}D)" for u, k in known.items()) + ")"
         unit = next(iter(known.values()))[1]
-        num = f"round(try_cast(replace({group(1)}, ',', '') as double) * {pick(2)} + {pick(3) if dimension == 'temperature' else '0.0D'}, 10)"
-        made = spec(quote(field), num=num, unit=quote(unit), **common)
-    return f"CASE WHEN {group(1)} <> '' THEN {made} END"
-
-
-def material(text: str = "text") -> str:
-    """The material whose longest spelling stands in the text; the earlier entry on ties."""
+        parts = f"'g1', try_cast(replace({group(1)}, ',', '') as double), 'unit', try_element_at({factors}, lower({group(2)}))"
+        made = spec(quote(field), num="round(m.g1 * m.unit.by + m.unit.plus, 10)", unit=quote(unit), **common)
+    found = f"named_struct({parts}, 'g0', {strip(group(0))}, 'size', length({group(0)}), 'at', regexp_instr({text}, {p}))"
+    held = " OR ".join(f"contains({folded}, {quote(n)})" for n in needles(pattern))
+    asked = [f"({held})"] if held else []
+    if dimension:  # a digit, which may be one of another script, stands before a unit: asked for without the slow classes of all scripts
+        spelled = "|".join(re.escape(u.lower()) for u in units)
+        asked.append(f"{folded} RLIKE {raw(r'[0-9[^\x00-\x7F]][\s[^\x00-\x7F]]*(?:' + spelled + ')')}")
+    return f"CASE WHEN {' AND '.join([*asked, group(1) + chr(32) + '<>' + chr(32) + quote('')])} THEN {let(found, 'm', made)} END"
+
+
+def material(lower: str = "_lower") -> str:
+    """The material whose longest spelling stands in the text, given in lower case; the earlier entry on ties."""
     spellings = [(alias, name) for name, aliases in MATERIALS.items() for alias in aliases]
     order = sorted(range(len(spellings)), key=lambda i: (-len(spellings[i][0]), i))
-    found = " ".join(f"WHEN contains(lower({text}), {quote(spellings[i][0])}) THEN {i}" for i in order)
+    found = " ".join(f"WHEN contains({lower}, {quote(spellings[i][0])}) THEN {i}" for i in order)
     names = "array(" + ", ".join(quote(n) for _, n in spellings) + ")"
     aliases = "array(" + ", ".join(quote(a) for a, _ in spellings) + ")"
     made = spec("'material'", text=f"get({names}, i)", origin="extracted", confidence=0.93, rule="EXT.MATERIAL.VOCAB", raw=f"get({aliases}, i)")
@@ -113,14 +158,15 @@ def extract(df: DataFrame, rules: list[tuple] = RULES) -> DataFrame:
     Of attributes that name one field the first counts. An attribute outranks the text.
     """
     entries = f"transform(map_entries(coalesce(attributes, {EMPTY})), e -> {from_attribute(normalise_key_sql('e.key'), 'e.value')})"
-    named = df.selectExpr("*", f"filter({entries}, g -> g IS NOT NULL AND g.field <> '') AS _listed")
+    folded = f"lower(translate(text, '{FOLDED[0]}', '{FOLDED[1]}')) AS _folded"
+    named = df.selectExpr("*", "lower(text) AS _lower", folded, f"filter({entries}, g -> g IS NOT NULL AND g.field <> '') AS _listed")
     first = named.selectExpr("*", "filter(_listed, (g, i) -> NOT exists(slice(_listed, 1, i), e -> e.field = g.field)) AS given").drop("_listed")
     ordered = sorted(rules, key=lambda r: -round(min(r[3], TRUST["extracted"]), 4))
     best = {f: [rule_hit(r) for r in ordered if r[1] == f] for f in FIELDS} | {"material": [material()], "certifications": [certifications()]}
     columns = ", ".join(f"'{f}', cast({'coalesce(' + ', '.join(best[f]) + ')' if best[f] else NONE} as {SPEC})" for f in FIELDS)
     read = first.selectExpr("*", f"named_struct({columns}) AS t", "map_from_entries(transform(given, g -> struct(g.field, g))) AS _given")
     merged = ", ".join(f"'{f}', coalesce(try_element_at(_given, '{f}'), t.{f})" for f in FIELDS)
-    return settled(read.selectExpr("*", f"named_struct({merged}) AS s").drop("_given"), "given", "t", "s")
+    return settled(read.selectExpr("*", f"named_struct({merged}) AS s").drop("_given", "_lower", "_folded"), "given", "t", "s")
 
 
 def listed(fields: str = "s") -> str:
