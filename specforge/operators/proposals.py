@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -33,16 +35,72 @@ def prompts(enriched: DataFrame) -> DataFrame:
     return enriched.selectExpr("product_id", f"{text} AS prompt")
 
 
-def ask(prompted: DataFrame, client: Callable[[list[str]], list[str | None]]) -> DataFrame:
-    """product_id and reply from a client that answers a batch of prompts; a batch that fails has null replies."""
+class Calls:
+    """Calls of a client in daemon threads: what takes too long is given up, and its thread is left behind.
+
+    After as many threads left behind as there are workers nothing more is asked, so a client that hangs costs a task a
+    bounded time and a bounded number of threads.
+    """
+
+    def __init__(self, workers: int, seconds: float):
+        self.workers, self.seconds, self.lost = workers, seconds, 0
+
+    def each(self, call: Callable, args: list, seconds: float | None = None) -> list[tuple[str, object]]:
+        """For each argument ("done", result), ("failed", error) or ("late", None); as many at a time as there are workers."""
+        out: list[tuple[str, object]] = []
+        for at in range(0, len(args), self.workers):
+            if self.lost >= self.workers:
+                out += [("late", None)] * len(args[at : at + self.workers])
+                continue
+            boxes = [self._start(call, x) for x in args[at : at + self.workers]]
+            until = time.monotonic() + (seconds or self.seconds)
+            for thread, box in boxes:
+                thread.join(max(0.0, until - time.monotonic()))
+                self.lost += not box
+                out.append(box[0] if box else ("late", None))
+        return out
+
+    @staticmethod
+    def _start(call: Callable, arg: object) -> tuple[threading.Thread, list]:
+        box: list = []
+
+        def run() -> None:
+            try:
+                box.append(("done", call(arg)))
+            except Exception as error:  # a model that fails leaves the gaps as they are
+                box.append(("failed", error))
+
+        thread = threading.Thread(target=run, daemon=True)
+        thread.start()
+        return thread, box
+
+
+def ask(prompted: DataFrame, client: Callable[[list[str]], list[str | None]], choose: Callable[[], object] | None = None, size: int = 16, workers: int = 4, seconds: float = 45.0, choose_seconds: float = 10.0, retries: int = 1) -> DataFrame:
+    """product_id and reply from a client that answers lists of prompts.
+
+    Lists of at most size prompts are asked by workers at a time, each within a deadline. A list that fails, or has
+    another length, is asked again, as often as retries says; one that is late is not. What has no answer has a null
+    reply. choose, if given, picks a provider once per task within its own deadline; nothing is asked without one.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        calls = Calls(workers, seconds)
+        ready = choose is None or (lambda r: r[0] == "done" and bool(r[1]))(calls.each(lambda _: choose(), [None], choose_seconds)[0])
         for pdf in batches:
-            try:
-                replies = client(pdf["prompt"].tolist())
-            except Exception:  # a model that fails leaves the gaps as they are
-                replies = [None] * len(pdf)
-            yield pd.DataFrame({"product_id": pdf["product_id"], "reply": replies})
+            prompts = pdf["prompt"].tolist()
+            parts = [prompts[i : i + size] for i in range(0, len(prompts), size)]
+            replies: list[list[str | None]] = [[None] * len(p) for p in parts]
+            rest = list(range(len(parts))) if ready else []
+            for _ in range(retries + 1):
+                found = calls.each(client, [parts[i] for i in rest])
+                again = []
+                for i, (state, value) in zip(rest, found, strict=True):
+                    if state == "done" and isinstance(value, list | tuple) and len(value) == len(parts[i]):
+                        replies[i] = [v if isinstance(v, str) else None for v in value]
+                    elif state != "late":
+                        again.append(i)
+                rest = again
+            yield pd.DataFrame({"product_id": pdf["product_id"], "reply": [r for part in replies for r in part]})
 
     return prompted.mapInPandas(run, "product_id long, reply string")
 
