@@ -1,9 +1,10 @@
 """Quality rules whose limits follow the data: quantile sketches per language and source, then one joined filter.
 
 The sketch counts values in logarithmic buckets, so a quantile is within one bucket (two per cent) of the exact one.
-Sketches of parts merge by adding counts, in any order, and give the same limits on every run. Groups with few
-documents borrow the sketch of their language, and small languages that of all documents. Only documents that pass the
-base rules are sketched.
+Sketches of parts merge by adding counts, in any order, and give the same limits on every run. Each quantile of a
+language is a mean of its own, with the weight of its documents, and that of all documents, with the weight PRIOR; that
+of a language and source is drawn to its language's likewise. So a group with few documents follows its language, one
+with many itself, and no number of documents is a switch. Only documents that pass the base rules are sketched.
 
 Where the quartiles of a statistic differ and the lower one is not zero, its limits are the outer fences, three
 interquartile ranges off. Elsewhere (most documents have none of it, or all the same) they are outer quantiles of the
@@ -31,9 +32,8 @@ RULES = {"symbols_per_word": False, "dup_line_ratio": False, "repeat_ratio": Fal
 INNER, FENCE = 1.5, 3.0
 OUTER = 0.98
 BEGIN = 0.05
-GROUP_DOCS = 200
-#: Of the documents a group needs, the part that must have a non-zero value for where those begin.
-NONZERO_PART = 0.1
+#: How many documents the quantiles one level up count as; how many non-zero values where those begin counts as.
+PRIOR, PRIOR_NONZERO = 50.0, 5.0
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long"
 
 
@@ -88,15 +88,22 @@ def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return ranked.groupBy(*keys, "stat").agg(F.max("docs").alias("docs"), F.max(F.col("docs") - F.col("zero")).alias("nonzero"), _value(q(0.25)).alias("q25"), _value(q(0.75)).alias("q75"), _edge(q(1 - OUTER) - 1).alias("low"), _edge(q(OUTER)).alias("high"), _value(begin).alias("begin"))
 
 
-def by_group(sketch: DataFrame, groups: DataFrame, group_docs: int) -> DataFrame:
-    """The quantiles for each language and source of groups, from the narrowest level with enough documents."""
+def by_group(sketch: DataFrame, groups: DataFrame, prior: float) -> DataFrame:
+    """The quantiles for each language and source of groups, drawn to those of the level above; null where no document at all has one."""
     every = groups.select("lang", "source", F.explode(F.array(*map(F.lit, RULES))).alias("stat"))
-    for i, keys in enumerate([["lang", "source"], ["lang"], []]):
+    levels = [[], ["lang"], ["lang", "source"]]
+    for i, keys in enumerate(levels):
         q = quantiles(sketch, keys)
-        own = F.when(F.col("docs") >= (group_docs if keys else 0), F.struct("q25", "q75", "low", "high"))
-        begin = F.when(F.col("nonzero") >= (group_docs * NONZERO_PART if keys else 0), F.col("begin"))
-        every = every.join(q.select(*keys, "stat", own.alias(f"q{i}"), begin.alias(f"b{i}")), [*keys, "stat"], "left")
-    return every.select("lang", "source", "stat", F.coalesce("q0", "q1", "q2").alias("q"), F.coalesce("b0", "b1", "b2").alias("begin")).select("lang", "source", "stat", "q.*", "begin")
+        every = every.join(q.select(*keys, "stat", *[F.col(c).alias(f"{c}{i}") for c in ("docs", "nonzero", "q25", "q75", "low", "high", "begin")]), [*keys, "stat"], "left")
+
+    def drawn(name: str, count: str, weight: float) -> Column:
+        value = F.col(f"{name}0")
+        for i in range(1, len(levels)):
+            own, n = F.col(f"{name}{i}"), F.col(f"{count}{i}").cast("double")
+            value = F.coalesce((own * n + value * weight) / (n + weight), own, value)
+        return value.alias(name)
+
+    return every.select("lang", "source", "stat", *[drawn(c, "docs", prior) for c in ("q25", "q75", "low", "high")], drawn("begin", "nonzero", prior * PRIOR_NONZERO / PRIOR))
 
 
 def _wide(use: DataFrame) -> DataFrame:
@@ -124,22 +131,22 @@ def with_limits(stats: DataFrame, allowed: DataFrame, groups: DataFrame) -> Data
     return look_up(_named(stats), staged(table, "allowed"), ["group", "group2"]).drop("group", "group2")
 
 
-def limits(stats: DataFrame, groups: DataFrame, group_docs: int = GROUP_DOCS) -> DataFrame:
+def limits(stats: DataFrame, groups: DataFrame, prior: float = PRIOR) -> DataFrame:
     """One row per language and source of groups: the lowest and highest value allowed of each statistic."""
     spread = F.col("q75") - F.col("q25")
     varied = (F.col("q25") > 0) & (spread > 0)
-    fences = staged(by_group(staged(sketches(stats), "sketch"), groups, group_docs), "fences")
+    fences = staged(by_group(staged(sketches(stats), "sketch"), groups, prior), "fences")
     inner = _wide(fences.withColumns({"highest": F.when(varied, F.col("q75") + spread * INNER), "lowest": F.when(varied, F.col("q25") - spread * INNER)}))
     outside = F.lit(False)
     for k in RULES:
         outside = outside | F.coalesce(_breaks(k), F.lit(False))
-    core = by_group(staged(sketches(with_limits(stats, inner, groups).filter(~outside)), "core"), groups, group_docs).select("lang", "source", "stat", F.col("low").alias("core_low"), F.col("high").alias("core_high"))
+    core = by_group(staged(sketches(with_limits(stats, inner, groups).filter(~outside)), "core"), groups, prior).select("lang", "source", "stat", F.col("low").alias("core_low"), F.col("high").alias("core_high"))
     halfway = F.greatest(F.col("core_high"), (F.col("core_high") + F.col("begin")) / 2)
     use = fences.join(core, ["lang", "source", "stat"], "left")
     return _wide(use.withColumns({"highest": F.when(varied, F.col("q75") + spread * FENCE).otherwise(halfway), "lowest": F.when(varied, F.col("q25") - spread * FENCE).otherwise(F.col("core_low"))}))
 
 
-def apply_rules(docs: DataFrame, group_docs: int = GROUP_DOCS) -> DataFrame:
+def apply_rules(docs: DataFrame, prior: float = PRIOR) -> DataFrame:
     """One row per document: counts, base_failed, kept and the names of the rules it broke.
 
     A null text has no words and fails the base rules. Null languages and sources form a group of their own. Repeated
@@ -147,7 +154,7 @@ def apply_rules(docs: DataFrame, group_docs: int = GROUP_DOCS) -> DataFrame:
     """
     stats = staged(statistics(docs), "stats")
     groups = staged(stats.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")), "groups")
-    judged = with_limits(stats, limits(stats, groups, group_docs), groups)
+    judged = with_limits(stats, limits(stats, groups, prior), groups)
     broken = F.filter(F.array(*[F.when(_breaks(k), F.lit(k)) for k in RULES]), lambda x: x.isNotNull())
     judged = judged.withColumn("broken", broken)
     return judged.withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "broken")

@@ -1,5 +1,6 @@
 """The limits of the quality rules: from each source's own documents, and able to reject what the base rules pass."""
 
+import math
 import random
 
 import pytest
@@ -54,7 +55,7 @@ def judged(spark):
         names[len(data)] = (source, "as in b")
         data.append((len(data), same, "en", source))
     docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
-    found = {r["doc_id"]: r for r in rules.apply_rules(docs, group_docs=100).collect()}
+    found = {r["doc_id"]: r for r in rules.apply_rules(docs).collect()}
     return {names[i]: r for i, r in found.items() if i in names}, [r for i, r in found.items() if i not in names]
 
 
@@ -76,3 +77,84 @@ def test_most_documents_and_traces_stay(judged):
     special, plain = judged
     assert sum(r["kept"] for r in plain) >= 0.9 * len(plain)
     assert special["b", "trace"]["kept"]
+
+
+def plain_verdict(rows, stats):
+    """limits of each group by plain counting over buckets, one level after the other."""
+    bucket = lambda v: 0 if v < rules.SMALLEST else math.ceil(math.log(v / rules.SMALLEST) / math.log(rules.GAMMA)) + 1
+    value = lambda b: 0.0 if b == 0 else rules.GAMMA ** (b - 1.5) * rules.SMALLEST
+    edge = lambda b: rules.GAMMA ** max(b - 1, 0) * rules.SMALLEST * (1 + 1e-9)
+
+    def quantiles(own):
+        own, some = sorted(own), sorted(b for b in own if b)
+        at = lambda xs, p: next(x for i, x in enumerate(xs, 1) if i >= len(xs) * p)
+        return {"q25": value(at(own, 0.25)), "q75": value(at(own, 0.75)), "low": edge(at(own, 0.02) - 1), "high": edge(at(own, 0.98)), "begin": value(at(some, 0.05)) if some else None}, len(own), len(some)
+
+    def fences(kept):
+        out = {}
+        for group in {(r["lang"], r["source"]) for r in rows}:
+            for k in stats:
+                chosen = {}
+                for test in (lambda r: True, lambda r, g=group: r["lang"] == g[0], lambda r, g=group: (r["lang"], r["source"]) == g):
+                    own = [bucket(r[k]) for r in kept if test(r)]
+                    if own:
+                        q, n, m = quantiles(own)
+                        for name, v in q.items():
+                            weight, count = (rules.PRIOR_NONZERO, m) if name == "begin" else (rules.PRIOR, n)
+                            before = chosen.get(name)
+                            chosen[name] = before if v is None else v if before is None else (v * count + before * weight) / (count + weight)
+                out[group, k] = chosen
+        return out
+
+    fine = [r for r in rows if not r["base_failed"]]
+    first = fences(fine)
+    varied = {g: q["q25"] > 0 and q["q75"] > q["q25"] for g, q in first.items()}
+
+    def inside(r, k, by):
+        g = ((r["lang"], r["source"]), k)
+        if not varied[g]:
+            return True
+        q = first[g]
+        return r[k] <= q["q75"] + by * (q["q75"] - q["q25"]) and (not rules.RULES[k] or r[k] >= q["q25"] - by * (q["q75"] - q["q25"]))
+
+    core = fences([r for r in fine if all(inside(r, k, rules.INNER) for k in stats)])
+
+    def breaks(r, k):
+        g = ((r["lang"], r["source"]), k)
+        if varied[g]:
+            return not inside(r, k, rules.FENCE)
+        high, begin = core[g]["high"], first[g].get("begin")
+        high = high if begin is None else max(high, (high + begin) / 2)
+        return r[k] > high or rules.RULES[k] and r[k] < core[g]["low"]
+
+    return {r["doc_id"]: not r["base_failed"] and not any(breaks(r, k) for k in stats) for r in rows}
+
+
+def test_kept_equals_plain_counting(spark):
+    rng, data = random.Random(9), []
+    for i in range(420):
+        lines = prose(rng, *rng.choice([(3, 7), (8, 14)]), n=rng.choice([40, 60, 120]), upper=rng.choice([3, 30]))
+        if i % 7 == 0:
+            lines[-1] = lines[0]
+        if i % 5 == 0:
+            lines[0][0] += "#" * rng.randint(1, 30)
+        data.append((i, text(lines), ["en", "en", "fr", None][i % 4], f"s{min(i % 13, 5)}" if i % 3 else "big"))
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    rows = [r.asDict() for r in rules.statistics(docs).collect()]
+    found = {r["doc_id"]: r["kept"] for r in rules.apply_rules(docs).collect()}
+    assert found == plain_verdict(rows, list(rules.RULES)) and 0 < sum(found.values()) < len(found)
+
+
+def test_no_number_of_documents_is_a_switch(spark):
+    """With one document more in a group no limit jumps."""
+    rng = random.Random(4)
+    data = [(i, text(prose(rng, 3, 7, n=60)), "en", "a" if i < 203 else "b") for i in range(600)]
+
+    def upper(n):
+        docs = spark.createDataFrame([r for r in data if r[0] < n or r[0] >= 203], "doc_id long, text string, lang string, source string")
+        stats = rules.statistics(docs)
+        groups = stats.groupBy("lang", "source").count().withColumnRenamed("count", "n")
+        return next(r["word_length_highest"] for r in rules.limits(stats, groups).collect() if r["source"] == "a")
+
+    limits = [upper(n) for n in (198, 199, 200, 201, 202)]
+    assert max(limits) - min(limits) < 0.02 * max(limits)
