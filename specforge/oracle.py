@@ -255,11 +255,20 @@ SQL = {
     "field_provenance": CATALOG + f"SELECT product_id, field, coalesce(str, CASE WHEN num = floor(num) THEN CAST(CAST(num AS BIGINT) AS VARCHAR) ELSE format('{{:g}}', num) END || coalesce(' ' || unit, '')) AS display, origin, CASE origin {' '.join(f'WHEN {q(k)} THEN {q(v)}' for k, v in _LABELS.items())} END AS origin_label, CASE origin {' '.join(f'WHEN {q(k)} THEN {v}::DOUBLE' for k, v in TRUST.items())} END AS trust, origin IN ('input', 'extracted') AS verifiable, origin = 'input' AND EXISTS (SELECT 1 FROM best WHERE best.product_id = f.product_id AND best.field = f.field) AS overrode FROM (SELECT * REPLACE (replace(str, ',', ', ') AS str) FROM facts) f",
     "spec_rows": CATALOG + "SELECT product_id, CAST(row_number() OVER (PARTITION BY product_id ORDER BY CASE origin WHEN 'input' THEN 0 WHEN 'extracted' THEN 1 ELSE 2 END, field) AS INT) AS place, field, origin FROM facts",
     "category_reasoning": CATALOG + f"SELECT c.product_id, c.code, c.origin, CASE WHEN c.origin = 'taxonomy' THEN round(a.score - coalesce(b.score, 0), 4) END AS margin, coalesce(s.fields, '') AS supporting, c.confidence < 0.45 AS doubtful, CASE WHEN c.origin = 'taxonomy' THEN coalesce(p.terms, '') END AS penalised FROM category c LEFT JOIN confident a ON a.product_id = c.product_id AND a.place = 1 LEFT JOIN confident b ON b.product_id = c.product_id AND b.place = 2 LEFT JOIN (SELECT c.product_id, string_agg(w.field, ',' ORDER BY w.field) AS fields FROM category c JOIN wanted w USING (code) JOIN facts f ON f.product_id = c.product_id AND f.field = w.field GROUP BY ALL) s ON s.product_id = c.product_id LEFT JOIN (SELECT c.product_id, string_agg(n.plain, ',' ORDER BY n.plain) AS terms FROM category c JOIN marks m USING (product_id) JOIN ({_values((x['code'], marked(t), t) for x in TAXONOMY for t in x['negative'])}) n(code, term, plain) ON n.code = c.code AND (contains(m.nm, n.term) OR contains(m.dm, n.term)) GROUP BY ALL) p ON p.product_id = c.product_id",
-    "reasoning_chain": CATALOG + "SELECT product_id, 2 AS place, 'classify' AS stage, code || ' (' || origin || ')' AS result FROM category UNION ALL SELECT product_id, 5, 'validate', CASE WHEN is_valid THEN 'valid' ELSE 'invalid' END || ', ' || CAST(n_findings AS VARCHAR) || ' findings' FROM verdicts",
-    "validation_reasoning": CATALOG + f"SELECT v.product_id, CASE WHEN is_valid THEN 'valid' ELSE 'invalid' END AS status, score, CAST(14 + coalesce(w.n, 0) + coalesce(r.n, 0) AS INT) AS checked_rules, CAST(critical + major AS INT) AS blocking, CAST(minor AS INT) AS advisory FROM verdicts v JOIN category c USING (product_id) LEFT JOIN (SELECT code, count(*) AS n FROM wanted WHERE needed = 'true' GROUP BY code) w USING (code) LEFT JOIN ({_values((c, len(r)) for c, r in CATEGORY_RANGES.items())}) r(code, n) USING (code)",
-    "review_queue": CATALOG + "SELECT product_id, 1 AS priority, field, rule AS reason FROM findings WHERE severity IN ('critical', 'major') UNION ALL SELECT product_id, 1, 'category', 'no clear winner' FROM category WHERE confidence < 0.45",
+    "reasoning_chain": CATALOG + f"""SELECT r.product_id, s.place, s.stage, CASE s.place WHEN 1 THEN (coalesce(m.input, 0) + coalesce(m.extracted, 0)) || ' values, ' || CASE WHEN coalesce(m.keywords, '') = '' THEN 0 ELSE len(string_split(m.keywords, ',')) END || ' keywords'
+      WHEN 2 THEN c.code || ' (' || c.origin || ')' WHEN 3 THEN coalesce(d.fields, '') WHEN 4 THEN length(t.enriched_description) || ' characters' ELSE CASE WHEN v.is_valid THEN 'valid' ELSE 'invalid' END || ', ' || v.n_findings || ' findings' END AS result
+      FROM raw r JOIN category c USING (product_id) JOIN measures m USING (product_id) JOIN described t USING (product_id) JOIN verdicts v USING (product_id)
+      LEFT JOIN (SELECT product_id, string_agg(field, ', ' ORDER BY list_position({list(FIELDS)}, field)) AS fields FROM facts WHERE origin = 'derived' GROUP BY ALL) d USING (product_id)
+      CROSS JOIN (VALUES (1, 'extract'), (2, 'classify'), (3, 'derive'), (4, 'describe'), (5, 'validate')) s(place, stage)""",
+    "validation_reasoning": CATALOG + f"SELECT v.product_id, CASE WHEN is_valid THEN 'valid' ELSE 'invalid' END AS status, score, CAST(14 + coalesce(w.n, 0) + coalesce(r.n, 0) AS INT) AS checked_rules, v.consistency, coalesce(n.blocking, '') AS blocking, coalesce(n.advisory, '') AS advisory FROM verdicts v LEFT JOIN (SELECT product_id, string_agg(concat_ws(':', rule, field), '|' ORDER BY concat_ws(':', rule, field)) FILTER (severity IN ('critical', 'major')) AS blocking, string_agg(concat_ws(':', rule, field), '|' ORDER BY concat_ws(':', rule, field)) FILTER (severity = 'minor') AS advisory FROM findings GROUP BY ALL) n USING (product_id) JOIN category c USING (product_id) LEFT JOIN (SELECT code, count(*) AS n FROM wanted WHERE needed = 'true' GROUP BY code) w USING (code) LEFT JOIN ({_values((c, len(r)) for c, r in CATEGORY_RANGES.items())}) r(code, n) USING (code)",
+    "review_queue": CATALOG + f"""SELECT product_id, CAST(row_number() OVER (PARTITION BY product_id ORDER BY priority, field, reason) AS INT) AS place, priority, field, reason, choice FROM (
+      SELECT product_id, 1 AS priority, field, rule AS reason, CAST(NULL AS VARCHAR) AS choice FROM findings WHERE severity IN ('critical', 'major')
+      UNION ALL SELECT c.product_id, 1, 'category', 'no clear winner', 'choose among: ' || coalesce(a.names, 'none') FROM category c
+      LEFT JOIN (SELECT k.product_id, string_agg(l.name, ', ' ORDER BY k.place) AS names FROM confident k JOIN leaf l USING (code) WHERE k.place IN (2, 3) GROUP BY ALL) a ON a.product_id = c.product_id AND c.origin <> 'input' WHERE c.confidence < 0.45)""",
     "explain_summary": CATALOG + f"SELECT product_id, name || ': ' || l.name_of || ', ' || CASE WHEN specs = 0 THEN 'no values found' ELSE CAST(specs AS VARCHAR) || ' values (' || concat_ws(', ', CASE WHEN input > 0 THEN CAST(input AS VARCHAR) || ' from source' END, CASE WHEN extracted > 0 THEN CAST(extracted AS VARCHAR) || ' extracted' END, CASE WHEN derived > 0 THEN CAST(derived AS VARCHAR) || ' computed' END) || '), ' || CAST(CAST(round_even(100 * (input + extracted) / specs::DOUBLE, 0) AS INT) AS VARCHAR) || ' percent stated by the source' END AS summary FROM raw r JOIN category c USING (product_id) JOIN measures USING (product_id) JOIN (SELECT code, name AS name_of FROM leaf UNION ALL SELECT {q(FALLBACK[0])}, {q(FALLBACK[1][-1])}) l USING (code)",
-    "flat_rows": CATALOG + f"SELECT r.product_id, r.name, l.path[-1] AS category, array_to_string(l.path, ' > ') AS category_path, coalesce(replace(m.keywords, ',', ', '), '') AS keywords, CASE WHEN v.is_valid THEN 'valid' ELSE 'invalid' END AS validation_status, v.score AS validation_score, m.completeness, coalesce(max(CASE WHEN num = floor(num) THEN CAST(CAST(num AS BIGINT) AS VARCHAR) ELSE format('{{:g}}', num) END || ' ' || unit) FILTER (field = 'power'), '') AS spec_power, coalesce(max(str) FILTER (field = 'ip_rating'), '') AS spec_ip_rating, coalesce(replace(max(str) FILTER (field = 'certifications'), ',', ', '), '') AS spec_certifications, coalesce(max(str) FILTER (field = 'brand'), '') AS spec_brand FROM raw r JOIN category c USING (product_id) JOIN measures m USING (product_id) JOIN verdicts v USING (product_id) JOIN ({_PATHS}) l USING (code) LEFT JOIN facts f USING (product_id) GROUP BY ALL",
+    "flat_rows": CATALOG + f"""SELECT r.product_id, r.name, l.path[-1] AS category, array_to_string(l.path, ' > ') AS category_path, t.enriched_description AS description, coalesce(replace(m.keywords, ',', ', '), '') AS keywords, CASE WHEN v.is_valid THEN 'valid' ELSE 'invalid' END AS validation_status,
+      v.score AS validation_score, m.completeness, {", ".join(f"coalesce(max(f.shown) FILTER (f.field = '{x}'), '') AS spec_{x}" for x in [*FIELDS, "brand"])}
+      FROM raw r JOIN category c USING (product_id) JOIN measures m USING (product_id) JOIN verdicts v USING (product_id) JOIN described t USING (product_id) JOIN ({_PATHS}) l USING (code) LEFT JOIN (SELECT product_id, field, {_SHOWN} AS shown FROM facts) f USING (product_id) GROUP BY ALL""",
     "result_documents": CATALOG + f"SELECT r.product_id, {_PRINT.replace('category', 'r.category')} AS fingerprint, c.code, CAST(m.specs AS INT) AS spec_count, v.score, f.str AS ip_rating FROM raw r JOIN category c USING (product_id) JOIN measures m USING (product_id) JOIN verdicts v USING (product_id) LEFT JOIN facts f ON f.product_id = r.product_id AND f.field = 'ip_rating'",
     "stored_rows": CATALOG + f"SELECT r.product_id, {_PRINT.replace('category', 'r.category')} AS content_hash, l.path[-1] AS category, CAST(m.specs AS INT) AS spec_count, v.score AS validation_score, m.completeness, false AS llm_used, 'job-1' AS job_id, c.code, r.name, v.score, t.enriched_description AS told FROM raw r JOIN described t USING (product_id) JOIN category c USING (product_id) JOIN measures m USING (product_id) JOIN verdicts v USING (product_id) JOIN ({_PATHS}) l USING (code)",
     "second_run": CATALOG + "SELECT r.product_id, 'hit' AS cache, false AS persisted, c.code, v.score, m.completeness FROM raw r JOIN category c USING (product_id) JOIN measures m USING (product_id) JOIN verdicts v USING (product_id) WHERE trim(r.name) <> ''",
@@ -278,8 +287,11 @@ SQL = {
     "similar_pairs": CATALOG + _SIMILAR + _ALIKE + f"SELECT query, id, round(score, 4) AS score, {_CONFLICT} AS conflict FROM pairs p",
     "similar_records": CATALOG + _SIMILAR + _ALIKE + f", judged AS (SELECT query, id, {_CONFLICT} AS conflict FROM pairs p), ends AS (SELECT unnest([query, id]) AS class_id, conflict FROM judged) SELECT c.product_id, c.class_id, count(e.class_id) AS similar, count(e.class_id) FILTER (e.conflict IS NULL) AS duplicates FROM class c LEFT JOIN ends e USING (class_id) GROUP BY ALL",
     "embedding_topk": "SELECT query, id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rn FROM (SELECT a.vec_id AS query, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 12) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)) WHERE rn <= 5",
-    "llm_gap_fill": CATALOG + "SELECT r.product_id, CASE WHEN p.field IS NULL THEN 'power' ELSE '' END AS accepted, CAST(CASE WHEN p.field IS NULL THEN 2 ELSE 3 END AS INT) AS rejected, round(coalesce(p.num, (r.product_id % 50 + 1) * 1000.0::DOUBLE), 6) AS power, coalesce(p.origin, 'llm') AS origin FROM raw r LEFT JOIN facts p ON p.product_id = r.product_id AND p.field = 'power'",
-    "llm_prompts": CATALOG + f"SELECT c.product_id, coalesce(string_agg(w.field, ',' ORDER BY w.i) FILTER (f.field IS NULL AND w.field IS NOT NULL), '') AS wanted FROM category c LEFT JOIN ({_values((x['code'], f, i) for x in TAXONOMY for i, f in enumerate(x['expected']))}) w(code, field, i) USING (code) LEFT JOIN facts f ON f.product_id = c.product_id AND f.field = w.field GROUP BY c.product_id",
+    "llm_gap_fill": CATALOG + "SELECT r.product_id, CASE WHEN p.field IS NULL THEN 'power' ELSE '' END AS accepted, CASE WHEN p.field IS NULL THEN '' ELSE 'rated power: known from the source|' END || 'colour: not in the schema|weight: ' || CASE WHEN w.field IS NULL THEN 'unknown unit' ELSE 'known from the source' END AS rejected, round(coalesce(p.num, (r.product_id % 50 + 1) * 1000.0::DOUBLE), 6) AS power, coalesce(p.origin, 'llm') AS origin FROM raw r LEFT JOIN facts p ON p.product_id = r.product_id AND p.field = 'power' LEFT JOIN facts w ON w.product_id = r.product_id AND w.field = 'weight'",
+    "llm_prompts": CATALOG + f"""SELECT r.product_id, 'Product: ' || coalesce(r.name, '') || chr(10) || 'Text: ' || coalesce(r.description, '') || chr(10) || 'Category: ' || l.path[-1] || chr(10) || 'Known, not to be changed: {{' || coalesce(k.known, '') || '}}' || chr(10)
+      || 'Fill only, if the text states or implies it: ' || replace(w.wanted, ',', ', ') || chr(10) || 'Answer with one JSON object: specifications (field to value, unit, basis), attributes, description, category_suggestion.' AS prompt
+      FROM raw r JOIN category c USING (product_id) JOIN ({_PATHS}) l USING (code) JOIN (SELECT c.product_id, coalesce(string_agg(w.field, ',' ORDER BY w.i) FILTER (f.field IS NULL AND w.field IS NOT NULL), '') AS wanted FROM category c LEFT JOIN ({_values((x['code'], f, i) for x in TAXONOMY for i, f in enumerate(x['expected']))}) w(code, field, i) USING (code) LEFT JOIN facts f ON f.product_id = c.product_id AND f.field = w.field GROUP BY c.product_id) w ON w.product_id = r.product_id
+      LEFT JOIN (SELECT product_id, string_agg('"' || field || '":"' || shown || '"', ',' ORDER BY place) AS known FROM (SELECT product_id, field, {_SHOWN} AS shown, {_ORDER} AS place FROM facts f) GROUP BY ALL) k ON k.product_id = r.product_id""",
     "csv_round_trip": CATALOG + "SELECT product_id, name, description, trim(coalesce(category, '')) AS category, brand AS maker FROM raw WHERE trim(name) <> ''",
     "folder_records": CATALOG + "SELECT product_id, name, description, trim(coalesce(category, '')) AS category, brand AS maker FROM raw WHERE trim(name) <> ''",
     "html_titles": _PAGES,

@@ -219,16 +219,18 @@ def category_reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reasoning_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explain.reasoning_chain(_enriched(spark, sf_dir)).filter("stage IN ('classify', 'validate')").select("product_id", "place", "stage", "result")
+    return explain.reasoning_chain(_enriched(spark, sf_dir)).select("product_id", "place", "stage", "result")
 
 
 def validation_reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = explain.validation_reasoning(_enriched(spark, sf_dir))
-    return v.select("product_id", "status", "score", "checked_rules", F.size("blocking").alias("blocking"), F.size("advisory").alias("advisory"))
+    named = lambda c: F.array_join(F.array_sort(F.transform(c, lambda f: F.concat_ws(":", f["rule"], f["field"]))), "|").alias(c)
+    return v.select("product_id", "status", "score", "consistency", "checked_rules", named("blocking"), named("advisory"))
 
 
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explain.review_queue(_enriched(spark, sf_dir)).select("product_id", "priority", "field", "reason")
+    choice = F.when(F.col("reason") == "no clear winner", F.col("action")).alias("choice")
+    return explain.review_queue(_enriched(spark, sf_dir)).select("product_id", "place", "priority", "field", "reason", choice)
 
 
 def explain_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,8 +238,7 @@ def explain_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flat_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = writers.flat_rows(_enriched(spark, sf_dir), ["brand"])
-    return f.select("product_id", "name", "category", "category_path", "keywords", "validation_status", "validation_score", "completeness", "spec_power", "spec_ip_rating", "spec_certifications", "spec_brand")
+    return writers.flat_rows(_enriched(spark, sf_dir), ["brand"])
 
 
 def result_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -370,11 +371,11 @@ def llm_gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     reply = "concat('Here you are: ```json {\"specifications\": {\"rated power\": {\"value\": ', cast(product_id % 50 + 1 as string), ', \"unit\": \"kW\", \"basis\": \"typical\"}, \"colour\": \"red\", \"weight\": {\"value\": 3, \"unit\": \"parsec\"}}}```')"
     e = _enriched(spark, sf_dir)
     m = proposals.merge(e, e.selectExpr("product_id", f"{reply} AS reply"))
-    return m.select("product_id", F.array_join("accepted", ",").alias("accepted"), F.size("rejected").alias("rejected"), F.round("s.power.num", 6).alias("power"), "s.power.origin")
+    return m.select("product_id", F.array_join("accepted", ",").alias("accepted"), F.array_join(F.transform("rejected", lambda r: F.concat_ws(": ", r["key"], r["reason"])), "|").alias("rejected"), F.round("s.power.num", 6).alias("power"), "s.power.origin")
 
 
 def llm_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _enriched(spark, sf_dir).selectExpr("product_id", f"array_join({proposals.wanted()}, ',') AS wanted")
+    return proposals.prompts(_enriched(spark, sf_dir))
 
 
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
