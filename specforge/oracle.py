@@ -288,6 +288,7 @@ SQL = {
     "similar_records": CATALOG + _SIMILAR + _ALIKE + f", judged AS (SELECT query, id, {_CONFLICT} AS conflict FROM pairs p), ends AS (SELECT unnest([query, id]) AS class_id, conflict FROM judged) SELECT c.product_id, c.class_id, count(e.class_id) AS similar, count(e.class_id) FILTER (e.conflict IS NULL) AS duplicates FROM class c LEFT JOIN ends e USING (class_id) GROUP BY ALL",
     "embedding_topk": "SELECT query, id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rn FROM (SELECT a.vec_id AS query, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 12) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)) WHERE rn <= 5",
     "llm_gap_fill": CATALOG + "SELECT r.product_id, CASE WHEN p.field IS NULL THEN 'power' ELSE '' END AS accepted, CASE WHEN p.field IS NULL THEN '' ELSE 'rated power: known from the source|' END || 'colour: not in the schema|weight: ' || CASE WHEN w.field IS NULL THEN 'unknown unit' ELSE 'known from the source' END AS rejected, round(coalesce(p.num, (r.product_id % 50 + 1) * 1000.0::DOUBLE), 6) AS power, coalesce(p.origin, 'llm') AS origin FROM raw r LEFT JOIN facts p ON p.product_id = r.product_id AND p.field = 'power' LEFT JOIN facts w ON w.product_id = r.product_id AND w.field = 'weight'",
+    "llm_findings": CATALOG + "SELECT product_id, 'VAL.CONF.LLM_INFERRED' AS rule, 'info' AS severity FROM raw ANTI JOIN (SELECT product_id FROM facts WHERE field = 'power') p USING (product_id)",
     "llm_prompts": CATALOG + f"""SELECT r.product_id, 'Product: ' || coalesce(r.name, '') || chr(10) || 'Text: ' || coalesce(r.description, '') || chr(10) || 'Category: ' || l.path[-1] || chr(10) || 'Known, not to be changed: {{' || coalesce(k.known, '') || '}}' || chr(10)
       || 'Fill only, if the text states or implies it: ' || replace(w.wanted, ',', ', ') || chr(10) || 'Answer with one JSON object: specifications (field to value, unit, basis), attributes, description, category_suggestion.' AS prompt
       FROM raw r JOIN category c USING (product_id) JOIN ({_PATHS}) l USING (code) JOIN (SELECT c.product_id, coalesce(string_agg(w.field, ',' ORDER BY w.i) FILTER (f.field IS NULL AND w.field IS NOT NULL), '') AS wanted FROM category c LEFT JOIN ({_values((x['code'], f, i) for x in TAXONOMY for i, f in enumerate(x['expected']))}) w(code, field, i) USING (code) LEFT JOIN facts f ON f.product_id = c.product_id AND f.field = w.field GROUP BY c.product_id) w ON w.product_id = r.product_id

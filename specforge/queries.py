@@ -13,6 +13,7 @@ from .functions.embedding import bucket, trigrams
 from .functions.text import fingerprint, key_value
 from .operators import catalog, evaluate, explain, nearest, proposals, similarity
 from .operators.extract import extract
+from .operators.validate import validate
 from .oracle import SQL
 from .plans import service
 from .plans.pipeline import enrich, with_text
@@ -366,11 +367,22 @@ def embedding_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query", "id", F.round("score", 4).alias("score"))
 
 
-def llm_gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What becomes of proposals for every record: a power and an impossible field, in replies with fences and prose."""
+def _proposed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record with a reply: a power and an impossible field, with fences and prose."""
     reply = "concat('Here you are: ```json {\"specifications\": {\"rated power\": {\"value\": ', cast(product_id % 50 + 1 as string), ', \"unit\": \"kW\", \"basis\": \"typical\"}, \"colour\": \"red\", \"weight\": {\"value\": 3, \"unit\": \"parsec\"}}}```')"
     e = _enriched(spark, sf_dir)
-    m = proposals.merge(e, e.selectExpr("product_id", f"{reply} AS reply"))
+    return proposals.merge(e, raw_catalog(spark, sf_dir).selectExpr("product_id", f"{reply} AS reply"))
+
+
+def llm_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What validation says of values that a model proposed."""
+    judged = validate(staged(_proposed(spark, sf_dir).drop("findings", "validation", "completeness", "mean_confidence"), "merged"))
+    return judged.select("product_id", F.explode("findings").alias("f")).filter("f.rule LIKE 'VAL.CONF.%'").select("product_id", "f.rule", "f.severity")
+
+
+def llm_gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of the proposals."""
+    m = _proposed(spark, sf_dir)
     return m.select("product_id", F.array_join("accepted", ",").alias("accepted"), F.array_join(F.transform("rejected", lambda r: F.concat_ws(": ", r["key"], r["reason"])), "|").alias("rejected"), F.round("s.power.num", 6).alias("power"), "s.power.origin")
 
 
@@ -430,7 +442,7 @@ def queries() -> dict[str, Query]:
         fingerprints, content_hash, duplicate_groups, duplicate_members, catalog_profile, extract_best, spec_facts, classify_best, classify_ranked, classify_alternatives, keywords_top12, describe_template, validation_findings, validation_scores,
         enrich_summary, zscore_outliers, unit_conflicts, catalog_score, provenance, traceability, flat_export, attribute_lines, latest_event, event_props, lexical_embedding, unit_canonical, unit_agreement, trust_breakdown,
         field_provenance, spec_rows, category_reasoning, reasoning_chain, validation_reasoning, review_queue, explain_summary, flat_rows, result_documents, stored_rows, second_run, missing_from_store, cached_or_computed, recent_topn,
-        products_of_jobs, upsert_index, chunk_offsets, value_percentiles, eval_per_field, eval_per_case, eval_metrics, eval_confusion, embedding_topk, confirmed_duplicates, similar_pairs, similar_records, embedding_index, llm_gap_fill, llm_prompts, csv_round_trip, folder_records,
+        products_of_jobs, upsert_index, chunk_offsets, value_percentiles, eval_per_field, eval_per_case, eval_metrics, eval_confusion, embedding_topk, confirmed_duplicates, similar_pairs, similar_records, embedding_index, llm_gap_fill, llm_findings, llm_prompts, csv_round_trip, folder_records,
         json_records, html_titles, heading_blocks, fetch, never_ordered, job_progress, customer_outliers, quality_agreement,
     )
     return {"raw_catalog": q_raw_catalog} | {f.__name__: f for f in own}
