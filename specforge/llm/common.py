@@ -4,31 +4,19 @@ from __future__ import annotations
 
 import contextlib
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_dir: str | None = None
+from ..plans.shared import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    global _own_dir
-    given = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="spark-")
-    return _own_dir
-
-
 @contextlib.contextmanager
 def shuffles_freed(spark: SparkSession) -> Iterator[None]:
     """The shuffle files of each write inside are deleted once it has ended: what it wrote is read from then on."""
