@@ -160,9 +160,11 @@ def flatten_sql(text: str, depth: int = 12) -> str:
     leaves = f"transform(e, x -> named_struct('key', x.key, 'value', if(startswith(schema_of_variant(x.value), 'ARRAY'), {items}, {_scalar('x.value')})))"
     unique = let(leaves, "l", "map_from_entries(filter(l, (a, i) -> NOT exists(slice(l, i + 2, size(l)), b -> b.key = a.key)))")
     body = let(entries("v"), "m", f"filter(transform(json_object_keys({text}), k -> named_struct('key', k, 'value', element_at(m, k))), p -> p.value IS NOT NULL)")
-    for _ in range(depth):
-        body = let(body, "e", opened)
-    return let(f"try_parse_json({text})", "v", f"if(v IS NULL OR NOT {object_('v')}, null, {let(body, 'e', unique)})")
+    deeper = "e"
+    for _ in range(depth):  # a record is opened only as deep as it goes
+        deeper = f"if(exists(e, x -> {object_('x.value')}), {let(opened, 'e', deeper)}, e)"
+    flat = let(body, "e", let(deeper, "e", unique))
+    return let(f"try_parse_json({text})", "v", f"if(v IS NULL OR NOT {object_('v')}, null, {flat})")
 
 
 def from_json(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -178,7 +180,8 @@ def from_json(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     items = docs.select("source_ref", F.when(whole.isNotNull() & ~several, listed).otherwise(lines).alias("items"))
     each = items.select("source_ref", F.posexplode("items").alias("at", "item"))
     ref = F.concat("source_ref", F.lit("#"), (F.col("at") + 1).cast("string")).alias("source_ref")
-    read = each.select(ref, "item").selectExpr("source_ref", f"{flatten_sql('item')} AS fields")
+    # Through a generator of one row: neither filters nor the columns that follow unfold the long expression again.
+    read = each.select(ref, "item").selectExpr("source_ref", f"inline(array(named_struct('fields', {flatten_sql('item')})))")
     records, rejects = from_maps(read.filter("fields IS NOT NULL"), "json")
     return records, rejects.union(read.filter("fields IS NULL").select("source_ref", F.lit("no JSON object").alias("reason")))
 
