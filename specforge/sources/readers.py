@@ -186,12 +186,12 @@ def from_json(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return records, rejects.union(read.filter("fields IS NULL").select("source_ref", F.lit("no JSON object").alias("reason")))
 
 
-def from_html(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One record per page of rows with source_ref and content; pages without heading and title are rejected."""
+def from_html(docs: DataFrame, closed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """One record per page of rows with source_ref and content; pages without heading and title are rejected. closed: only references with a semicolon are read."""
 
     @F.pandas_udf("name string, description string, attributes map<string,string>")
     def read(pages: pd.Series) -> pd.DataFrame:
-        found = [page(p) or {"name": None, "description": None, "attributes": None} for p in pages]
+        found = [page(p, closed) or {"name": None, "description": None, "attributes": None} for p in pages]
         return pd.DataFrame(found, columns=["name", "description", "attributes"])
 
     rows = docs.select("source_ref", read(F.col("content")).alias("p")).select("source_ref", "p.*")
